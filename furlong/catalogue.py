@@ -1,0 +1,4 @@
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame, and the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
