@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, token_store
+from . import chat, decontamination, exact_dedup, jaccard_join, token_store
 from .common import read, shared_folder, written
 
 
@@ -22,6 +22,10 @@ def op4_token_store(spark, sf_dir):
     return token_store.read_tokens(spark, path)
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op7_chat_formatting(spark, sf_dir):
     return chat.digest(chat.render(chats, path, BYTE_BPE_IDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_token_store, op6_exact_dedup, op7_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_token_store, op5_jaccard_join, op6_exact_dedup, op7_chat_formatting)}
 
 SQL = {}
 
