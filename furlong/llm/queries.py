@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, jaccard_join, token_store
+from . import chat, decontamination, exact_dedup, jaccard_join, substring_dedup, token_store
 from .common import read, shared_folder, written
 
 
@@ -43,7 +43,12 @@ def op7_chat_formatting(spark, sf_dir):
     return chat.digest(chat.render(chats, path, BYTE_BPE_IDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_token_store, op5_jaccard_join, op6_exact_dedup, op7_chat_formatting)}
+def op8_substring_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return substring_dedup.digest(docs, substring_dedup.repeated_passages(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_token_store, op5_jaccard_join, op6_exact_dedup, op7_chat_formatting, op8_substring_dedup)}
 
 SQL = {}
 
