@@ -1,8 +1,67 @@
-"""The corpus pipeline: its stages, and what runs them one after the other."""
+"""The corpus pipeline: quality, near duplicates, decontamination, mixing, token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on every row it gets and returns a DataFrame;
+all but the last return the columns of documents. run() writes each stage's result as
+Parquet in the shared folder and reads it again for the next.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from furlong.llm import decontamination, jaccard_join, mixing, quality, token_store
+from furlong.llm.common import read, shared_folder, written
+from furlong.llm.queries import tokenizer_file
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier (op 9) rejects go; a row with a null doc_id stays."""
+    scored = quality.classify(docs, read(spark, sf_dir, "labels"))
+    rejected = written(scored.where("rejected").select("doc_id").distinct(), "rejected")
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of the n-gram Jaccard join (op 5), the document of smallest id stays."""
+    components = jaccard_join.jaccard_join(docs)
+    dropped = written(components.where("component_id != doc_id").select("doc_id").distinct(), "dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of benchmark words (op 1) go."""
+    found = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"))
+    leaks = written(found.where(F.size("word_spans") > 0).select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as mixing (op 10) says: none, once or more."""
+    copies = written(mixing.mix(docs, read(spark, sf_dir, "labels")).where("copies != 1").groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
+    times = F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))
+    return docs.join(copies, "doc_id", "left").where("coalesce(copies, 1) > 0").withColumn("time", F.explode(times)).select(docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All texts as token ids in Simple-8b words (op 4), and the documents read back from them."""
+    path = shared_folder(spark) + "-tokens"
+    token_store.write_tokens(docs, path, tokenizer_file("word_bpe_49k.json"))
+    return token_store.read_tokens(spark, path)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_ids", token_stage),
+]
+
+#: Classifiers and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

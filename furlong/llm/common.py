@@ -1,8 +1,9 @@
 """Helpers that the corpus operators share."""
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it: space and \t \n \v \f \r.
@@ -42,3 +43,8 @@ def partitions(spark: SparkSession) -> int:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names; null text reads as empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once; expressions in lambdas are computed at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)

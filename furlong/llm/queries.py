@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, jaccard_join, substring_dedup, token_store
+from . import chat, decontamination, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, substring_dedup, token_store
 from .common import read, shared_folder, written
 
 
@@ -48,7 +48,27 @@ def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(docs, substring_dedup.repeated_passages(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_token_store, op5_jaccard_join, op6_exact_dedup, op7_chat_formatting, op8_substring_dedup)}
+def op2_pii_pseudonyms(spark, sf_dir):
+    return pii.pseudonymise(read(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.digest(line_dedup.line_dedup(read(spark, sf_dir, "documents")))
+
+
+def op9_quality_classifier(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+_OPERATORS = (
+    op1_benchmark_decontamination, op2_pii_pseudonyms, op3_line_dedup, op4_token_store, op5_jaccard_join,
+    op6_exact_dedup, op7_chat_formatting, op8_substring_dedup, op9_quality_classifier, op10_mixing,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 SQL = {}
 
@@ -85,3 +105,40 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        cast(sum(length(er) + length(et) + 4 + 2 + 9) as bigint) as formatted_chars
 from e group by conv_id
 """
+
+SQL["op3_line_dedup"] = r"""
+with l as (select doc_id, i, line, string_split(trim(regexp_replace(masked, '[\x20\x09\x0B-\x0D]+', ' ', 'g')), ' ') as t
+           from (select doc_id, unnest(range(1, len(a) + 1)) as i, unnest(a) as line, unnest(m) as masked
+                 from (select doc_id, string_split(coalesce(text, ''), chr(10)) as a,
+                              string_split(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*', '<*>', 'g'), chr(10)) as m from documents))),
+p as (select doc_id, i, line, case when len(t) >= 4 then array_to_string(t, ' ') end as path from l),
+r as (select path from (select distinct doc_id, path from p where path is not null) group by path having count(*) >= 10)
+select doc_id, count(*) as n_lines, count(*) filter (r.path is not null) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (r.path is null), '')) as kept_sha256
+from p left join r on p.path = r.path group by doc_id
+"""
+
+SQL["op5_jaccard_join"] = r"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as u(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select g from s group by g having count(*) > 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join c using (g) join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select p.a, p.b from p join n x on p.a = x.doc_id join n y on p.b = y.doc_id where 100 * k >= 75 * (x.n + y.n - k)),
+e2 as (select a, b from e union all select b, a from e),
+r as (select doc_id as v, doc_id as m from w union select e2.b, r.m from r join e2 on r.v = e2.a where r.m < e2.b)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, (select min(m) from r where r.v = w.doc_id) as component_id
+from w left join n on w.doc_id = n.doc_id
+"""
+
+SQL["op8_substring_dedup"] = r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as k from d, unnest(range(1, len(w) - 18)) as u(i) where len(w) >= 20),
+late as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as r from win) where r > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from late),
+words as (select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as x from d)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, count(gone.p) as n_removed,
+       sha256(coalesce(string_agg(x, ' ' order by words.p) filter (gone.p is null), '')) as kept_sha256
+from d left join words on d.doc_id = words.doc_id left join gone on words.doc_id = gone.doc_id and words.p = gone.p
+group by d.doc_id, len(d.w)
+"""
