@@ -14,37 +14,35 @@ from .shingles import SAME, Words, chunks
 WINDOW = 20
 #: Words of a minimizer.
 GRAM = 5
-#: Windows of one segment at most; a mask of them fits a long.
-RUN = 32
 #: Segments of a minimizer beyond which its windows are dealt out one by one.
 HOT = 2000
 
 
 def segments(w: Words, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one minimizer: minimizer hash, text number, first word, number of windows.
+    """Runs of windows with one minimizer in one place: minimizer hash, text number, first word, number of windows.
 
-    A window's minimizer is the smallest hash among its GRAM-word spans, so windows of equal
-    words always have equal minimizers, wherever they stand.
+    A window's minimizer is the smallest hash among its GRAM-word spans, the first of equal
+    ones, so windows of equal words always have equal minimizers, wherever they stand, and
+    equal windows of one document are in different runs.
     """
     n, spans = int(w.counts.sum()), window - GRAM + 1
     if n < window:
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    least = w.hashes(np.arange(n - GRAM + 1), np.arange(GRAM - 1, n))
-    size = 1
-    while size < spans:  # minima of doubling spans
+    gram = w.hashes(np.arange(n - GRAM + 1), np.arange(GRAM - 1, n))
+    least, size = np.arange(len(gram)), 1  # place of the first minimum of each span
+    while size < spans:  # spans double
         step = min(size, spans - size)
-        least = np.minimum(least[:-step], least[step:])
+        left, right = least[:-step], least[step:]
+        least = np.where(gram[right] < gram[left], right, left)
         size += step
     text = np.repeat(np.arange(len(w.counts)), w.counts)
     place = np.arange(n) - w.firsts[text]
     ok = np.flatnonzero(place[: n - window + 1] + window <= w.counts[text[: n - window + 1]])
     if not len(ok):
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    h, t = least[ok], text[ok]
-    cut = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))
-    begin = np.flatnonzero(cut)
-    within = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
-    begin = np.flatnonzero(within % RUN == 0)
+    at, t = least[ok], text[ok]
+    h, cut = gram[at], np.append(True, (at[1:] != at[:-1]) | (t[1:] != t[:-1]))
+    begin = np.flatnonzero(cut)  # a run has at most window - GRAM + 1 windows, so a mask of them fits a long
     return h[begin], t[begin], place[ok[begin]], np.diff(np.append(begin, len(h)))
 
 

@@ -12,7 +12,7 @@ def corpus(seed=2):
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(300)}"
     passages = [[word() for _ in range(rng.randrange(18, 90))] for _ in range(12)]
-    rows = [(1000, None), (1001, ""), (1002, "one two"), (1003, "Shti " * 90), (1004, " ".join(["a", "b"] * 60))]
+    rows = [(1000, None), (1001, ""), (1002, "one two"), (1003, "Shti " * 90), (1004, " ".join(["a", "b"] * 60)), (1005, "Alone " * 25)]
     for i in range(150):
         w = [word() for _ in range(rng.randrange(60))]
         for _ in range(rng.randrange(4)):
