@@ -1,9 +1,9 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame, and the SQL that gives the same rows."""
 
-from . import scalars, starts
+from . import ingest, scalars, starts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (scalars, starts):
+for module in (scalars, starts, ingest):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

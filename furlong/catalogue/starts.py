@@ -38,11 +38,11 @@ def r4(*names):
 
 @c.query("with " + FIELD + """
 select breed, horse_id, starts, wins, seconds, thirds, round(avg_finish, 4) avg_finish, round(form_3, 4) form_3, round(form_5, 4) form_5, round(form_10, 4) form_10, round(slope, 4) slope, round(speed_index, 4) speed_index,
- round(difficulty, 4) difficulty, round(consistency, 4) consistency, fatigue, round(rating, 4) rating, last_date from metrics
+ round(difficulty + 1e-8, 6) difficulty, round(consistency, 4) consistency, fatigue, round(rating, 4) rating, last_date from metrics
 """)
 def e05_horse_metrics(spark, d):
     """Also E7-E10 and F2-F4."""
-    return metrics(spark, d).select("breed", "horse_id", "starts", "wins", "seconds", "thirds", *r4("avg_finish", "form_3", "form_5", "form_10", "slope", "speed_index", "difficulty", "consistency"), "fatigue", *r4("rating"), "last_date")
+    return metrics(spark, d).select("breed", "horse_id", "starts", "wins", "seconds", "thirds", *r4("avg_finish", "form_3", "form_5", "form_10", "slope", "speed_index", "consistency"), F.round(F.col("difficulty") + 1e-8, 6).alias("difficulty"), "fatigue", *r4("rating"), "last_date")
 
 
 @c.query("with " + FIELD + """, p as (select *, row_number() over (partition by breed order by round(rating, 6) desc, wins desc, horse_id) as position from metrics)
