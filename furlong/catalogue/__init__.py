@@ -1,9 +1,9 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame, and the SQL that gives the same rows."""
 
-from . import ingest, scalars, starts
+from . import ingest, scalars, scoring, starts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (scalars, starts, ingest):
+for module in (scalars, starts, ingest, scoring):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

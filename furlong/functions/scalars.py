@@ -97,7 +97,7 @@ def finish_quality(c: Column) -> Column:
 
 
 def finish_points(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), 100.0 - 12.0 * (c - 1))
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), 100.0 - 12.0 * (c - 1)))  # greatest() would skip a null
 
 
 #: WMO weather codes and their labels.
