@@ -1,5 +1,7 @@
 """Queries over ingest, calendars, sets, quality and identity."""
 
+import tempfile
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,11 @@ QUERIES, SQL = c.queries, c.sql
 
 
 def keep(df):
-    """Cut lineage: a reliable checkpoint where the session names a folder, else a cached plan."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist()
+    """Cut lineage by a checkpoint in the folder that the session names; one of our own only where it names none."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="furlong-"))
+    return df.checkpoint()
 
 
 @c.query("""
