@@ -1,5 +1,6 @@
 """Helpers that the corpus operators share."""
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -30,10 +31,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}-{name}"
+    """Write to the shared folder and read back: cuts lineage and survives lost executors.
+
+    Spark removes shuffle files once the driver has collected the plan that made them; the
+    plan is of no more use here, so the driver collects now rather than at some later time.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}-{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

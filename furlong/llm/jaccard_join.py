@@ -10,8 +10,8 @@ from .common import id_and_text, partitions, written
 from .shingles import chunks, mix, shingle_sets
 
 SHINGLE_WORDS, PERCENT = 5, 75
-#: Bits of a document's token bitmap.
-BITS = 2048
+#: Least bits of a document's token bitmap; four times its tokens, as a power of two, if that is more.
+BITS = 1024
 #: A shingle in more than this share of the documents is heavy; there are at most (mean set size / share) of them.
 HEAVY_SHARE = 0.001
 #: Documents of a heavy shingle are dealt over blocks of about so many.
@@ -37,9 +37,9 @@ class SignatureTree:
     its own. With ORs and largest slacks the same holds for all sets below two nodes.
     """
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray):
+    def __init__(self, n: np.ndarray, bits: np.ndarray, levels: int = 99):
         self.levels = [(bits, n, n, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64))]
-        while len(self.levels[-1][1]) > LEAF:
+        while len(self.levels[-1][1]) > LEAF and len(self.levels) < levels:
             or_, low, high, slack = self.levels[-1]
             cut = np.arange(0, len(low), LEAF if len(self.levels) == 1 else FAN)
             self.levels.append((np.bitwise_or.reduceat(or_, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(slack, cut)))
@@ -96,11 +96,17 @@ def set_id(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[s & np.uint64(BITS - 1)] = 1
+    size = max(BITS, 1 << (4 * len(s) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[s & np.uint64(size - 1)] = 1
     return np.packbits(bits).tobytes()
 
 
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The bitmap at a smaller size: its parts one over the other, which keeps every bound valid."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 64), axis=0)
+
+
 def _signatures(k: int):
     def run(batches):
         for batch in batches:
@@ -112,13 +118,12 @@ def _signatures(k: int):
 
 
 def _own(k: int):
-    """Rows whose text has the set they are joined to; an id may repeat with other texts."""
+    """Documents with the id of their set."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            mine = [len(s) > 0 and set_id(s) == sid for sid, (_, s) in zip(ids, _sets(batch.select([1, 2]), k))]
-            yield batch.filter(pa.array(mine, pa.bool_()))
+            sids = [set_id(s) if len(s) else None for _, s in _sets(batch, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), batch.column(0), batch.column(1)], names=["sid", "doc_id", "text"])
 
     return run
 
@@ -148,13 +153,13 @@ def _often(k: int, share: float, at_once: int = 2_000_000):
 
 
 def _entries(k: int, percent: int, heavy):
-    """Each set's prefix, rarest shingles first: (bucket, sid); heavy shingles have a bucket for each pair of blocks."""
+    """Each set's prefix, rarest shingles first: (bucket, n, sid); heavy shingles have a bucket for each pair of blocks."""
 
     def run(batches):
         tokens, counts = heavy.value
         seen = set()
         for batch in batches:
-            buckets, sids = [], []
+            buckets, sids, sizes = [], [], []
             for _, s in _sets(batch, k):
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
@@ -176,10 +181,11 @@ def _entries(k: int, percent: int, heavy):
                 own = np.concatenate([own[: len(chosen)][many <= 1], own[len(chosen) :]])
                 buckets.append(own)
                 sids.append(np.full(len(own), sid, np.int64))
+                sizes.append(np.full(len(own), len(s), np.int32))
             if buckets:
-                b, s = np.concatenate(buckets).view(np.int64), np.concatenate(sids)
+                b, s, n = np.concatenate(buckets).view(np.int64), np.concatenate(sids), np.concatenate(sizes)
                 for at in range(0, len(b), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(b[at : at + 200_000]), pa.array(s[at : at + 200_000])], names=["bucket", "sid"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (b, n, s)], names=["bucket", "n", "sid"])
 
     return run
 
@@ -201,20 +207,38 @@ def _whole_runs(batches):
         yield pa.Table.from_batches(held)
 
 
-def _shared(batches):
-    """Sorted (bucket, sid) -> rows of buckets with two sets or more, and the bucket's first set."""
-    for t in _whole_runs(batches):
-        b, s = t.column(0).to_numpy(), t.column(1).to_numpy()
-        new = np.append(True, (b[1:] != b[:-1]) | (s[1:] != s[:-1])) if len(b) else np.zeros(0, bool)
-        b, s = b[new], s[new]
-        starts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(b)))
-        many = np.repeat(sizes > 1, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(b[many]), pa.array(s[many]), pa.array(np.repeat(s[starts], sizes)[many])], names=["bucket", "sid", "leader"])
+def _shared(percent: int):
+    """Sorted (bucket, n, sid) -> rows of buckets with two sets or more of sizes that can link.
+
+    Sizes in order are cut where neighbours differ too much to link, so a bucket becomes one
+    or several. `leader` is the first set of the bucket, or the one before where the first is
+    too small to link.
+    """
+
+    def run(batches):
+        for t in _whole_runs(batches):
+            b, n, s = (t.column(i).to_numpy() for i in range(3))
+            if not len(b):
+                continue
+            new = np.append(True, (b[1:] != b[:-1]) | (s[1:] != s[:-1]))
+            b, n, s = b[new], n[new].astype(np.int64), s[new]
+            starts = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (100 * n[:-1] < percent * n[1:])))
+            sizes = np.diff(np.append(starts, len(b)))
+            many = np.repeat(sizes > 1, sizes)
+            first, before = np.repeat(starts, sizes), np.maximum(np.arange(len(b)) - 1, 0)
+            leader = s[np.where(100 * n[first] >= percent * n, first, before)]
+            own = mix(b.view(np.uint64) ^ mix(n[first].astype(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own[many]), pa.array(s[many]), pa.array(leader[many])], names=["bucket", "sid", "leader"])
+
+    return run
 
 
 def _mixed(batches):
-    """Sorted (bucket, sid, component) -> rows of buckets with two components or more."""
+    """Sorted (bucket, sid, component) -> rows of buckets with two components or more.
+
+    A bucket is renamed by its sets: shingles of one passage often have the same documents,
+    and those buckets then are one.
+    """
     for t in _whole_runs(batches):
         b, s, c = (t.column(i).to_numpy() for i in range(3))
         if not len(b):
@@ -222,29 +246,67 @@ def _mixed(batches):
         starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
         sizes = np.diff(np.append(starts, len(b)))
         keep = np.repeat(np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(b[keep]), pa.array(s[keep]), pa.array(c[keep])], names=["bucket", "sid", "component"])
+        name = np.repeat(mix(np.add.reduceat(mix(s.view(np.uint64)), starts)), sizes).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(s[keep]), pa.array(c[keep])], names=["bucket", "sid", "component"])
+
+
+def _bounded(b, n, sid, comp, bits, percent: int) -> list[np.ndarray]:
+    """Pairs of sets of one bucket that could link; buckets of one leaf together, larger ones by a tree each."""
+    starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+    sizes = np.diff(np.append(starts, len(b)))
+    found = []
+    small = np.flatnonzero(np.repeat(sizes <= LEAF, sizes))
+    leaf = SignatureTree(n, bits, levels=1)
+    for d in range(1, LEAF):
+        i = small[small + d < len(b)]
+        i = i[(b[i] == b[i + d]) & (comp[i] != comp[i + d])]
+        i = i[leaf.possible(0, i, i + d, percent)]
+        found.append(np.stack([sid[i], sid[i + d]], axis=1))
+    for s, e in zip(starts[sizes > LEAF], (starts + sizes)[sizes > LEAF]):
+        for i, j in SignatureTree(n[s:e], bits[s:e]).pairs(comp[s:e], percent):
+            found.append(np.stack([sid[s + i], sid[s + j]], axis=1))
+            if sum(map(len, found)) > 1_000_000:
+                found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
+    return found
 
 
 def _tree_pairs(percent: int):
-    """Sorted (bucket, sid, component, n, bits) -> pairs (a, b) that a tree of the bucket can't rule out."""
+    """Sorted (bucket, n, sid, component, bits) -> pairs (a, b) that the bucket's tree can't rule out."""
 
     def run(batches):
         for t in _whole_runs(batches):
-            b, sid, comp, n = (t.column(i).to_numpy() for i in range(4))
+            b, n, sid, comp = (t.column(i).to_numpy() for i in range(4))
             if not len(b):
                 continue
-            bits = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(len(b), BITS // 64)
             starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-            found = []
-            for s, e in zip(starts, np.append(starts[1:], len(b))):
-                order = s + np.argsort(n[s:e], kind="stable")
-                for i, j in SignatureTree(n[order], bits[order]).pairs(comp[order], percent):
-                    x, y = sid[order[i]], sid[order[j]]
-                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-            if found:
-                p = np.unique(np.concatenate(found), axis=0)
-                for at in range(0, len(p), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(p[at : at + 100_000, 0]), pa.array(p[at : at + 100_000, 1])], names=["a", "b"])
+            sizes = np.diff(np.append(starts, len(b)))
+            whole = t.column(4).to_pylist()
+            width = np.repeat(np.minimum.reduceat(np.array([8 * len(x) for x in whole]), starts), sizes)
+            found = [np.zeros((0, 2), np.int64)]
+            for k in np.unique(width):  # buckets of one bitmap size
+                own = np.flatnonzero(width == k)
+                found += _bounded(b[own], n[own], sid[own], comp[own], np.stack([folded(whole[i], k) for i in own]), percent)
+            p = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            for at in range(0, len(p), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(p[at : at + 100_000, 0]), pa.array(p[at : at + 100_000, 1])], names=["a", "b"])
+
+    return run
+
+
+def _possible(percent: int):
+    """(a, na, bits_a, b, nb, bits_b) -> pairs whose whole bitmaps allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb, ba, bb = (batch.column(c).to_pylist() for c in ("na", "nb", "bits_a", "bits_b"))
+            size = np.array([8 * min(len(x), len(y)) for x, y in zip(ba, bb)])
+            ok = np.zeros(len(size), bool)
+            for k in np.unique(size):
+                own = np.flatnonzero(size == k)
+                bits = np.stack([folded(x[i], k) for x in (ba, bb) for i in own])
+                at = np.arange(len(own))
+                ok[own] = SignatureTree(np.array([x[i] for x in (na, nb) for i in own]), bits, levels=1).possible(0, at, at + len(own), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
 
     return run
 
@@ -268,11 +330,16 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of set ids that link, as (src, dst) of their documents."""
+def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of set ids that link, as (src, dst) of their documents; whole bitmaps first, then whole texts."""
+    side = lambda x: signatures.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    left = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "na", "bits_a", "b", "nb", "bits_b").mapInArrow(_possible(percent), "a long, b long"), "pairs")
+    # only the texts of sets in a pair; where they are few, Spark sends their ids to the scan
+    needed = written(sets.join(left.select(F.col("a").alias("sid")).union(left.select("b")).distinct(), "sid", "left_semi").select("doc_id"), "needed")
+    texts = written(docs.join(needed, "doc_id", "left_semi").mapInArrow(_own(k), "sid long, doc_id long, text string").join(sets.select("sid", "doc_id"), ["sid", "doc_id"], "left_semi"), "texts")
     a = texts.select(F.col("sid").alias("a"), F.col("doc_id").alias("src"), F.col("text").alias("text_a"))
     b = texts.select(F.col("sid").alias("b"), F.col("doc_id").alias("dst"), F.col("text").alias("text_b"))
-    return pairs.join(b, "b").join(a, "a").select("src", "dst", "text_a", "text_b").mapInArrow(_verify(k, percent), "src long, dst long")
+    return written(left.join(b, "b").join(a, "a").select("src", "dst", "text_a", "text_b").mapInArrow(_verify(k, percent), "src long, dst long"), "links")
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,12 +352,13 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
     2. Linked sets share a shingle of their prefixes (the rarest n - ceil(t n) + 1). Frequent
        shingles, counted over all documents, come last in the order; that changes which
        buckets arise, never whether a pair meets. Buckets of one set fall away.
-    3. The first set of each bucket is compared with the others: a star, not all pairs.
-       Verified links give components, which settle most buckets.
+    3. A star in each bucket, not all pairs, gives first links and components, so that a large
+       group of near copies costs one comparison a document.
     4. In buckets that still hold several components, signature trees (OR-combined bitmaps
        and size ranges) are traversed against themselves; node pairs whose largest possible
        overlap is too small are pruned, and pairs of one component are skipped.
-    5. Surviving pairs are compared exactly, on the sets of the whole texts.
+    5. Surviving pairs of 3 and 4 are bounded once more by their whole bitmaps, then compared
+       exactly, on the sets of the whole texts.
 
     Heavy shingles (more than HEAVY_SHARE of all documents, so a list of bounded length) are
     dealt over pairs of blocks of BLOCK_DOCS sets.
@@ -309,22 +377,19 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
     tokens, counts = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     order = np.argsort(tokens)
     heavy = spark.sparkContext.broadcast((tokens[order], counts[order]))
-    entries = texts.where("doc_id is not null").mapInArrow(_entries(k, percent, heavy), "bucket long, sid long")
-    shared = written(entries.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "sid").mapInArrow(_shared, "bucket long, sid long, leader long"), "buckets")
-
-    # the texts of sets that share a bucket with another; all comparisons read these
-    meeting = sets.join(shared.select("sid").distinct(), "sid", "left_semi")
-    held = written(texts.join(meeting.select("sid", "doc_id"), "doc_id").select("sid", "doc_id", "text").mapInArrow(_own(k), "sid long, doc_id long, text string"), "texts")
-    stars = shared.where("sid != leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
-    links = written(_links(stars, held, k, percent), "links")
-    components = connected_components(links, written)
+    entries = texts.where("doc_id is not null").mapInArrow(_entries(k, percent, heavy), "bucket long, n int, sid long")
+    by_bucket = lambda df, *order: df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", *order)
+    shared = written(by_bucket(entries, "n", "sid").mapInArrow(_shared(percent), "bucket long, sid long, leader long"), "buckets")
+    signatures = written(rows.select("sid", "n", "bits").join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "shared-signatures")
 
-    known = held.select("sid", "doc_id").join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("component"))
-    by_bucket = lambda df: df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    mixed = written(by_bucket(shared.select("bucket", "sid").join(known, "sid").select("bucket", "sid", "component")).mapInArrow(_mixed, "bucket long, sid long, component long"), "mixed")
-    needed = rows.select("sid", "n", "bits").join(mixed.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
-    pairs = by_bucket(mixed.join(needed, "sid").select("bucket", "sid", "component", "n", "bits")).mapInArrow(_tree_pairs(percent), "a long, b long").distinct()
-    more = written(_links(pairs, held, k, percent), "more-links")
+    stars = shared.where("sid != leader").select(F.least("leader", "sid").alias("a"), F.greatest("leader", "sid").alias("b")).distinct()
+    links = _links(stars, texts, sets, signatures, k, percent)
+    components = connected_components(links, written)
+    known = sets.select("sid", "doc_id").join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("component"))
+    mixed = written(by_bucket(shared.select("bucket", "sid").join(known, "sid").select("bucket", "sid", "component")).mapInArrow(_mixed, "bucket long, sid long, component long").dropDuplicates(["bucket", "sid"]), "mixed")
+    nodes = mixed.join(signatures, "sid").select("bucket", "n", "sid", "component", "bits")
+    pairs = by_bucket(nodes, "n", "sid").mapInArrow(_tree_pairs(percent), "a long, b long").distinct()
+    more = _links(pairs, texts, sets, signatures, k, percent)
     if not more.isEmpty():
         components = connected_components(links.union(more), written)
     of_set = sets.select("sid", "doc_id").join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("component"))
