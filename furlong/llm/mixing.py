@@ -36,14 +36,15 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     domain = (F.col("quality") * 2 + F.col("toxic")).cast("double")
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("label")).where("doc_id is not null and label in (0, 1, 2, 3)").dropDuplicates(["doc_id"])
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    counts = dict(sample.groupBy("label").count().collect())
+    hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="words", outputCol="features")
+    known = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("label", words(F.col("text")).alias("words"))
+    fit = written(hashing.transform(known).select("label", "features"), "fit")
+    counts = {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}
     if len(counts) < 2:
         share = np.array([counts.get(float(i), 0) for i in range(len(DOMAINS))], float)
         share = share / share.sum() if share.sum() else np.full(len(DOMAINS), 1 / len(DOMAINS))
         return texts.select("doc_id", F.size(_tokens(F.col("text"))).cast("long").alias("n_tokens"), F.array(*map(F.lit, share.tolist())).alias("p"))
-    hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="words", outputCol="features")
-    fit = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("label", words(F.col("text")).alias("words"))
-    model = LogisticRegression(maxIter=25, regParam=2e-3, standardization=False, family="multinomial").fit(written(hashing.transform(fit).select("label", "features"), "fit"))
+    model = LogisticRegression(maxIter=25, regParam=2e-3, standardization=False, family="multinomial").fit(fit)
     scored = model.transform(hashing.transform(texts.select("doc_id", F.size(_tokens(F.col("text"))).cast("long").alias("n_tokens"), words(F.col("text")).alias("words"))))
     p = vector_to_array("probability")
     n = model.numClasses
