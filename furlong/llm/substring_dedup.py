@@ -68,16 +68,24 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, sigma: int, depth: int = WINDOW):
         n = len(text)
-        rank, width, span = text.astype(np.int64), sigma, 1
-        while True:
-            after = np.append(rank[span:], np.full(min(span, n), -1))[:n] if span < depth else None
-            if after is None:
+        after = np.append(text, [0, 0])
+        key = (text * sigma + after[1 : n + 1]) * sigma + after[2 : n + 2]  # three words at once
+        order = np.argsort(key, kind="stable")
+        first, place, span = np.append(True, np.diff(key[order]) != 0), np.arange(n), 3
+        rank = np.empty(n + 1, np.int64)
+        rank[order], rank[n] = np.maximum.accumulate(np.where(first, place, 0)), -1
+        while span < depth:  # spans double; only suffixes that still tie are sorted again
+            tied = np.flatnonzero(~(first & np.append(first[1:], True)))
+            if not len(tied):
                 break
-            _, rank = np.unique(rank * (width + 1) + after + 1, return_inverse=True)
-            width, span = int(rank.max()) + 1, span * 2
-            if width == n:
-                break
-        self.suffixes = np.argsort(rank, kind="stable")
+            rows = order[tied]
+            key = rank[rows] * (n + 1) + rank[np.minimum(rows + span, n)] + 1
+            again = np.argsort(key, kind="stable")
+            order[tied] = rows = rows[again]
+            first[tied] = new = np.append(True, np.diff(key[again]) != 0)
+            rank[rows] = tied[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+            span *= 2
+        self.suffixes = order
         bwt = text[self.suffixes - 1]
         self.before = np.append(0, np.cumsum(np.bincount(text, minlength=sigma)))  # words smaller than each
         self.levels = []
@@ -100,67 +108,91 @@ class FMIndex:
         """How often each word c stands in the first i places of the transform."""
         return self._down(c, i) - self.origins[c]
 
-    def repeated(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which of the patterns text[start : start + length] occur twice or more, and their rows [low, high)."""
+    def repeated(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the patterns text[start : start + length] occur twice or more, and their rows [low, high).
+
+        The last array is for all patterns: from where to the pattern's end the text already is
+        the only one of its kind, -1 for the repeated ones.
+        """
         live, c = np.arange(len(starts)), text[starts + length - 1]
-        low, high = self.before[c], self.before[c + 1]
-        for back in range(length - 2, -1, -1):
-            many = high - low > 1  # a match of one row is the pattern itself: it can't reach the threshold elsewhere
+        low, high, alone = self.before[c], self.before[c + 1], np.full(len(starts), -1)
+        for back in range(length - 2, -2, -1):
+            many = high - low > 1
+            alone[live[~many]] = starts[live[~many]] + back + 1
             live, low, high = live[many], low[many], high[many]
-            if not len(live):
+            if back < 0 or not len(live):
                 break
             c = text[starts[live] + back]
             both = self.occurrences(np.append(c, c), np.append(low, high))
             low, high = self.before[c] + both[: len(c)], self.before[c] + both[len(c) :]
-        many = high - low > 1
-        return live[many], low[many], high[many]
+        return live, low, high, alone
+
 
+def _cut(window: int, once: bool = False, remembered: int = 500_000):
+    """(doc_id, packed text, runs) -> occurrences: key (128 bits of the words), doc_id, first word, windows.
 
-def _cut(window: int):
-    """(doc_id, packed text, segments) -> occurrences: route, words, doc_id, first word, windows."""
+    With `once`, route and words come along, and a task leaves out words that it has sent with
+    an earlier place already: equal runs combine before the shuffle, so that none of them is
+    hot after it.
+    """
 
     def run(batches):
-        unzip = zstandard.ZstdDecompressor()
+        unzip, sent = zstandard.ZstdDecompressor(), {}
         for batch in batches:
-            for doc_id, z, segs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            segs = batch.column(2)
+            ends = segs.offsets.to_numpy()
+            runs = segs.values
+            minimizer, at, hot = (runs.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for doc_id, z, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                 text = unzip.decompress(z)
                 words = text.translate(SAME).split()
-                routes, cuts, starts, sizes = [], [], [], []
-                hot = []
-                for s in segs:
-                    start, n = divmod(s["at"], 64)
-                    if s["hot"]:
-                        hot += range(start, start + n)
-                    else:
-                        routes.append(s["minimizer"])
-                        starts.append(start)
-                        sizes.append(n)
-                if hot:
-                    w, first = Words([text.decode()], SAME), np.array(hot)
-                    routes += w.hashes(first, first + window - 1).view(np.int64).tolist()
-                    starts += hot
-                    sizes += [1] * len(hot)
-                cuts = [b" ".join(words[a : a + n + window - 1]) for a, n in zip(starts, sizes)]
-                for at in range(0, len(cuts), 5000):
-                    yield pa.RecordBatch.from_arrays([pa.array(routes[at : at + 5000], pa.int64()), pa.array(cuts[at : at + 5000], pa.binary()), pa.array([doc_id] * len(cuts[at : at + 5000]), pa.int64()), pa.array(starts[at : at + 5000], pa.int64()), pa.array(sizes[at : at + 5000], pa.int64())], names=["route", "words", "doc_id", "start", "n"])
+                start, n = np.divmod(at[a:b], 64)
+                lone = hot[a:b]
+                routes, starts, sizes = minimizer[a:b][~lone].tolist(), start[~lone].tolist(), n[~lone].tolist()
+                if lone.any():
+                    first = np.concatenate([np.arange(x, x + k) for x, k in zip(start[lone], n[lone])])
+                    routes += Words([text.decode()], SAME).hashes(first, first + window - 1).view(np.int64).tolist()
+                    starts += first.tolist()
+                    sizes += [1] * len(first)
+                for route, x, k in zip(routes, starts, sizes):
+                    cut = b" ".join(words[x : x + k + window - 1])
+                    key = hashlib.md5(cut).digest()
+                    if once:
+                        if key in sent and sent[key] <= (doc_id, x):
+                            continue
+                        if len(sent) > remembered:
+                            sent.clear()
+                        sent[key] = (doc_id, x)
+                    for column, value in zip(out, (key, doc_id, x, k, route, cut)):
+                        column.append(value)
+            kinds = [("key", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("route", pa.int64()), ("words", pa.binary())][: 6 if once else 4]
+            for i in range(0, len(out[0]), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 10_000], k) for c, (_, k) in zip(out, kinds)], names=[name for name, _ in kinds])
 
     return run
 
 
 def _search(window: int, step: int = 100_000):
-    """A shard's distinct segments -> those windows of each that also start earlier, as a mask."""
+    """A shard's segments -> each distinct one's earliest place, and those of its windows that also start before it, as a mask."""
 
     def run(batches):
-        columns = pa.Table.from_batches(batches, pa.schema([("key", pa.binary()), ("words", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64())]))
-        if not columns.num_rows:
+        places: dict[bytes, tuple[int, int]] = {}
+        for batch in batches:
+            for words, *place in zip(*(batch.column(c).to_pylist() for c in ("words", "doc_id", "start"))):
+                if words not in places or tuple(place) < places[words]:
+                    places[words] = tuple(place)
+        if not places:
             return
-        cuts = [x.split(b" ") for x in columns.column("words").to_pylist()]
+        keys = [hashlib.md5(x).digest() for x in places]
+        doc, first = (np.array([p[i] for p in places.values()], np.int64) for i in (0, 1))
+        cuts = [x.split(b" ") for x in places]
+        places.clear()
         number: dict[bytes, int] = {}
         lens = np.array([len(x) for x in cuts])
         begin = np.cumsum(lens + 1) - lens - 1
         text = np.zeros(int((lens + 1).sum()), np.int64)  # 0 ends a segment
         text[np.arange(lens.sum()) + np.repeat(np.arange(len(lens)), lens)] = [number.setdefault(w, len(number) + 1) for x in cuts for w in x]
-        doc, first = columns.column("doc_id").to_numpy(), columns.column("start").to_numpy()
         index = FMIndex(text, len(number) + 1, window)
         segment = np.repeat(np.arange(len(lens)), lens + 1)
         place = np.arange(len(text)) - begin[segment]
@@ -170,19 +202,25 @@ def _search(window: int, step: int = 100_000):
         age = np.zeros(len(text), np.int64)
         age[order] = np.cumsum(np.append(0, (d[1:] != d[:-1]) | (f[1:] != f[:-1])))
         in_rows = np.append(age[index.suffixes], np.iinfo(np.int64).max)
-        windows = np.flatnonzero(place + window <= lens[segment])
         masks = np.zeros(len(lens), np.uint64)
-        for at in range(0, len(windows), step):
-            own = windows[at : at + step]
-            live, low, high = index.repeated(text, own, window)
-            if len(live):
-                rows, back = np.unique(low, return_inverse=True)
-                top = np.zeros(len(rows), np.int64)
-                top[back] = high
-                earliest = np.minimum.reduceat(in_rows, np.stack([rows, top], axis=1).ravel())[::2][back]
-                late = own[live][age[own[live]] > earliest]
-                np.bitwise_or.at(masks, segment[late], np.uint64(1) << place[late].astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([columns.column("key").combine_chunks(), columns.column("doc_id").combine_chunks(), columns.column("start").combine_chunks(), pa.array(masks.view(np.int64))], names=["key", "from_doc", "from_start", "mask"])
+        # from the left of each run: where a search ends early, all windows with that stretch are settled at once
+        todo, limit = begin.copy(), begin + lens - window
+        while len(todo):
+            nxt = []
+            for i in range(0, len(todo), step):
+                own = todo[i : i + step]
+                live, low, high, alone = index.repeated(text, own, window)
+                if len(live):
+                    rows, back = np.unique(low, return_inverse=True)
+                    top = np.zeros(len(rows), np.int64)
+                    top[back] = high
+                    earliest = np.minimum.reduceat(in_rows, np.stack([rows, top], axis=1).ravel())[::2][back]
+                    late = own[live][age[own[live]] > earliest]
+                    np.bitwise_or.at(masks, segment[late], np.uint64(1) << place[late].astype(np.uint64))
+                after = np.maximum(own, alone) + 1
+                nxt.append(after[after <= limit[segment[own]]])
+            todo = np.concatenate(nxt)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(doc), pa.array(first), pa.array(masks.view(np.int64))], names=["key", "from_doc", "from_start", "mask"])
 
     return run
 
@@ -207,13 +245,15 @@ def _removed(window: int):
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc_id, z, flags in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            ends, runs = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            start, mask = runs.field(0).to_numpy(), runs.field(1).to_numpy()
+            for doc_id, z, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                 words = unzip.decompress(z).translate(SAME).split()
                 change = np.zeros(len(words) + 1, np.int64)
-                for s in flags:
-                    first = s["start"] + np.flatnonzero(np.unpackbits(np.array([s["mask"]], np.int64).view(np.uint8), bitorder="little"))
-                    np.add.at(change, first, 1)
-                    np.add.at(change, first + window, -1)
+                run_, bit = np.nonzero(np.unpackbits(np.ascontiguousarray(mask[a:b]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                first = start[a:b][run_] + bit
+                np.add.at(change, first, 1)
+                np.add.at(change, first + window, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 out.append((doc_id, int(gone.sum()), b" ".join(w for w, g in zip(words, gone) if not g).decode(), [{"first": int(a), "last": int(b) - 1} for a, b in edges.reshape(-1, 2)]))
@@ -252,13 +292,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
     of_doc = runs.join(often, "minimizer").groupBy("doc_id").agg(F.collect_list(F.struct("minimizer", "at", "hot")).alias("segs"))
     # the texts that hold candidates, packed; all later steps read these
     held = written(texts.mapInArrow(_zip, "doc_id long, z binary").join(of_doc, "doc_id"), "candidates")
-    found = held.select("doc_id", "z", "segs").mapInArrow(_cut(window), "route long, words binary, doc_id long, start long, n long")
-    key = F.unhex(F.md5("words"))
-    distinct = found.groupBy("route", "words").agg(F.min(F.struct("doc_id", "start")).alias("o")).select("route", key.alias("key"), "words", "o.doc_id", "o.start")
-    shards = distinct.repartition(partitions(spark), "route").select("key", "words", "doc_id", "start").mapInArrow(_search(window), "key binary, from_doc long, from_start long, mask long")
+    sent = held.select("doc_id", "z", "segs").mapInArrow(_cut(window, once=True), "key binary, doc_id long, start long, n long, route long, words binary")
+    shards = written(sent.select("route", "words", "doc_id", "start").repartition(partitions(spark), "route").mapInArrow(_search(window), "key binary, from_doc long, from_start long, mask long"), "shards")
+    found = held.select("doc_id", "z", "segs").mapInArrow(_cut(window), "key binary, doc_id long, start long, n long")
     every = F.when(F.col("n") == 64, F.lit(-1)).otherwise(F.expr("shiftleft(1L, cast(n as int)) - 1"))
     own = (F.col("doc_id") == F.col("from_doc")) & (F.col("start") == F.col("from_start"))
-    flagged = found.select("doc_id", "start", "n", key.alias("key")).join(shards, "key").select("doc_id", "start", F.when(own, F.col("mask")).otherwise(every).alias("mask")).where("mask != 0")
+    flagged = found.join(shards, "key").select("doc_id", "start", F.when(own, F.col("mask")).otherwise(every).alias("mask")).where("mask != 0")
     by_doc = flagged.groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("flags"))
     return held.select("doc_id", "z").join(by_doc, "doc_id").select("doc_id", "z", "flags").mapInArrow(_removed(window), "doc_id long, n_removed long, kept_text string, spans array<struct<first:int,last:int>>")
 

@@ -40,7 +40,8 @@ def test_backward_search_counts():
     index = sd.FMIndex(text, 9, 20)
     s = "".join(map(str, text))
     starts = np.arange(0, 2000)
-    live, low, high = index.repeated(text, starts, 4)
+    live, low, high, alone = index.repeated(text, starts, 4)
+    assert (alone[live] == -1).all() and (np.delete(alone, live) >= 0).all()
     want = {i: sum(s.startswith(s[i : i + 4], j) for j in range(len(s))) for i in range(0, 2000, 37)}
     got = dict(zip(live.tolist(), (high - low).tolist()))
     assert all(got.get(i, 1) == n for i, n in want.items())
