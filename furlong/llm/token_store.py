@@ -2,6 +2,7 @@
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ BLOCK = 1024
 #: A row of the file closes with the document that takes it past so many ids.
 ROW_IDS = 1 << 17
 #: Words whose ids a Python worker remembers at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 FILE_SCHEMA = "part int, seq int, first long, n_ids long, block_words binary, words binary, exceptions binary, doc_ids array<long>, doc_lens array<long>"
 
@@ -91,44 +92,100 @@ def unpack(words: np.ndarray, block_words: np.ndarray, exceptions: np.ndarray, n
     return out
 
 
+#: Byte-level vocabularies write a byte as the printable character of its number, the others as U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTED)}
+
+
+class Numbers(dict):
+    """Words' numbers; a new word gets the next one and waits in `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
+#: A word of letters up to U+00FF, then ASCII marks but no apostrophe, is cut by the pre-tokenizer in just these two.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordIds:
     """Ids of whole texts from a tokenizer whose pre-tokenizer always splits at white space.
 
-    Each distinct word goes through the tokenizers library once; texts are then joined from
-    the remembered ids. The memory is emptied at CACHE_WORDS.
+    Each distinct word goes through the tokenizers library once, and so does each distinct
+    run of letters in them; texts are then joined from the remembered ids. The memory is
+    emptied at CACHE_WORDS. `word_end` is how the vocabulary marks the last id of a pre-token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, word_end: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # lower-case pieces of these letters are in normal form; they need only their bytes and the merges
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        size = self.tokenizer.get_vocab_size()
+        self.last = np.zeros(size, bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(word_end)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.pieces = Numbers(), Numbers()
+        self.pieces[""] = 0  # a word is two pieces; the second is often empty
+        self.first, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, pieces: list[str], plain: np.ndarray) -> None:
+        """Ids of new pieces. The plain ones are encoded as one text and cut after each last id of a pre-token."""
+        own = [p for p, ok in zip(pieces, plain) if ok]
+        ids = np.array(self.merges.encode_batch_fast([" ".join(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARS) for p in own)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        odd = [e.ids for e in self.tokenizer.encode_batch_fast([p for p, ok in zip(pieces, plain) if not ok], add_special_tokens=False)]
+        lens = np.zeros(len(pieces), np.int64)
+        lens[plain], lens[~plain] = np.diff(np.append(0, ends)), [len(x) for x in odd]
+        starts = np.zeros(len(pieces), np.int64)
+        starts[plain] = ends - lens[plain]
+        starts[~plain] = len(ids) + np.cumsum(lens[~plain]) - lens[~plain]
+        self.starts, self.lens = np.append(self.starts, len(self.ids) + starts), np.append(self.lens, lens)
+        self.ids = np.concatenate([self.ids, ids, np.array(list(chain.from_iterable(odd)), np.uint32)])
 
     def add(self, new: list[str]) -> None:
-        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        lens = np.array([len(x) for x in got], np.int64)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lens) - lens)
-        self.lens, self.ids = np.append(self.lens, lens), np.concatenate([self.ids, *got])
+        number, odd, first, second = self.pieces.__getitem__, set(), [], []
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
+                first.append(number(core.lower()))
+                second.append(number(w[len(core) :]))
+            else:
+                first.append(number(w))
+                second.append(0)
+                if core:
+                    odd.add(w)
+        self.first, self.second = np.append(self.first, np.array(first, np.int64)), np.append(self.second, np.array(second, np.int64))
+        if pieces := self.pieces.new:
+            self.learn(pieces, np.array([p not in odd for p in pieces]))
+            self.pieces.new = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and each text's number of ids."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if new := set().union(*words).difference(self.known):
-            self.add(sorted(new))
-        index = np.fromiter((self.known[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
-        lens = self.lens[index]
+        lower = (t.lower() if t.isascii() else t for t in texts)  # as the vocabulary does; fewer distinct words
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in lower]
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        if self.known.new:
+            self.add(self.known.new)
+            self.known.new = []
+        pieces = np.stack([self.first[index], self.second[index]], axis=1).ravel()
+        lens = self.lens[pieces]
         total = np.cumsum(lens)
-        gather = np.repeat(self.starts[index] - (total - lens), lens) + np.arange(total[-1] if len(total) else 0)
-        ends = np.cumsum([len(ws) for ws in words])
-        upto = np.append(0, total)[ends]
+        gather = np.repeat(self.starts[pieces] - (total - lens), lens) + np.arange(total[-1] if len(total) else 0)
+        upto = np.append(0, total)[2 * np.cumsum([len(ws) for ws in words])]
         return self.ids[gather], np.diff(np.append(0, upto))
 
 
