@@ -17,6 +17,8 @@ HEAVY_SHARE = 0.001
 #: Documents of a heavy shingle are dealt over blocks of about so many.
 BLOCK_DOCS = 4096
 LEAF, FAN = 16, 8
+#: Rounds of random partners before the trees, and partners of a set in a round. They only spare the trees work.
+ROUNDS, PARTNERS = 2, 4
 
 
 def required(na, nb, percent: int = PERCENT):
@@ -234,10 +236,11 @@ def _shared(percent: int):
 
 
 def _mixed(batches):
-    """Sorted (bucket, sid, component) -> rows of buckets with two components or more.
+    """Sorted (bucket, sid, component) -> rows of buckets with two components or more, each with a random partner.
 
     A bucket is renamed by its sets: shingles of one passage often have the same documents,
-    and those buckets then are one.
+    and those buckets then are one. The partner is the next set in a random order of the
+    bucket, null if it is in the same component already.
     """
     for t in _whole_runs(batches):
         b, s, c = (t.column(i).to_numpy() for i in range(3))
@@ -245,9 +248,17 @@ def _mixed(batches):
             continue
         starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
         sizes = np.diff(np.append(starts, len(b)))
-        keep = np.repeat(np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts), sizes)
-        name = np.repeat(mix(np.add.reduceat(mix(s.view(np.uint64)), starts)), sizes).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(s[keep]), pa.array(c[keep])], names=["bucket", "sid", "component"])
+        run = np.repeat(np.arange(len(starts)), sizes)
+        keep = (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts))[run]
+        name = mix(np.add.reduceat(mix(s.view(np.uint64)), starts))[run]
+        order = np.lexsort((mix(s.view(np.uint64) ^ name ^ mix(c.view(np.uint64))), run))
+        following = np.append(order[1:], order[:1])
+        ends = starts + sizes - 1
+        following[ends] = order[starts]  # the last is followed by the first
+        partner = np.empty(len(b), np.int64)
+        partner[order] = following
+        same = c[partner] == c
+        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)[keep]), pa.array(s[keep]), pa.array(c[keep]), pa.array(s[partner][keep], mask=same[keep])], names=["bucket", "sid", "component", "partner"])
 
 
 def _bounded(b, n, sid, comp, bits, percent: int) -> list[np.ndarray]:
@@ -354,6 +365,8 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
        buckets arise, never whether a pair meets. Buckets of one set fall away.
     3. A star in each bucket, not all pairs, gives first links and components, so that a large
        group of near copies costs one comparison a document.
+       Then, for two rounds, each set meets a few random partners of other components in its
+       buckets, which joins groups whose members are close to each other but not to the star.
     4. In buckets that still hold several components, signature trees (OR-combined bitmaps
        and size ranges) are traversed against themselves; node pairs whose largest possible
        overlap is too small are pruned, and pairs of one component are skipped.
@@ -384,9 +397,15 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
 
     stars = shared.where("sid != leader").select(F.least("leader", "sid").alias("a"), F.greatest("leader", "sid").alias("b")).distinct()
     links = _links(stars, texts, sets, signatures, k, percent)
-    components = connected_components(links, written)
-    known = sets.select("sid", "doc_id").join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("component"))
-    mixed = written(by_bucket(shared.select("bucket", "sid").join(known, "sid").select("bucket", "sid", "component")).mapInArrow(_mixed, "bucket long, sid long, component long").dropDuplicates(["bucket", "sid"]), "mixed")
+    for round_ in range(ROUNDS + 1):
+        components = connected_components(links, written)
+        known = sets.select("sid", "doc_id").join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("component"))
+        mixed = written(by_bucket(shared.select("bucket", "sid").join(known, "sid").select("bucket", "sid", "component")).mapInArrow(_mixed, "bucket long, sid long, component long, partner long").dropDuplicates(["bucket", "sid"]), "mixed")
+        if round_ == ROUNDS:
+            break
+        few = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("bucket", "sid", F.lit(round_)).alias("h"), "partner"))), 1, PARTNERS)
+        met = mixed.where("partner is not null").groupBy("sid").agg(few.alias("few")).select("sid", F.explode("few.partner").alias("partner"))
+        links = written(links.union(_links(met.select(F.least("sid", "partner").alias("a"), F.greatest("sid", "partner").alias("b")).distinct(), texts, sets, signatures, k, percent)).distinct(), "links")
     nodes = mixed.join(signatures, "sid").select("bucket", "n", "sid", "component", "bits")
     pairs = by_bucket(nodes, "n", "sid").mapInArrow(_tree_pairs(percent), "a long, b long").distinct()
     more = _links(pairs, texts, sets, signatures, k, percent)
