@@ -19,8 +19,8 @@ def lines(text: Column) -> Column:
 def template_ids(text: Column, min_tokens: int = MIN_TOKENS) -> Column:
     """For each line, 128 bits of its leaf in the tree; null for lines of fewer tokens.
 
-    A path is the token count, then the tokens in order, variable fields generalised; lines of
-    one path share the leaf, so the hash of the whole path stands for walking it.
+    A path is the token count, then the tokens in order, variable fields generalised; the leaf
+    is the hash of the whole path, so two lines share it only if their masked tokens are equal.
     """
 
     def leaf(line: Column) -> Column:
@@ -38,8 +38,8 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
     Returns one row per document: doc_id, n_lines, n_dropped, text (the lines left, joined by
     newlines; dropped lines leave nothing).
 
-    A template is a leaf of a tree of fixed depth by token count, then leading tokens, then the
-    remaining ones; tokens that hold digits, an @ or a scheme are one variable field. A
+    A template is the token count and all tokens in order; tokens that hold digits, an @ or a
+    scheme are one variable field, and no other position is generalised. A
     document counts once for each of its templates; counts combine before the shuffle, so a
     line that is in a third of all documents costs one row per task. Lines are then matched to
     recurring templates by hash, and only the templates that a document has to drop travel
