@@ -1,5 +1,6 @@
 """Quality classifier: co-training of a text view and a metadata view, combined after calibration."""
 
+import copy
 import zlib
 
 import numpy as np
@@ -7,18 +8,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .decontamination import _FOLD
 from .shingles import Words, chunks
 
-#: Bounds of what the models are fitted on: labelled documents and unlabelled ones, those of least hash.
-FIT_ROWS, POOL_ROWS = 16_000, 8_000
+#: Bound of the labelled documents that the models are fitted on, those of least hash.
+FIT_ROWS = 16_000
 #: Hashed words; of these, so many at most enter the model of a head, by their association with the label.
 WORDS, CHOSEN, LEAST_Z = 1 << 18, 400, 5.0
-BINS, META = 10, 1 << 12
-ROUNDS, CONFIDENT, ADDED = 3, 0.02, 0.05
+BINS, META, FIELDS = 10, 1 << 12, 5
+ROUNDS, CONFIDENT, STEPS = 3, 0.02, 12
 #: A label needs so many documents of either kind; else it rejects nothing.
 LEAST_LABELS = 10
-HEADS = ("bad", "toxic")
+HEADS, VIEWS = ("bad", "toxic"), ("text", "meta")
 THRESHOLD = 0.65
 
 _WORD = np.array([b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
@@ -56,23 +58,57 @@ def meta_features(lang, source, n_chars) -> list[int]:
     return [zlib.crc32(f"{k}={v}".encode()) % META for k, v in (("lang", lang), ("source", source), ("size", size), ("lang,source", (lang, source)), ("lang,size", (lang, size)))]
 
 
-class Linear:
-    """Logistic regression on binary features, full-batch Adagrad."""
+class Part:
+    """Features of some documents; words and metadata lie flat, each value beside the row it belongs to."""
 
-    def __init__(self, rows: list[np.ndarray], y: np.ndarray, dim: int, steps: int = 100, l2: float = 1e-4):
-        index, owner = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.w, self.b = np.zeros(dim), 0.0
-        seen, seen_b = np.full(dim, 1e-8), 1e-8
-        for _ in range(steps):
-            z = np.bincount(owner, self.w[index], len(rows)) + self.b
-            g = (1 / (1 + np.exp(-z)) - y) / len(rows)
-            grad, grad_b = np.bincount(index, g[owner], dim) + l2 * self.w, g.sum()
-            seen, seen_b = seen + grad**2, seen_b + grad_b**2
-            self.w -= 0.5 * grad / np.sqrt(seen)
-            self.b -= 0.5 * grad_b / np.sqrt(seen_b)
+    def __init__(self, shapes: np.ndarray, words: np.ndarray, word_of: np.ndarray, metas: np.ndarray):
+        self.shapes, self.words, self.word_of, self.metas, self.n = shapes, words, word_of, metas, len(shapes)
 
-    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.w[r].sum() for r in rows]) + self.b
+    @staticmethod
+    def of(batch) -> "Part":
+        flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
+        sizes = batch.column("words").value_lengths().to_numpy(zero_copy_only=False)
+        n = len(sizes)
+        return Part(flat("shapes").reshape(n, SHAPES), flat("words"), np.repeat(np.arange(n), sizes), flat("metas").reshape(n, FIELDS))
+
+    @staticmethod
+    def of_texts(texts: list[str], metas: list[list[int]]) -> "Part":
+        shapes, words = text_features(texts)
+        return Part(shapes, np.concatenate([*words, np.zeros(0, np.int32)]).astype(np.int64), np.repeat(np.arange(len(words)), [len(w) for w in words]), np.array(metas, np.int64).reshape(len(texts), FIELDS))
+
+
+def loss(w: np.ndarray, index: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted logistic loss of binary features and its gradient; the last weight is the constant."""
+    z = np.bincount(owner, w[index], len(y)) + w[-1]
+    r = weight * (prob(z) - y)
+    return float((weight * (np.logaddexp(0, z) - y * z)).sum()), np.append(np.bincount(index, r[owner], len(w) - 1), r.sum())
+
+
+def minimise(f, w: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """L-BFGS with backtracking; f gives the value and the gradient."""
+    (v, g), past = f(w), []
+    for _ in range(steps):
+        d, scale = -g, []
+        for s, u in reversed(past):
+            scale.append((s @ d) / (s @ u))
+            d = d - scale[-1] * u
+        if past:
+            d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]))
+        for (s, u), k in zip(past, reversed(scale)):
+            d = d + s * (k - (u @ d) / (s @ u))
+        t = 1.0
+        while t > 1e-3:
+            new = w + t * d
+            v_new, g_new = f(new)
+            if v_new <= v + 1e-4 * t * (g @ d):
+                break
+            t /= 2
+        else:
+            break
+        if (new - w) @ (g_new - g) > 1e-12:
+            past = [*past, (new - w, g_new - g)][-memory:]
+        w, v, g = new, v_new, g_new
+    return w
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -91,59 +127,63 @@ def prob(z: np.ndarray) -> np.ndarray:
 
 
 class Head:
-    """Both views of one label, co-trained, each calibrated on held-out rows, and their combination."""
+    """Both views of one label, each calibrated on held-out rows, and their combination; holds no documents."""
 
-    def __init__(self, shapes, words, metas, y: np.ndarray, held: np.ndarray):
+    def __init__(self, part: Part, y: np.ndarray, held: np.ndarray):
         """y: 1, 0, or -1 where the label isn't known; held: labelled rows kept for calibration."""
-        known, fit = y >= 0, (y >= 0) & ~held
-        self.prior = None
-        if min((y[fit] == 1).sum(), (y[fit] == 0).sum(), (y[held & known] == 1).sum(), (y[held & known] == 0).sum()) < LEAST_LABELS:
-            self.prior = 0.0
-            return
-        self.edges = np.quantile(shapes[fit], np.linspace(0, 1, BINS + 1)[1:-1], axis=0)
-        counts = [np.bincount(np.concatenate([words[i] for i in np.flatnonzero(fit & (y == c))]), minlength=WORDS) for c in (0, 1)]
-        n = [(fit & (y == c)).sum() for c in (0, 1)]
+        fit, held = (y >= 0) & ~held, (y >= 0) & held
+        self.ready = min((y[fit] == 1).sum(), (y[fit] == 0).sum(), (y[held] == 1).sum(), (y[held] == 0).sum()) >= LEAST_LABELS
+        if self.ready:
+            self.edges = np.quantile(part.shapes[fit], np.linspace(0, 1, BINS + 1)[1:-1], axis=0)
+            self.best, self.weights, self.scales = np.zeros(0, np.int64), {v: np.zeros(1 + (META if v == "meta" else SHAPES * BINS)) for v in VIEWS}, {}
+
+    def choose(self, counts: list[np.ndarray], n: list[float]) -> None:
+        """Take the words that go best with the label; weights of words that stay are kept."""
         both = (counts[0] + counts[1] + 1) / (n[0] + n[1] + 2)
         z = np.abs(counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
         best = np.argsort(-z, kind="stable")[:CHOSEN]
-        self.column = np.full(WORDS, -1, np.int32)
         best = best[z[best] >= LEAST_Z]
-        self.column[best] = SHAPES * BINS + np.arange(len(best))
-        self.dim = SHAPES * BINS + len(best)
-        rows = {"text": self.text_rows(shapes, words), "meta": [np.array(m) for m in metas]}
-        dims = {"text": self.dim, "meta": META}
-        labels = {v: np.where(fit, y, -1).astype(float) for v in rows}
-        free = ~known
-        for r in range(ROUNDS):
-            self.models, self.scales, p = {}, {}, {}
-            for v in rows:
-                use = np.flatnonzero(labels[v] >= 0)
-                self.models[v] = Linear([rows[v][i] for i in use], labels[v][use], dims[v])
-                z = self.models[v].logits(rows[v])
-                self.scales[v] = logistic(z[held & known][:, None], y[held & known])
-                p[v] = prob(self.scales[v][0] * z + self.scales[v][1])
-            if r == ROUNDS - 1:
-                break
-            for v, other in (("text", "meta"), ("meta", "text")):  # each view teaches the other what it is sure of
-                for c, sure in ((1, 1 - p[v]), (0, p[v])):
-                    own = np.flatnonzero(free & (sure <= CONFIDENT) & (labels[other] < 0))
-                    own = own[np.argsort(sure[own], kind="stable")][: int(ADDED * free.sum()) + 1]
-                    labels[other][own] = c
-        self.mix = logistic(np.column_stack([self.calibrated(v, rows[v])[held & known] for v in ("text", "meta")]), y[held & known])
-
-    def text_rows(self, shapes, words) -> list[np.ndarray]:
-        bins = np.stack([np.searchsorted(self.edges[:, k], shapes[:, k], side="right") for k in range(SHAPES)], axis=1) + np.arange(SHAPES) * BINS
-        picked = [self.column[w] for w in words]
-        return [np.concatenate([b, c[c >= 0]]) for b, c in zip(bins, picked)]
-
-    def calibrated(self, view: str, rows) -> np.ndarray:
-        return self.scales[view][0] * self.models[view].logits(rows) + self.scales[view][1]
-
-    def probability(self, shapes, words, metas) -> np.ndarray:
-        if self.prior is not None:
-            return np.full(len(metas), self.prior)
-        z = self.mix[0] * self.calibrated("text", self.text_rows(shapes, words)) + self.mix[1] * self.calibrated("meta", [np.array(m) for m in metas])
-        return prob(z + self.mix[2])
+        w, known = self.weights["text"], np.zeros(WORDS)
+        known[self.best] = w[SHAPES * BINS : -1]
+        self.weights["text"] = np.concatenate([w[: SHAPES * BINS], known[best], w[-1:]])
+        self.best = best
+
+    def rows(self, view: str, part: Part) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the features that each row has, and the row of each."""
+        every = np.arange(part.n)
+        if view == "meta":
+            return part.metas.ravel(), np.repeat(every, FIELDS)
+        column = np.full(WORDS, -1, np.int64)
+        column[self.best] = SHAPES * BINS + np.arange(len(self.best))
+        bins = np.stack([np.searchsorted(self.edges[:, k], part.shapes[:, k], side="right") for k in range(SHAPES)], axis=1) + np.arange(SHAPES) * BINS
+        picked = column[part.words]
+        return np.concatenate([bins.ravel(), picked[picked >= 0]]), np.concatenate([np.repeat(every, SHAPES), part.word_of[picked >= 0]])
+
+    def logits(self, view: str, part: Part) -> np.ndarray:
+        index, owner = self.rows(view, part)
+        return np.bincount(owner, self.weights[view][index], part.n) + self.weights[view][-1]
+
+    def calibrated(self, view: str, part: Part) -> np.ndarray:
+        return self.scales[view][0] * self.logits(view, part) + self.scales[view][1]
+
+    def calibrate(self, part: Part, y: np.ndarray, held: np.ndarray) -> None:
+        held = (y >= 0) & held
+        for v in VIEWS:
+            self.scales[v] = logistic(self.logits(v, part)[held][:, None], y[held])
+        self.mix = logistic(np.column_stack([self.calibrated(v, part)[held] for v in VIEWS]), y[held])
+
+    def taught(self, part: Part) -> dict[str, np.ndarray]:
+        """For each view, the labels of which the other view is sure; else -1."""
+        out = {}
+        for v, other in (("text", "meta"), ("meta", "text")):
+            p = prob(self.calibrated(v, part))
+            out[other] = np.where(1 - p <= CONFIDENT, 1, np.where(p <= CONFIDENT, 0, -1))
+        return out
+
+    def probability(self, part: Part) -> np.ndarray:
+        if not self.ready:
+            return np.zeros(part.n)
+        return prob(self.mix[0] * self.calibrated("text", part) + self.mix[1] * self.calibrated("meta", part) + self.mix[2])
 
 
 def _columns(batch):
@@ -151,57 +191,187 @@ def _columns(batch):
 
 
 def _extract(batches):
+    """Features of texts and metadata; the columns doc_id, quality and toxic, if there, stay beside them."""
     for batch in batches:
         texts, metas = _columns(batch)
         shapes, words = text_features(texts)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("toxic"), pa.array(list(shapes), pa.list_(pa.float64())), pa.array(words, pa.list_(pa.int32())), pa.array(metas, pa.list_(pa.int32()))], names=["doc_id", "quality", "toxic", "shapes", "words", "metas"])
+        kept = [c for c in ("doc_id", "quality", "toxic") if c in batch.schema.names]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(list(shapes), pa.list_(pa.float64())), pa.array(words, pa.list_(pa.int32())), pa.array(metas, pa.list_(pa.int32()))], names=[*kept, "shapes", "words", "metas"])
 
 
 def _score(shared):
     def run(batches):
         heads = shared.value
         for batch in batches:
-            texts, metas = _columns(batch)
-            shapes, words = text_features(texts)
-            p = [h.probability(shapes, words, metas) for h in heads]
+            part = Part.of_texts(*_columns(batch))
+            p = [h.probability(part) for h in heads]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p[0]), pa.array(p[1])], names=["doc_id", "p_bad", "p_toxic"])
 
     return run
 
 
+def _count(shared):
+    """Rows (head, class, word, documents) over what the views teach; words -1 and -2 count the documents of either view."""
+
+    def run(batches):
+        heads, counts, n = shared.value, np.zeros((len(HEADS), 2, WORDS), np.int64), np.zeros((len(HEADS), 2, len(VIEWS)), np.int64)
+        for batch in batches:
+            part = Part.of(batch)
+            for k, h in enumerate(heads):
+                if h.ready:
+                    taught = h.taught(part)
+                    for c in (0, 1):
+                        counts[k, c] += np.bincount(part.words[(taught["text"] == c)[part.word_of]], minlength=WORDS)
+                        n[k, c] += [(taught[v] == c).sum() for v in VIEWS]
+        for k in range(len(HEADS)):
+            for c in (0, 1):
+                word = np.flatnonzero(counts[k, c])
+                ids, values = np.append(word, [-1, -2]), np.append(counts[k, c, word], n[k, c])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k), pa.int32()), pa.array(np.full(len(ids), c), pa.int32()), pa.array(ids, pa.int32()), pa.array(values, pa.int64())], names=["head", "class", "word", "n"])
+
+    return run
+
+
+_PICKED = ", ".join(f"index{m} array<int>, y{m} int" for m in ("0", "0m", "1", "1m"))
+
+
+def _pick(shared):
+    """For each document and head, the indices of both views under the new words, and what the old models teach."""
+
+    def run(batches):
+        old, new = shared.value
+        for batch in batches:
+            part, arrays, names, some = Part.of(batch), [], [], np.zeros(batch.num_rows, bool)
+            for k, (h, to) in enumerate(zip(old, new)):
+                taught = h.taught(part) if h.ready else {v: np.full(part.n, -1) for v in VIEWS}
+                for v, tail in zip(VIEWS, ("", "m")):
+                    index, owner = to.rows(v, part) if h.ready else (np.zeros(0, int), np.zeros(0, int))
+                    index = index[np.argsort(owner, kind="stable")].astype(np.int32)
+                    starts = np.append(0, np.cumsum(np.bincount(owner, minlength=part.n))).astype(np.int32)
+                    arrays += [pa.ListArray.from_arrays(pa.array(starts), pa.array(index)), pa.array(taught[v].astype(np.int32))]
+                    names += [f"index{k}{tail}", f"y{k}{tail}"]
+                    some |= taught[v] >= 0
+            yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(some))
+
+    return run
+
+
+def _gradient(weights, share):
+    """One row for each model and index with a gradient; index -1 holds the loss."""
+
+    def run(batches):
+        total = {m: [0.0, np.zeros(len(w))] for m, w in weights.items()}
+        for batch in batches:
+            for m, w in weights.items():
+                y = batch.column(f"y{m}").to_numpy()
+                column = batch.column(f"index{m}")
+                owner = np.repeat(np.arange(len(y)), column.value_lengths().to_numpy(zero_copy_only=False))
+                value, grad = loss(w, column.flatten().to_numpy(), owner, np.maximum(y, 0), np.select([y == 0, y == 1], share[m], 0.0))
+                total[m][0] += value
+                total[m][1] += grad
+        for m, (value, grad) in total.items():
+            index = np.flatnonzero(grad)
+            yield pa.RecordBatch.from_arrays([pa.array([m] * (len(index) + 1)), pa.array(np.append(index, -1), pa.int32()), pa.array(np.append(grad[index], value))], names=["model", "index", "value"])
+
+    return run
+
+
 def _input(docs: DataFrame) -> DataFrame:
     column = lambda name, kind: (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(name)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), column("lang", "string"), column("source", "string"), column("n_chars", "long"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> list[Head]:
-    """Co-train both heads on a bounded sample: labelled rows and unlabelled rows of least hash."""
-    texts = _input(docs)
+def _fit_models(heads: list[Head], part: Part, ys: list[np.ndarray], held: np.ndarray, picked: DataFrame | None, share: dict) -> None:
+    """Fit all models at once: labelled rows on the driver, gradients of the taught documents on executors."""
+    models = {f"{k}{tail}": (h, v) for k, h in enumerate(heads) if h.ready for v, tail in zip(VIEWS, ("", "m"))}
+    own, size = {}, {}
+    for m, (h, v) in models.items():
+        y = ys[int(m[0])]
+        use = (y >= 0) & ~held
+        own[m] = (*h.rows(v, part), np.maximum(y, 0), use.astype(float))
+        size[m] = use.sum() + sum(n * w for n, w in share[m]) if picked is not None else use.sum()
+    cuts = np.cumsum([len(h.weights[v]) for h, v in models.values()])[:-1]
+
+    def value(flat):
+        w = dict(zip(models, np.split(flat, cuts)))
+        total = {m: list(loss(w[m], *own[m])) for m in models}
+        if picked is not None:
+            got = picked.mapInArrow(_gradient(w, {m: [x[1] for x in share[m]] for m in models}), "model string, index int, value double").toArrow()
+            model, index, values = (np.asarray(got.column(c).to_numpy()) for c in ("model", "index", "value"))
+            for m in models:
+                mine = model == m
+                total[m][0] += values[mine & (index < 0)].sum()
+                at = mine & (index >= 0)
+                total[m][1] = total[m][1] + np.bincount(index[at], values[at], len(w[m]))
+        parts = [(total[m][0] / size[m] + 5e-5 * (w[m][:-1] ** 2).sum(), total[m][1] / size[m] + 1e-4 * np.append(w[m][:-1], 0)) for m in models]
+        return sum(v for v, _ in parts), np.concatenate([g for _, g in parts])
+
+    start = np.concatenate([h.weights[v] for h, v in models.values()])
+    for (h, v), w in zip(models.values(), np.split(minimise(value, start, STEPS if picked is not None else 5 * STEPS), cuts)):
+        h.weights[v] = w
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Head]:
+    """Co-train both heads on a bounded sample of labelled rows and on all unlabelled documents."""
+    spark, texts = docs.sparkSession, _input(docs)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where("doc_id is not null").dropDuplicates(["doc_id"])
-    least = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    labelled = least(own, fit_rows)
-    pool = least(texts.where("doc_id is not null").select("doc_id").join(own.select("doc_id"), "doc_id", "left_anti").distinct(), pool_rows)
-    chosen = labelled.select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int")).unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")))
-    kind = "doc_id long, quality int, toxic int, shapes array<double>, words array<int>, metas array<int>"
+    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int"))
+    features = "shapes array<double>, words array<int>, metas array<int>"
     # the sample has a fixed bound, so it may be broadcast; only its features reach the driver
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_extract, kind).toArrow().sort_by("doc_id")
-    shapes = np.array(got.column("shapes").to_pylist()).reshape(-1, SHAPES)
-    words = [np.array(x, np.int64) for x in got.column("words").to_pylist()]
-    metas = got.column("metas").to_pylist()
-    held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in got.column("doc_id").to_pylist()], bool)
-    value = lambda c: np.array([-1 if x not in (0, 1) else x for x in got.column(c).to_pylist()])
-    quality = value("quality")
-    return [Head(shapes, words, metas, y, held) for y in (np.where(quality < 0, -1, 1 - quality), value("toxic"))]
-
-
-def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_extract, f"doc_id long, quality int, toxic int, {features}").toArrow().sort_by("doc_id").combine_chunks()
+    ids, (quality, toxic) = got.column("doc_id").to_pylist(), (np.array([-1 if x not in (0, 1) else x for x in got.column(c).to_pylist()], int) for c in ("quality", "toxic"))
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in ids], bool)
+    batches = got.to_batches()
+    if not batches:
+        return [Head(Part.of_texts([], []), np.zeros(0, int), held)] * len(HEADS)
+    part, ys = Part.of(batches[0]), [np.where(quality < 0, -1, 1 - quality), toxic]
+    heads = [Head(part, y, held) for y in ys]
+    ready = [k for k, h in enumerate(heads) if h.ready]
+    if not ready:
+        return heads
+    base = {k: [((ys[k] == c) & ~held).sum() for c in (0, 1)] for k in ready}
+    counted = {k: [np.bincount(part.words[((ys[k] == c) & ~held)[part.word_of]], minlength=WORDS) for c in (0, 1)] for k in ready}
+    for k in ready:
+        heads[k].choose(counted[k], base[k])
+    _fit_models(heads, part, ys, held, None, {})
+    for k in ready:
+        heads[k].calibrate(part, ys[k], held)
+    free = written(texts.mapInArrow(_extract, f"doc_id long, {features}").join(own.select("doc_id").hint("merge"), "doc_id", "left_anti").drop("doc_id"), "features")
+    for _ in range(ROUNDS - 1):
+        old = heads
+        shared = spark.sparkContext.broadcast(old)
+        sums = free.mapInArrow(_count(shared), "head int, class int, word int, n long").groupBy("head", "class", "word").agg(F.sum("n").alias("n")).toArrow()
+        head, label, word, n = (sums.column(c).to_numpy() for c in ("head", "class", "word", "n"))
+        heads, share = copy.deepcopy(old), {}
+        for k in ready:
+            taught = {}
+            for c in (0, 1):
+                mine = (head == k) & (label == c)
+                for v, tail, mark in zip(VIEWS, ("", "m"), (-1, -2)):
+                    total = int(n[mine & (word == mark)].sum())
+                    # all taught documents count, but together no more than the labelled ones of their class: the few wrong ones among many would outweigh true labels
+                    share.setdefault(f"{k}{tail}", []).append((total, min(1.0, base[k][c] / max(total, 1))))
+                at = mine & (word >= 0)
+                taught[c] = np.bincount(word[at], n[at], WORDS)
+            weight = share[str(k)]
+            heads[k].choose([counted[k][c] + weight[c][1] * taught[c] for c in (0, 1)], [base[k][c] + weight[c][0] * weight[c][1] for c in (0, 1)])
+        picked = written(free.mapInArrow(_pick(spark.sparkContext.broadcast((old, heads))), _PICKED), "taught")
+        _fit_models(heads, part, ys, held, picked, share)
+        for k in ready:
+            heads[k].calibrate(part, ys[k], held)
+    return heads
+
+
+def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Score every document: doc_id, p_bad, p_toxic, rejected.
 
     Each label is a head with two views: the text (shape of the writing, hashed words that go
-    with the label) and the metadata (language, source, size). Over ROUNDS rounds each view
-    gives the other its surest pseudo-labels of the unlabelled pool; both are then calibrated
-    on held-out labelled rows and combined there. All documents are scored in the scan,
-    without a shuffle; rejected are those of p_bad or p_toxic at the threshold or above.
+    with the label) and the metadata (language, source, size). In each exchange both views score
+    every unlabelled document; each gives the other all labels whose calibrated probability of
+    being wrong is CONFIDENT at most, words are chosen again from the counts of labelled and
+    taught documents, and the models are fitted by gradients summed on executors. Both views
+    are calibrated on held-out labelled rows and combined there. All documents are then scored
+    in the scan; rejected are those of p_bad or p_toxic at the threshold or above.
 
     Defined cases: null text is empty, null or missing metadata a value of its own; labels
     that are null or outside 0 and 1 count as unlabelled, repeated ones as one; a label with
@@ -209,6 +379,6 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_
     rows are scored alike; an empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
-    heads = spark.sparkContext.broadcast(fit(docs, labels, fit_rows, pool_rows))
+    heads = spark.sparkContext.broadcast(fit(docs, labels, fit_rows))
     scored = _input(docs).mapInArrow(_score(heads), "doc_id long, p_bad double, p_toxic double")
     return scored.withColumn("rejected", (F.col("p_bad") >= threshold) | (F.col("p_toxic") >= threshold))

@@ -193,3 +193,19 @@ def test_mixing_meets_its_targets(spark):
     assert min(r["rate"] for r in m) >= 0
     assert mixing.mix(docs.where("false"), labels).count() == 0
     assert mixing.mix(docs.limit(5), labels.where("false")).where("rate is null").count() == 0
+
+
+def test_words_are_learnt_from_all_unlabelled_documents(spark):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(1500):
+        toxic, w, old = i % 4 == 0, words(rng, 40), i % 3 == 0
+        if toxic:  # the second insult is in no labelled document
+            w[rng.randrange(40)] = "idiot" if old else "wretch"
+        docs.append((i, " ".join(w), "en", "rants" if toxic else "news", 200))
+        if old:
+            labels.append((i, 1, int(toxic)))
+    table = spark.createDataFrame(docs, TEXTS + ", lang string, source string, n_chars long")
+    heads = quality.fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    _, [wretch] = quality.text_features(["wretch"])
+    assert set(wretch) <= set(heads[1].best)
