@@ -92,12 +92,20 @@ def apply_corrections(rows: DataFrame, corrections: DataFrame, value: str) -> Da
 
 
 def resolve(queries: DataFrame, directory: DataFrame, k: int) -> DataFrame:
-    """Best ids for each query: an exact name first, else names of its block at .7 or more; k at most."""
-    exact = queries.join(directory, "key").select("query_id", "id", F.lit(0.99).alias("score"))
-    block = lambda df: df.withColumn("block", F.substring("key", 1, 6))
-    near = block(queries).withColumnRenamed("key", "q").join(block(directory), "block").where("q != key").select("query_id", "id", name_similarity(F.col("q"), F.col("key"), levenshtein_ratio).alias("score")).where("score >= 0.7")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return exact.unionByName(near).groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Best ids for each query: an exact name at .99, else names at .7 or more; by score and id, k at most.
+
+    Each distinct name asked for meets all distinct names that lengths or containment don't
+    rule out; of the ids of one name, only the k least can be among the best.
+    """
+    q, n = queries.select(F.col("key").alias("q")).where("q != ''").distinct(), directory.select("key").where("key != ''").distinct()
+    near = F.expr("least(length(q), length(key)) >= 0.7 * greatest(length(q), length(key)) - 1e-9 or contains(replace(key, ' ', ''), replace(q, ' ', '')) or contains(replace(q, ' ', ''), replace(key, ' ', '')) or replace(q, ' ', '') = replace(key, ' ', '')")
+    score = F.when(F.col("q") == F.col("key"), 0.99).otherwise(name_similarity(F.col("q"), F.col("key"), levenshtein_ratio))
+    pairs = q.join(n, near).select("q", "key", score.alias("score")).where("score >= 0.7 - 1e-9")
+    first = directory.select("key", "id").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rn") <= k).drop("rn")
+    best = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))
+    top = pairs.join(first, "key").groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("rank", best("q")).where(F.col("rank") <= k)
+    out = queries.select("query_id", F.col("key").alias("q")).join(top.drop("rank"), "q").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return out.withColumn("rank", best("query_id")).where(F.col("rank") <= k)
 
 
 def collisions(ids: DataFrame, fields: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furlong.catalogue.ingest import keep
-from furlong.operators import graph, ingest, markets, metrics, priors, quality
+from furlong.operators import graph, identity, ingest, markets, metrics, priors, quality
 from furlong.plans import registry
 from furlong.streaming import ingest as streaming
 
@@ -100,3 +100,30 @@ def test_registry_counts_rows(spark):
 def test_embedded_json_scanner():
     assert ingest.balanced('x{"a":"}\\"{","b":[1,{}]} y', 1) == '{"a":"}\\"{","b":[1,{}]}'
     assert ingest.balanced("{open", 0) is None
+
+
+def similarity(a, b, ratio):
+    ca, cb = a.replace(" ", ""), b.replace(" ", "")
+    if not a or not b:
+        return 0.0
+    return 1.0 if a == b else 0.99 if ca == cb else max(ratio(a, b), 0.9) if ca in cb or cb in ca else ratio(a, b)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def test_resolve_meets_all_names(spark):
+    names = ["small ring", "smll ring", "large ring", "x", "a small ring of gold", "smallring", "red rod", "rad rod", "ed rod", "small ring", ""]
+    asked = ["smll ring", "lrge ring", "small ring", "ring", "x", "d rod", "zzzz", ""]
+    got = identity.resolve(spark.createDataFrame(list(enumerate(asked)), "query_id long, key string"), spark.createDataFrame(list(enumerate(names)), "id long, key string"), 3)
+    want = set()
+    for q, a in enumerate(asked):
+        hits = [(-round(0.99 if a == n else similarity(a, n, edits), 6), i) for i, n in enumerate(names) if a and n and similarity(a, n, edits) >= 0.7 - 1e-9]
+        want |= {(q, i, -s, r) for r, (s, i) in enumerate(sorted(hits)[:3], 1)}
+    assert {(r["query_id"], r["id"], round(r["score"], 6), r["rank"]) for r in got.collect()} == want and len(want) > 12
