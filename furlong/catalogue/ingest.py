@@ -334,13 +334,14 @@ def i05_profiles(spark, d):
 
 @c.query()
 def i06_i07_i08_score_pairs(spark, d):
-    """Blocked candidates scored on all signals, with the continuity of their careers."""
+    """Candidates (I6) scored on all signals (I7), with the continuity of their careers (I8); the tables hold no source ids."""
     s = t.starts(spark, d)
-    n = names(spark, d)
-    p = ids.profiles(s).withColumnRenamed("horse_id", "id").join(n, "id").join(s.groupBy(F.col("horse_id").alias("id")).agg(F.sort_array(F.collect_set("race_date")).alias("days")), "id")
-    pairs = ids.fuzzy_pairs(n, 0.9, F.substring("key", 1, 8))
-    side = lambda k: p.select(F.col("id").alias(k), *(F.col(a).alias(f"{b}_{k}") for a, b in (("sex", "sex"), ("year", "year"), ("owner_ids", "owners"), ("trainer_ids", "trainers"), ("courses", "courses"), ("days", "days"))))
-    j = pairs.withColumnRenamed("similarity", "name_score").join(side("a"), "a").join(side("b"), "b")
+    n = names(spark, d).join(t.horses(spark, d).select(F.col("horse_id").alias("id"), F.col("sire_id").alias("sire"), F.col("dam_id").alias("dam")), "id")
+    days = s.groupBy(F.col("horse_id").alias("id")).agg(F.sort_array(F.collect_set("race_date")).alias("days"))
+    p = n.join(ids.profiles(s).withColumnRenamed("horse_id", "id"), "id", "left").join(days, "id", "left")
+    columns = {"key": "key", "sex": "sex", "year": "year", "sire": "sire", "dam": "dam", "first_owner_id": "owner", "first_trainer_id": "trainer", "owner_ids": "owners", "trainer_ids": "trainers", "courses": "courses", "days": "days"}
+    side = lambda k: p.select(F.col("id").alias(k), *(F.col(v).alias(f"{w}_{k}") for v, w in columns.items()))
+    j = ids.name_scores(ids.candidate_pairs(n).join(side("a"), "a").join(side("b"), "b"))
     return ids.score_pairs(j).join(ids.continuity(j), ["a", "b"]).withColumn("score", F.round("score", 6))
 
 

@@ -52,22 +52,75 @@ def profiles(starts: DataFrame) -> DataFrame:
     for role in ("owner_id", "trainer_id"):
         g = starts.groupBy("horse_id", role).agg(F.count("*").alias("n"))
         g = g.withColumn("rn", F.row_number().over(Window.partitionBy("horse_id").orderBy(F.desc("n"), role))).where("rn <= 5")
-        out = out.join(g.groupBy("horse_id").agg(F.sort_array(F.collect_list(role)).alias(role + "s")), "horse_id", "left")
+        out = out.join(g.groupBy("horse_id").agg(F.sort_array(F.collect_list(role)).alias(role + "s"), F.min_by(role, "rn").alias("first_" + role)), "horse_id", "left")
     return out
 
 
-def overlap_share(a: Column, b: Column) -> Column:
-    """Shared part of two arrays over the smaller; null if either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)))
+def candidate_pairs(names: DataFrame, large: int = 80) -> DataFrame:
+    """Pairs a < b of one source id, of one block (sex, first token, first 3 letters) or of one name.
+
+    Blocks of more than `large` rows give only pairs of one name. Columns: id, key, sex; source
+    and source_id, if there.
+    """
+    own = [c for c in ("source", "source_id") if c in names.columns]
+    n = names.select("id", "key", *own, F.concat_ws("|", F.coalesce("sex", F.lit("?")), F.split("key", " ")[0], F.substring(F.replace("key", F.lit(" "), F.lit("")), 1, 3)).alias("block"))
+    small = n.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") <= large).select("block")
+    meet = lambda df, on: df.alias("p").join(df.alias("q"), [F.col(f"p.{c}") == F.col(f"q.{c}") for c in on] + [F.col("p.id") < F.col("q.id")]).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    out = meet(n.where("key != ''"), ["key"]).unionByName(meet(n.join(small, "block"), ["block"]))
+    if len(own) == 2:
+        out = out.unionByName(meet(n.where("source_id != '' and source != ''"), own))
+    return out.distinct()
+
+
+def name_scores(pairs: DataFrame, ratio=matching_ratio) -> DataFrame:
+    """The similarity of key_a and key_b as name_score; two different names are compared once."""
+    keys = pairs.where("key_a != key_b").select("key_a", "key_b").distinct()
+    scored = keys.select("key_a", "key_b", name_similarity(F.col("key_a"), F.col("key_b"), ratio).alias("s"))
+    same = F.when(F.col("key_a") == F.col("key_b"), F.when(F.col("key_a") == "", 0.0).otherwise(1.0))
+    return pairs.join(scored, ["key_a", "key_b"], "left").withColumn("name_score", F.coalesce(same, "s", F.lit(0.0))).drop("s")
+
+
+def continuity_score(days_a: Column, days_b: Column, courses_a: Column, courses_b: Column) -> tuple[Column, Column]:
+    """How well two careers continue each other, null if one has no days; and whether they exclude each other."""
+    missing = F.coalesce((F.size(days_a) <= 0) | (F.size(days_b) <= 0), F.lit(True))
+    only_a, only_b, shared = (F.size(v) > 0 for v in (F.array_except(courses_a, courses_b), F.array_except(courses_b, courses_a), F.array_intersect(courses_a, courses_b)))
+    clash = F.coalesce(~missing & F.arrays_overlap(days_a, days_b) & only_a & only_b & ~shared, F.lit(False))
+    gap = F.array_min(F.transform(days_a, lambda d: F.array_min(F.transform(days_b, lambda e: F.abs(F.datediff(d, e))))))
+    span = F.datediff(F.greatest(F.array_max(days_a), F.array_max(days_b)), F.least(F.array_min(days_a), F.array_min(days_b)))
+    mixed = ((F.array_min(days_a) < F.array_max(days_b)) & (F.array_min(days_b) < F.array_max(days_a))) | (gap <= 120)
+    score = F.when(clash, 0.0).when(span == 0, 0.55).when(mixed & (only_a | only_b) & (gap <= 60), 0.95).when(mixed & (gap <= 120), 0.85).when(shared & (gap <= 180), 0.75).when(gap <= 365, 0.6).when(gap > 900, 0.25).otherwise(0.45)
+    return F.when(~missing, score), clash
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Weighted signals of candidate pairs, renormalised over those present, with vetoes and a verdict."""
-    sim = F.col("name_score")
-    base = x.weighted_present([(0.4, sim), (0.15, (F.col("sex_a") == F.col("sex_b")).cast("double")), (0.15, (F.col("year_a") == F.col("year_b")).cast("double")), (0.1, overlap_share(F.col("owners_a"), F.col("owners_b"))), (0.1, overlap_share(F.col("trainers_a"), F.col("trainers_b"))), (0.1, overlap_share(F.col("courses_a"), F.col("courses_b")))])
-    veto = F.when(F.col("sex_a") != F.col("sex_b"), 0.35).otherwise(1.0) * F.when(sim < 0.55, 0.5).otherwise(1.0) * F.when(F.abs(F.col("year_a") - F.col("year_b")) > 1, 0.55).otherwise(1.0)
-    score = x.clamp(base * veto, 0.0, 1.0)
-    return pairs.select("a", "b", score.alias("score")).withColumn("verdict", F.when(F.col("score") >= 0.88, "auto").when(F.col("score") >= 0.72, "candidate").otherwise("distinct"))
+    """Eight weighted signals of candidate pairs, renormalised over those present, with vetoes, boosts and a verdict.
+
+    Columns of either side, ending in _a and _b: sex, year, sire, dam, owner and trainer (the
+    most frequent), owners, trainers, courses, days; source and source_id, if there. Ids stand
+    for names of parents and people, so such a signal is 1 or 0. The left side's first owner
+    and trainer are looked for among all of the right.
+    """
+    both = lambda k: (F.col(k + "_a"), F.col(k + "_b"))
+    sim, (sex_a, sex_b) = F.col("name_score"), both("sex")
+    known = sex_a.isin("male", "female", "gelding") & sex_b.isin("male", "female", "gelding")
+    sex = F.when(known, F.when(sex_a == sex_b, 1.0).when(sex_a.isin("male", "gelding") & sex_b.isin("male", "gelding"), 0.4).otherwise(0.0))
+    apart = F.abs(F.col("year_a") - F.col("year_b"))
+    year = F.when(apart.isNotNull(), F.when(apart == 0, 1.0).when(apart == 1, 0.7).when(apart == 2, 0.3).otherwise(0.0))
+    equal = lambda k: (both(k)[0] == both(k)[1]).cast("double")
+    among = lambda k: F.when(F.col(f"{k}_a").isNotNull() & (F.size(f"{k}s_b") > 0), F.array_contains(F.col(f"{k}s_b"), F.col(f"{k}_a")).cast("double"))
+    flow, clash = continuity_score(*both("days"), *both("courses"))
+    p = pairs.withColumns({"_sex": sex, "_year": year, "_flow": flow, "_clash": clash})
+    sex, year, flow, clash = (F.col(c) for c in ("_sex", "_year", "_flow", "_clash"))
+    base = x.weighted_present([(0.30, sim), (0.12, equal("sire")), (0.12, equal("dam")), (0.10, year), (0.08, sex), (0.08, among("owner")), (0.07, among("trainer")), (0.13, flow)])
+    veto = F.when(sex == 0, 0.35).otherwise(1.0) * F.when(sim < 0.55, 0.5).otherwise(1.0) * F.when(clash, 0.25).otherwise(1.0) * F.when(year == 0, 0.55).otherwise(1.0)
+    source = F.lit(False)
+    if "source_id_a" in pairs.columns and "source_a" in pairs.columns:
+        source = F.coalesce((F.col("source_id_a") == F.col("source_id_b")) & (F.col("source_a") == F.col("source_b")) & (F.col("source_id_a") != ""), F.lit(False))
+    p = p.withColumn("_s", F.when(source, F.greatest(base * veto, F.lit(0.99))).otherwise(base * veto))
+    auto = (F.col("_s") >= 0.88) & (sim >= 0.8)
+    national = F.coalesce(~auto & ~clash & (sim >= 0.98) & (sex == 1) & (year >= 0.7) & (flow >= 0.75), F.lit(False))
+    verdict = F.when(auto | national, "auto").when((F.col("_s") >= 0.72) & (sim >= 0.65), "candidate").otherwise("distinct")
+    return p.select("a", "b", F.when(national, F.greatest("_s", F.lit(0.88))).otherwise(F.col("_s")).alias("score"), verdict.alias("verdict"))
 
 
 def continuity(pairs: DataFrame) -> DataFrame:

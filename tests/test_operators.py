@@ -1,4 +1,7 @@
 import datetime as dt
+import difflib
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +130,48 @@ def test_resolve_meets_all_names(spark):
         hits = [(-round(0.99 if a == n else similarity(a, n, edits), 6), i) for i, n in enumerate(names) if a and n and similarity(a, n, edits) >= 0.7 - 1e-9]
         want |= {(q, i, -s, r) for r, (s, i) in enumerate(sorted(hits)[:3], 1)}
     assert {(r["query_id"], r["id"], round(r["score"], 6), r["rank"]) for r in got.collect()} == want and len(want) > 12
+
+
+def score(p, q):
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    ns, kinds = similarity(p["key"], q["key"], ratio), ("male", "female", "gelding")
+    equal = lambda a, b: None if a is None or b is None else float(a == b)
+    among = lambda a, b: None if a is None or not b else float(a in b)
+    sex = None if p["sex"] not in kinds or q["sex"] not in kinds else 1.0 if p["sex"] == q["sex"] else 0.4 if "female" not in (p["sex"], q["sex"]) else 0.0
+    year = None if p["year"] is None or q["year"] is None else {0: 1.0, 1: 0.7, 2: 0.3}.get(abs(p["year"] - q["year"]), 0.0)
+    flow, clash, (da, db), (ca, cb) = None, False, (p["days"], q["days"]), (set(p["courses"]), set(q["courses"]))
+    if da and db:
+        gap = min(abs((a - b).days) for a in da for b in db)
+        clash = bool(set(da) & set(db) and ca - cb and cb - ca and not ca & cb)
+        mixed = (min(da) < max(db) and min(db) < max(da)) or gap <= 120
+        flow = 0.0 if clash else 0.55 if len({*da, *db}) < 2 else 0.95 if mixed and ca != cb and gap <= 60 else 0.85 if mixed and gap <= 120 else 0.75 if ca & cb and gap <= 180 else 0.6 if gap <= 365 else 0.25 if gap > 900 else 0.45
+    signals = [(0.3, ns), (0.12, equal(p["sire"], q["sire"])), (0.12, equal(p["dam"], q["dam"])), (0.1, year), (0.08, sex), (0.08, among(p["owner"], q["owners"])), (0.07, among(p["trainer"], q["trainers"])), (0.13, flow)]
+    total = sum(w * s for w, s in signals if s is not None) / sum(w for w, s in signals if s is not None)
+    total *= (0.35 if sex == 0 else 1) * (0.5 if ns < 0.55 else 1) * (0.25 if clash else 1) * (0.55 if year == 0 else 1)
+    if p["source"] and p["source_id"] and (p["source"], p["source_id"]) == (q["source"], q["source_id"]):
+        total = max(total, 0.99)
+    verdict = "auto" if total >= 0.88 and ns >= 0.8 else "candidate" if total >= 0.72 and ns >= 0.65 else "distinct"
+    if verdict != "auto" and not clash and ns >= 0.98 and sex == 1 and year is not None and year >= 0.7 and flow is not None and flow >= 0.75:
+        total, verdict = max(total, 0.88), "auto"
+    return round(total, 6), verdict
+
+
+def test_pairs_are_found_and_scored_on_all_signals(spark):
+    rng, day = random.Random(5), lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    some = lambda *v: rng.choice([None, *v, *v])
+    rows = []
+    for i in range(70):
+        at, o, tr = rng.choice((0, 0, 30, 400, 2000)), some(1, 2), some(3, 4)
+        days = sorted({day(at + rng.choice((0, 5, 90, 150))) for _ in range(rng.choice((0, 1, 2, 3)))})
+        rows.append({"id": i, "key": rng.choice(("red rod", "red rods", "redrod", "red plate", "blue gear", "blue gears b", "blu", "")), "sex": some("male", "female", "gelding"), "year": some(2001, 2002, 2004, 2009), "sire": some(1, 2), "dam": some(5), "owner": o, "trainer": tr, "owners": [o] if o else [], "trainers": [tr] if tr else [], "days": days, "courses": sorted(rng.sample("xyz", rng.choice((1, 2)))) if days else [], "source": "s", "source_id": some("1", "2", *"abcdefghij")})
+    kind = "id long, key string, sex string, year int, sire long, dam long, owner long, trainer long, owners array<long>, trainers array<long>, days array<date>, courses array<string>, source string, source_id string"
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], kind)
+    side = lambda k: df.select(*(F.col(c).alias(k if c == "id" else f"{c}_{k}") for c in df.columns))
+    pairs = identity.candidate_pairs(df, large=8)
+    got = {(r["a"], r["b"]): (round(r["score"], 6), r["verdict"]) for r in identity.score_pairs(identity.name_scores(pairs.join(side("a"), "a").join(side("b"), "b"))).collect()}
+    block = lambda r: (r["sex"], r["key"].split(" ")[0], r["key"].replace(" ", "")[:3])
+    sizes = Counter(map(block, rows))
+    met = lambda p, q: (p["key"] and p["key"] == q["key"]) or (p["source_id"] and p["source_id"] == q["source_id"]) or (block(p) == block(q) and sizes[block(p)] <= 8)
+    want = {(p["id"], q["id"]): score(p, q) for p in rows for q in rows if p["id"] < q["id"] and met(p, q)}
+    assert got.keys() == want.keys() and len(want) > 100 and max(sizes.values()) > 8
+    assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 2e-6 for k in want) and {v for _, v in want.values()} == {"auto", "candidate", "distinct"}
