@@ -315,12 +315,20 @@ def i02_i03_fuzzy_pairs(spark, d):
 
 @c.query()
 def i04_i14_match_clusters(spark, d):
-    """Candidates, their components (I9) and the canonical row of each (I10, I14)."""
+    """Candidates, their components (I9) and the canonical row of each (I10, I14); a row without a match is its own.
+
+    Fuzzy candidates from .88 to below .98 are merged; how many others wait for review stands
+    in a column.
+    """
     n = names(spark, d)
-    pairs = ids.match_candidates(n, 0.95, F.substring("key", 1, 8))
-    comp = connected_components(pairs, keep, "a", "b")
+    pairs = keep(ids.match_candidates(n.where("key != ''"), 0.88, F.substring("key", 1, 2)))
+    comp = connected_components(pairs.where("not review"), keep, "a", "b")
     starts = t.results(spark, d).groupBy(F.col("horse_id").alias("id")).agg(F.count("*").alias("starts"))
-    return ids.canonical(comp.join(n.select("id", "name"), "id").join(starts, "id"))
+    members = n.select("id", "name", "key").join(comp, "id", "left").join(starts, "id", "left").select("id", "name", "key", F.coalesce("component", "id").alias("component"), F.coalesce("starts", F.lit(0)).alias("starts"))
+    label = members.groupBy("component").agg(F.when(F.countDistinct("key") > 1, "HIGH").otherwise("EXACT").alias("confidence"))
+    open_ = pairs.where("review").select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("review"))
+    out = ids.canonical(members).join(members.select("id", "component"), "id").join(label, "component").join(open_, "id", "left")
+    return out.select("id", "canonical_id", "members", "confidence", F.coalesce("review", F.lit(0)).alias("review"))
 
 
 @c.query("""

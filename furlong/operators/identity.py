@@ -32,18 +32,24 @@ def name_similarity(a: Column, b: Column, ratio=matching_ratio) -> Column:
 
 
 def fuzzy_pairs(names: DataFrame, threshold: float, block: Column, ratio=levenshtein_ratio) -> DataFrame:
-    """Pairs within a block whose similarity reaches the threshold; equal names meet once, as one row."""
-    n = names.groupBy("key").agg(F.min("id").alias("id")).withColumn("block", block)
-    pairs = n.alias("a").join(n.alias("b"), F.expr("a.block = b.block and a.key < b.key and length(a.key) <= 2 * length(b.key) and length(b.key) <= 2 * length(a.key)"))
+    """Pairs within a block whose similarity reaches the threshold; equal names meet once, as one row.
+
+    Names are left out only where no ratio can reach the threshold by their lengths, and
+    neither contains the other.
+    """
+    n = names.groupBy("key").agg(F.min("id").alias("id")).withColumn("block", block).withColumn("tight", F.replace("key", F.lit(" "), F.lit("")))
+    near = f"{2 - threshold} * least(length(a.key), length(b.key)) >= {threshold} * greatest(length(a.key), length(b.key)) - 1e-9 or a.tight = b.tight or contains(a.tight, b.tight) or contains(b.tight, a.tight)"
+    pairs = n.alias("a").join(n.alias("b"), F.expr(f"a.block = b.block and a.key < b.key and ({near})"))
     s = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), name_similarity(F.col("a.key"), F.col("b.key"), ratio).alias("similarity"))
     return s.where(F.col("similarity") >= threshold)
 
 
-def match_candidates(names: DataFrame, threshold: float, block: Column) -> DataFrame:
-    """Exact and fuzzy candidates, each unordered pair once with its best method."""
+def match_candidates(names: DataFrame, threshold: float, block: Column, ratio=matching_ratio) -> DataFrame:
+    """Exact and fuzzy candidates, each unordered pair once with its best method; fuzzy ones of .98 and above are for review."""
     exact = exact_pairs(names).select("a", "b", F.lit("exact").alias("method"), F.lit(1.0).alias("score"))
-    fuzzy = fuzzy_pairs(names, threshold, block).select("a", "b", F.lit("fuzzy").alias("method"), F.col("similarity").alias("score"))
-    return exact.unionByName(fuzzy).groupBy("a", "b").agg(F.max(F.struct("score", "method")).alias("m")).select("a", "b", "m.method", "m.score")
+    fuzzy = fuzzy_pairs(names, threshold, block, ratio).select("a", "b", F.lit("fuzzy").alias("method"), F.col("similarity").alias("score"))
+    best = exact.unionByName(fuzzy).groupBy("a", "b").agg(F.max(F.struct("score", "method")).alias("m")).select("a", "b", "m.method", "m.score")
+    return best.withColumn("review", (F.col("method") == "fuzzy") & ((F.col("score") >= 0.98) | (F.col("score") < 0.88)))
 
 
 def profiles(starts: DataFrame) -> DataFrame:

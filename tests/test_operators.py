@@ -175,3 +175,14 @@ def test_pairs_are_found_and_scored_on_all_signals(spark):
     want = {(p["id"], q["id"]): score(p, q) for p in rows for q in rows if p["id"] < q["id"] and met(p, q)}
     assert got.keys() == want.keys() and len(want) > 100 and max(sizes.values()) > 8
     assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 2e-6 for k in want) and {v for _, v in want.values()} == {"auto", "candidate", "distinct"}
+
+
+def test_fuzzy_pairs_lose_none_above_the_threshold(spark):
+    names = ["small ring", "smoll ring", "smal ring", "sm", "small", "smallring", "small ring of the old gold mine", "large ring", "smXX ring", "small rings", "small ring"]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, key string")
+    first = {n: names.index(n) for n in names}
+    for ratio, plain in ((identity.levenshtein_ratio, edits), (identity.matching_ratio, lambda a, b: difflib.SequenceMatcher(None, a, b).ratio())):
+        want = {tuple(sorted((first[a], first[b]))) for a in first for b in first if a < b and a[:2] == b[:2] and similarity(a, b, plain) >= 0.88}
+        got = identity.match_candidates(df, 0.88, F.substring("key", 1, 2), ratio).collect()
+        assert {(r["a"], r["b"]) for r in got if r["method"] == "fuzzy"} == want and (3, 6) in want
+        assert {(r["a"], r["b"]) for r in got if r["review"]} == {(0, 5)}
