@@ -323,6 +323,8 @@ def _possible(percent: int):
 
 
 def _verify(k: int, percent: int):
+    """(a, b, src, dst, text_a, text_b) -> documents (src, dst) of the set ids a and b that link; two sets may share a document's id."""
+
     def run(batches):
         sets: dict = {}
 
@@ -334,8 +336,8 @@ def _verify(k: int, percent: int):
             return sets[i]
 
         for batch in batches:
-            src, dst, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            ok = [i for i in range(len(src)) if linked(of(src[i], ta[i]), of(dst[i], tb[i]), percent)]
+            a, b, src, dst, ta, tb = (batch.column(i).to_pylist() for i in range(6))
+            ok = [i for i in range(len(src)) if linked(of(a[i], ta[i]), of(b[i], tb[i]), percent)]
             yield pa.RecordBatch.from_arrays([pa.array([src[i] for i in ok], pa.int64()), pa.array([dst[i] for i in ok], pa.int64())], names=["src", "dst"])
 
     return run
@@ -350,7 +352,7 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, signatures: DataF
     texts = written(docs.join(needed, "doc_id", "left_semi").mapInArrow(_own(k), "sid long, doc_id long, text string").join(sets.select("sid", "doc_id"), ["sid", "doc_id"], "left_semi"), "texts")
     a = texts.select(F.col("sid").alias("a"), F.col("doc_id").alias("src"), F.col("text").alias("text_a"))
     b = texts.select(F.col("sid").alias("b"), F.col("doc_id").alias("dst"), F.col("text").alias("text_b"))
-    return written(left.join(b, "b").join(a, "a").select("src", "dst", "text_a", "text_b").mapInArrow(_verify(k, percent), "src long, dst long"), "links")
+    return written(left.join(b, "b").join(a, "a").select("a", "b", "src", "dst", "text_a", "text_b").mapInArrow(_verify(k, percent), "src long, dst long"), "links")
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,3 +58,12 @@ def test_tree_keeps_every_linked_pair():
     found = {tuple(sorted((order[a], order[b]))) for i, j in jj.SignatureTree(n[order], bits[order]).pairs(np.arange(len(sets))) for a, b in zip(i, j)}
     want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if jj.linked(sets[a], sets[b])}
     assert want and want <= found and len(found) < len(sets) ** 2 / 8
+
+
+def test_one_id_under_two_texts():
+    import pyarrow as pa
+
+    x, y = "a b c d e f g h", "p q r s t u v w"
+    rows = {"a": [10, 11], "b": [20, 21], "src": [1, 1], "dst": [2, 3], "text_a": [x, y], "text_b": [x + " ", y + " "]}
+    [got] = jj._verify(5, 75)(pa.RecordBatch.from_pydict(rows) for _ in range(1))
+    assert got.to_pydict() == {"src": [1, 1], "dst": [2, 3]}
