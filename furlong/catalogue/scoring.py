@@ -1,6 +1,7 @@
 """Queries over as-of features, evaluation, markets, crowds, streams."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -321,8 +322,10 @@ def d01_d03_assemble_starts(spark, d):
     return s.select("result_id", "race_id", races["course"], "race_date", "people", "field_size")
 
 
-def folder() -> str:
-    return tempfile.mkdtemp(prefix="furlong-stream-")
+def folder(spark) -> str:
+    """A new folder below the one that the session names, which all executors share; else a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/furlong-stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="furlong-stream-")
 
 
 def stream_of(spark, d, name):
@@ -334,17 +337,13 @@ def stream_of(spark, d, name):
 def s03_stream_daily_counts(spark, d):
     """The stream run over all that is there, complete mode; equal to the batch count."""
     out = st.stream_daily_counts(stream_of(spark, d, "events"), "ts", "event_type", "3650 days")
-    q = out.writeStream.format("memory").queryName("s03").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table("s03")
+    return st.stream_table(out, folder(spark))
 
 
 @c.query("select user_id, event_id, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1", base=False)
 def s02_stream_latest(spark, d):
     out = st.stream_latest(stream_of(spark, d, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], "ts", "3650 days")
-    q = out.writeStream.format("memory").queryName("s02").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table("s02").select("user_id", "event_id", "value")
+    return st.stream_table(out, folder(spark)).select("user_id", "event_id", "value")
 
 
 @registry.register("people totals")

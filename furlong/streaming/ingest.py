@@ -30,3 +30,19 @@ def stream_latest(source: DataFrame, keys: list[str], ts: str, delay: str = "1 d
 def stream_daily_counts(source: DataFrame, ts: str, status: str, delay: str = "1 day") -> DataFrame:
     """Events per day and status; rows later than the watermark are dropped."""
     return source.withWatermark(ts, delay).groupBy(F.window(ts, "1 day"), status).agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), status, "n")
+
+
+def stream_table(result: DataFrame, path: str) -> DataFrame:
+    """Run a stream over all that is there, in complete mode, and return its table from the last batch's Parquet files.
+
+    Batch n writes the whole result to path/v=n; the checkpoint lies in path/checkpoint.
+    """
+    done: list[int] = []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={n}")
+        done.append(n)
+
+    result.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = result.sparkSession
+    return spark.read.schema(result.schema).parquet(f"{path}/v={max(done)}") if done else spark.createDataFrame([], result.schema)

@@ -186,3 +186,11 @@ def test_fuzzy_pairs_lose_none_above_the_threshold(spark):
         got = identity.match_candidates(df, 0.88, F.substring("key", 1, 2), ratio).collect()
         assert {(r["a"], r["b"]) for r in got if r["method"] == "fuzzy"} == want and (3, 6) in want
         assert {(r["a"], r["b"]) for r in got if r["review"]} == {(0, 5)}
+
+
+def test_streams_end_as_a_table_on_disk(spark, tmp_path):
+    spark.createDataFrame([(1, 1), (1, 2), (2, 5)], "k long, v long").write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema("k long, v long").parquet(str(tmp_path / "in"))
+    out = streaming.stream_table(source().groupBy("k").agg(F.max("v").alias("v")), str(tmp_path / "out"))
+    assert sorted(map(tuple, out.collect())) == [(1, 2), (2, 5)]
+    assert all(str(tmp_path / "out") in f for f in out.inputFiles()) and out.inputFiles()
