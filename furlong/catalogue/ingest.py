@@ -1,7 +1,5 @@
 """Queries over ingest, calendars, sets, quality and identity."""
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,20 +10,13 @@ from ..operators import metrics as m
 from ..operators import quality as q
 from ..operators.graph import connected_components
 from ..sources import tables as t
+from ..sources.store import written as keep
 from .common import Catalogue
 
 c = Catalogue()
 QUERIES, SQL = c.queries, c.sql
 
 
-def keep(df):
-    """Cut lineage by a checkpoint in the folder that the session names; one of our own only where it names none."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="furlong-"))
-    return df.checkpoint()
-
-
 @c.query("""
 with o as (select user_id k, value, ts, event_id, lag(value) over w pv, row_number() over w r from events window w as (partition by user_id order by ts, event_id)),
 v as (select *, row_number() over (partition by k order by ts, event_id) version from o where r = 1 or value <> pv)

@@ -5,25 +5,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import forget, written
 
-def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], src: str = "src", dst: str = "dst") -> DataFrame:
+
+def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = written, src: str = "src", dst: str = "dst") -> DataFrame:
     """Each vertex of the edges with the smallest vertex of its component: id, component.
 
-    `keep` cuts lineage (checkpoint, or write and read back); it runs twice a round. Every
-    round maps a vertex to its smallest neighbour and that one's smallest neighbour, then
-    contracts the edges; the rounds are logarithmic in the longest path. Loops and repeated
-    edges are ignored; no edges give no rows; null ends are dropped.
+    Every round maps a vertex to its smallest neighbour and that one's smallest neighbour,
+    then contracts the edges; the rounds are logarithmic in the longest path. `keep` writes each
+    round to the shared folder and reads it back, so that neither lineage nor the size
+    estimates of the plan grow, and the round before is emptied. Loops and repeated edges are
+    ignored; no edges give no rows; null ends are dropped.
     """
-    pairs = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    left = keep(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(*pairs(F.col(src), F.col(dst))).distinct())
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left = keep(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(*ordered(F.col(src), F.col(dst))).distinct())
     roots = None
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
         up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
         jump = keep(up.join(up.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p")))
-        roots = jump if roots is None else keep(roots.join(jump.select(F.col("v").alias("p"), F.col("p").alias("q")), "p", "left").select("v", F.coalesce("q", "p").alias("p")))
-        a, b = jump.select(F.col("v").alias("a"), F.col("p").alias("pa")), jump.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        left = keep(left.join(a, "a").join(b, "b").where(F.col("pa") != F.col("pb")).select(*pairs(F.col("pa"), F.col("pb"))).distinct())
+        onward = jump.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        new = jump if roots is None else keep(roots.join(onward, "p", "left").select("v", F.coalesce("q", "p").alias("p")))
+        a, b = (jump.select(F.col("v").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
+        contracted = keep(left.join(a, "a").join(b, "b").where(F.col("pa") != F.col("pb")).select(*ordered(F.col("pa"), F.col("pb"))).distinct())
+        forget(left, *([] if roots is None else [roots, jump]))
+        left, roots = contracted, new
     if roots is None:
         return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return roots.select(F.col("v").alias("id"), F.col("p").alias("component"))

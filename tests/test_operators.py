@@ -82,6 +82,11 @@ def test_components(spark):
     assert graph.connected_components(edges.where("src < 0"), keep).count() == 0
 
 
+def test_components_of_a_long_path(spark):
+    ends = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.connected_components(ends).agg(F.count("*"), F.max("component")).first() == (10_001, 0)
+
+
 def test_seasons_and_ranges(spark):
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
     days = spark.createDataFrame([("x", day(n)) for n in (0, 7, 14, 90, 97)], "course string, race_date date")
