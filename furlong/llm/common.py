@@ -1,12 +1,14 @@
 """Helpers that the corpus operators share."""
 
-import gc
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import forget, shared_folder, written
+
+__all__ = ["SPACE", "forget", "id_and_text", "let", "partitions", "read", "shared_folder", "written"]
+
 #: ASCII white space as the contracts define it: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,35 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path below the folder that all executors share.
-
-    The cluster names that folder in spark.checkpoint.dir. Where it is unset (tests, a
-    single machine) a temporary folder of the driver stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="furlong-")
-    return f"{base.rstrip('/')}/furlong-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors.
-
-    Spark removes shuffle files once the driver has collected the plan that made them; the
-    plan is of no more use here, so the driver collects now rather than at some later time.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}-{name}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

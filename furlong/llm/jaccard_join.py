@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: prefix buckets, signature trees inside them, exact verification, components."""
+"""N-gram Jaccard join: prefix buckets, signature trees inside them, candidate clusters joined exactly by trees."""
 
 import numpy as np
 import pyarrow as pa
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import id_and_text, partitions, written
+from .common import forget, id_and_text, partitions, written
 from .shingles import chunks, mix, shingle_sets
 
 SHINGLE_WORDS, PERCENT = 5, 75
@@ -14,11 +14,11 @@ SHINGLE_WORDS, PERCENT = 5, 75
 BITS = 1024
 #: A shingle in more than this share of the documents is heavy; there are at most (mean set size / share) of them.
 HEAVY_SHARE = 0.001
-#: Documents of a heavy shingle are dealt over blocks of about so many.
-BLOCK_DOCS = 4096
+#: Sets of a bucket or cluster that one task joins with each other, and their tokens; more are dealt over pairs of blocks.
+BLOCK_DOCS, BLOCK_TOKENS = 4096, 2_000_000
 LEAF, FAN = 16, 8
-#: Rounds of random partners before the trees, and partners of a set in a round. They only spare the trees work.
-ROUNDS, PARTNERS = 2, 4
+#: Bits of a block's own bitmaps; exact while the block shares no more tokens, folded beyond.
+BLOCK_BITS = 1 << 14
 
 
 def required(na, nb, percent: int = PERCENT):
@@ -32,32 +32,36 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 class SignatureTree:
-    """Sets in order of size; nodes hold OR-combined bitmaps, size ranges and the largest collision slack.
+    """Sets in a given order; nodes hold OR-combined bitmaps, size and label ranges and the largest slack.
 
-    A set of n tokens whose bitmap has b bits shares at most popcount(own & other) + n - b
-    tokens with another set, since each bit outside the other's bitmap stands for a token of
-    its own. With ORs and largest slacks the same holds for all sets below two nodes.
+    A set of n tokens of which `kept` are in its bitmap of b bits shares at most
+    popcount(own & other) + kept - b tokens with another set, since each bit outside the
+    other's bitmap stands for a token of its own. With ORs and largest slacks the same holds
+    for all sets below two nodes. Without collisions the bound of two sets is exact.
     """
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, levels: int = 99):
-        self.levels = [(bits, n, n, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64))]
+    def __init__(self, n: np.ndarray, bits: np.ndarray, label: np.ndarray | None = None, kept: np.ndarray | None = None, levels: int = 99):
+        label = np.arange(len(n)) if label is None else label
+        kept = n if kept is None else kept
+        self.levels = [(bits, n, n, kept, kept - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), label, label)]
         while len(self.levels[-1][1]) > LEAF and len(self.levels) < levels:
-            or_, low, high, slack = self.levels[-1]
-            cut = np.arange(0, len(low), LEAF if len(self.levels) == 1 else FAN)
-            self.levels.append((np.bitwise_or.reduceat(or_, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(slack, cut)))
+            cut = np.arange(0, len(self.levels[-1][1]), LEAF if len(self.levels) == 1 else FAN)
+            folds = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.maximum, np.minimum, np.maximum)
+            self.levels.append(tuple(f.reduceat(x, cut) for f, x in zip(folds, self.levels[-1])))
 
     def possible(self, level: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-        """Whether sets below nodes i and j could link, by size ranges and by the most tokens they can share."""
-        or_, low, high, slack = self.levels[level]
+        """Whether sets of two labels below nodes i and j could link, by size ranges and by the most tokens they can share."""
+        or_, low, high, kept, slack, first, last = self.levels[level]
         ok = (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
+        ok &= (first[i] != last[i]) | (first[j] != last[j]) | (first[i] != first[j])
         i, j, out = i[ok], j[ok], ok
         most = np.bitwise_count(or_[i] & or_[j]).sum(axis=1, dtype=np.int64) + np.minimum(slack[i], slack[j])
-        most = np.minimum(most, np.minimum(high[i], high[j]))
+        most = np.minimum(most, np.minimum(kept[i], kept[j]))
         out[ok] = (100 + percent) * most >= required(low[i], low[j], percent)
         return out
 
-    def pairs(self, group: np.ndarray, percent: int = PERCENT, step: int = 20_000):
-        """Dual traversal from the roots: index arrays (i < j) of sets in different groups that could link."""
+    def pairs(self, label: np.ndarray, percent: int = PERCENT, step: int = 8_000):
+        """Dual traversal from the roots: index arrays (i < j) of sets that could link; pairs of one label, as it is by then, are skipped."""
         top = len(self.levels) - 1
         i, j = np.triu_indices(len(self.levels[top][1]))
         stack = [(top, i, j)]
@@ -67,7 +71,7 @@ class SignatureTree:
                 stack += [(level, i[k : k + step], j[k : k + step]) for k in range(0, len(i), step)]
                 continue
             if level == 0:
-                ok = (i < j) & (group[i] != group[j])
+                ok = (i < j) & (label[i] != label[j])
                 i, j = i[ok], j[ok]
             ok = self.possible(level, i, j, percent)
             i, j = i[ok], j[ok]
@@ -83,6 +87,24 @@ class SignatureTree:
                 stack.append((level - 1, ci[ok], cj[ok]))
 
 
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give the sets i and j of each pair, and all that have their labels, one label; in place."""
+    while (apart := label[i] != label[j]).any():
+        i, j = i[apart], j[apart]
+        parent = np.arange(int(label.max()) + 1)
+        np.minimum.at(parent, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
+        while (parent != (above := parent[parent])).any():
+            parent = above
+        label[:] = parent[label]
+
+
+def _moved(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One set of each label that was united with another, and one that has the label it now has: a pair for each, no more."""
+    _, first = np.unique(before, return_index=True)
+    moved = first[after[first] != before[first]]
+    return moved, first[np.searchsorted(before[first], after[moved])]
+
+
 def _sets(batch, k: int):
     """(position, id, sorted shingle hashes) of a batch's documents."""
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -91,10 +113,9 @@ def _sets(batch, k: int):
             yield ids[i], s
 
 
-def set_id(s: np.ndarray) -> int:
-    """64 bits of a set, without regard to order."""
-    total = np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)
-    return int(mix(np.array([total + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, without regard to order, as two longs."""
+    return tuple(int(mix(np.array([np.add.reduce(mix(s ^ np.uint64(c)), dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) for c in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D))
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -112,20 +133,22 @@ def folded(bits: bytes, size: int) -> np.ndarray:
 def _signatures(k: int):
     def run(batches):
         for batch in batches:
-            rows = [(i, len(s), set_id(s) if len(s) else None, bitmap(s) if len(s) else None) for i, s in _sets(batch, k)]
-            c = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["doc_id", "n", "sid", "bits"])
+            rows = [(i, len(s), *(set_id(s) if len(s) else (None, None)), bitmap(s) if len(s) else None) for i, s in _sets(batch, k)]
+            c = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.binary())], names=["doc_id", "n", "sid", "check", "bits"])
 
     return run
 
 
-def _own(k: int):
-    """Documents with the id of their set."""
+def _tokens(k: int):
+    """Documents' sets themselves, with their ids."""
 
     def run(batches):
         for batch in batches:
-            sids = [set_id(s) if len(s) else None for _, s in _sets(batch, k)]
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), batch.column(0), batch.column(1)], names=["sid", "doc_id", "text"])
+            rows = [(i, *set_id(s), s.tobytes()) for i, s in _sets(batch, k) if len(s)]
+            for at in range(0, len(rows), 500):
+                c = list(zip(*rows[at : at + 500]))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.binary())], names=["doc_id", "sid", "check", "tokens"])
 
     return run
 
@@ -163,8 +186,10 @@ def _entries(k: int, percent: int, heavy):
         for batch in batches:
             buckets, sids, sizes = [], [], []
             for _, s in _sets(batch, k):
-                if not len(s) or (sid := set_id(s)) in seen:
+                if not len(s) or (sid := set_id(s)[0]) in seen:
                     continue
+                if len(seen) >= 100_000:  # copies further apart are found after the shuffle
+                    seen.clear()
                 seen.add(sid)
                 need = len(s) - -(-percent * len(s) // 100) + 1
                 at = np.searchsorted(tokens, s)
@@ -236,11 +261,11 @@ def _shared(percent: int):
 
 
 def _mixed(batches):
-    """Sorted (bucket, sid, component) -> rows of buckets with two components or more, each with a random partner.
+    """Sorted (bucket, sid, component) -> rows of buckets with two components or more.
 
     A bucket is renamed by its sets: shingles of one passage often have the same documents,
-    and those buckets then are one. The partner is the next set in a random order of the
-    bucket, null if it is in the same component already.
+    and those buckets then are one. A bucket of more than BLOCK_DOCS sets becomes one for each
+    pair of its blocks.
     """
     for t in _whole_runs(batches):
         b, s, c = (t.column(i).to_numpy() for i in range(3))
@@ -251,55 +276,51 @@ def _mixed(batches):
         run = np.repeat(np.arange(len(starts)), sizes)
         keep = (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts))[run]
         name = mix(np.add.reduceat(mix(s.view(np.uint64)), starts))[run]
-        order = np.lexsort((mix(s.view(np.uint64) ^ name ^ mix(c.view(np.uint64))), run))
-        following = np.append(order[1:], order[:1])
-        ends = starts + sizes - 1
-        following[ends] = order[starts]  # the last is followed by the first
-        partner = np.empty(len(b), np.int64)
-        partner[order] = following
-        same = c[partner] == c
-        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)[keep]), pa.array(s[keep]), pa.array(c[keep]), pa.array(s[partner][keep], mask=same[keep])], names=["bucket", "sid", "component", "partner"])
-
-
-def _bounded(b, n, sid, comp, bits, percent: int) -> list[np.ndarray]:
-    """Pairs of sets of one bucket that could link; buckets of one leaf together, larger ones by a tree each."""
-    starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-    sizes = np.diff(np.append(starts, len(b)))
-    found = []
-    small = np.flatnonzero(np.repeat(sizes <= LEAF, sizes))
-    leaf = SignatureTree(n, bits, levels=1)
-    for d in range(1, LEAF):
-        i = small[small + d < len(b)]
-        i = i[(b[i] == b[i + d]) & (comp[i] != comp[i + d])]
-        i = i[leaf.possible(0, i, i + d, percent)]
-        found.append(np.stack([sid[i], sid[i + d]], axis=1))
-    for s, e in zip(starts[sizes > LEAF], (starts + sizes)[sizes > LEAF]):
-        for i, j in SignatureTree(n[s:e], bits[s:e]).pairs(comp[s:e], percent):
-            found.append(np.stack([sid[s + i], sid[s + j]], axis=1))
-            if sum(map(len, found)) > 1_000_000:
-                found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
-    return found
-
-
-def _tree_pairs(percent: int):
-    """Sorted (bucket, n, sid, component, bits) -> pairs (a, b) that the bucket's tree can't rule out."""
+        small = keep & (sizes <= BLOCK_DOCS)[run]
+        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)[small]), pa.array(s[small]), pa.array(c[small])], names=["bucket", "sid", "component"])
+        for k in np.flatnonzero(sizes > BLOCK_DOCS):
+            own = np.arange(starts[k], starts[k] + sizes[k])
+            if keep[own[0]]:
+                blocks = np.array_split(own, -(-len(own) // BLOCK_DOCS))
+                for x, one in enumerate(blocks):
+                    for y, other in enumerate(blocks[: x + 1]):
+                        both = np.append(one, other) if x != y else one
+                        pair = np.full(len(both), mix(name[own[0]] ^ mix(np.array([x * len(blocks) + y + 1], np.uint64)))[0])
+                        yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(s[both]), pa.array(c[both])], names=["bucket", "sid", "component"])
+
+
+def _candidates(percent: int):
+    """Sorted (bucket, n, sid, component, bits) -> (a, b): components that the buckets' trees can't keep apart, one pair for each that was united."""
 
     def run(batches):
         for t in _whole_runs(batches):
-            b, n, sid, comp = (t.column(i).to_numpy() for i in range(4))
+            b, n, _, comp = (t.column(i).to_numpy() for i in range(4))
             if not len(b):
                 continue
+            names, label = np.unique(comp, return_inverse=True)
+            before = label.copy()
             starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-            sizes = np.diff(np.append(starts, len(b)))
             whole = t.column(4).to_pylist()
-            width = np.repeat(np.minimum.reduceat(np.array([8 * len(x) for x in whole]), starts), sizes)
-            found = [np.zeros((0, 2), np.int64)]
+            width = np.repeat(np.minimum.reduceat(np.array([8 * len(x) for x in whole]), starts), np.diff(np.append(starts, len(b))))
             for k in np.unique(width):  # buckets of one bitmap size
                 own = np.flatnonzero(width == k)
-                found += _bounded(b[own], n[own], sid[own], comp[own], np.stack([folded(whole[i], k) for i in own]), percent)
-            p = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            for at in range(0, len(p), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(p[at : at + 100_000, 0]), pa.array(p[at : at + 100_000, 1])], names=["a", "b"])
+                bits, bucket = np.stack([folded(whole[i], k) for i in own]), b[own]
+                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                size = np.diff(np.append(cut, len(own)))
+                small = np.flatnonzero(np.repeat(size <= LEAF, size))
+                leaf = SignatureTree(n[own], bits, label[own], levels=1)
+                for d in range(1, LEAF):
+                    i = small[small + d < len(own)]
+                    i = i[(bucket[i] == bucket[i + d]) & (label[own[i]] != label[own[i + d]])]
+                    i = i[leaf.possible(0, i, i + d, percent)]
+                    unite(label, own[i], own[i + d])
+                for s, e in zip(cut[size > LEAF], (cut + size)[size > LEAF]):
+                    now = label[own[s:e]]
+                    for i, j in SignatureTree(n[own[s:e]], bits[s:e], now.copy()).pairs(now, percent):
+                        unite(label, own[s + i], own[s + j])
+                        now[:] = label[own[s:e]]
+            moved, root = _moved(before, label)
+            yield pa.RecordBatch.from_arrays([pa.array(comp[root]), pa.array(comp[moved])], names=["a", "b"])
 
     return run
 
@@ -316,67 +337,111 @@ def _possible(percent: int):
                 own = np.flatnonzero(size == k)
                 bits = np.stack([folded(x[i], k) for x in (ba, bb) for i in own])
                 at = np.arange(len(own))
-                ok[own] = SignatureTree(np.array([x[i] for x in (na, nb) for i in own]), bits, levels=1).possible(0, at, at + len(own), percent)
+                ok[own] = SignatureTree(np.array([x[i] for x in (na, nb) for i in own]), bits, np.arange(2 * len(own)), levels=1).possible(0, at, at + len(own), percent)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
 
     return run
 
 
-def _verify(k: int, percent: int):
-    """(a, b, src, dst, text_a, text_b) -> documents (src, dst) of the set ids a and b that link; two sets may share a document's id."""
+def join_sets(sets: list[np.ndarray], label: np.ndarray, block: np.ndarray, percent: int = PERCENT) -> None:
+    """Unite the labels of all sets that link; of two blocks, only sets of different ones are compared.
 
-    def run(batches):
-        sets: dict = {}
-
-        def of(i, text):
-            if i not in sets:
-                if len(sets) >= 64:
-                    sets.pop(next(iter(sets)))
-                sets[i] = shingle_sets([text], k)[0]
-            return sets[i]
+    Tokens that only one set has can't be shared, and a set left with too few shared ones for
+    any link drops out, until that changes nothing. The tokens left get numbers of the block's
+    own, so that a bitmap of BLOCK_BITS or fewer is exact and the tree's bound decides; folded
+    bitmaps only bound, and the sets themselves decide.
+    """
+    n, cross = np.array([len(s) for s in sets]), bool((block != block[0]).any())
+    if len(sets) <= 4:
+        for i in range(len(sets)):
+            for j in range(i):
+                if label[i] != label[j] and (block[i] != block[j] or not cross) and linked(sets[i], sets[j], percent):
+                    unite(label, np.array([i]), np.array([j]))
+        return
+    owner = np.repeat(np.arange(len(sets)), n)
+    tokens, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    while True:
+        kept = np.bincount(owner[count[token] > 1], minlength=len(sets))
+        live = 100 * kept >= percent * n
+        stay = live[owner] & (count[token] > 1)
+        if stay.all():
+            break
+        owner, token = owner[stay], token[stay]
+        count = np.bincount(token, minlength=len(tokens))
+    if not len(owner):
+        return
+    rows = np.flatnonzero(live)
+    kept, first = kept[rows], token[np.searchsorted(owner, rows)]
+    order = np.lexsort((n[rows], first))  # by the smallest shared token: like sets stand together
+    rows, kept = rows[order], kept[order]
+    place = np.zeros(len(sets), np.int64)
+    place[rows] = np.arange(len(rows))
+    numbers, number = np.unique(token, return_inverse=True)
+    exact = len(numbers) <= BLOCK_BITS
+    size = -(-min(len(numbers), BLOCK_BITS) // 64) * 64
+    bits = np.zeros(len(rows) * size // 8, np.uint8)
+    at = place[owner] * size + number % size
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    now = label[rows]
+    for i, j in SignatureTree(n[rows], bits.view(np.uint64).reshape(len(rows), -1), now.copy(), kept).pairs(now, percent):
+        i, j = rows[i], rows[j]
+        if cross:
+            i, j = i[block[i] != block[j]], j[block[i] != block[j]]
+        for k in range(0, len(i), len(i) if exact else 64):
+            a, b = i[k : k + (len(i) if exact else 64)], j[k : k + (len(i) if exact else 64)]
+            if not exact:
+                apart = label[a] != label[b]
+                ok = np.array([linked(sets[x], sets[y], percent) for x, y in zip(a[apart], b[apart])], bool)
+                a, b = a[apart][ok], b[apart][ok]
+            unite(label, a, b)
+        now[:] = label[rows]
+
+
+def _joined(percent: int):
+    """Sorted (key, block, doc_id, component, tokens) -> (src, dst): documents of components that links unite, one pair for each."""
 
-        for batch in batches:
-            a, b, src, dst, ta, tb = (batch.column(i).to_pylist() for i in range(6))
-            ok = [i for i in range(len(src)) if linked(of(a[i], ta[i]), of(b[i], tb[i]), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([src[i] for i in ok], pa.int64()), pa.array([dst[i] for i in ok], pa.int64())], names=["src", "dst"])
+    def run(batches):
+        for t in _whole_runs(batches):
+            key, block, doc, component = (t.column(i).to_numpy() for i in range(4))
+            if not len(key):
+                continue
+            tokens, src, dst = t.column(4), [], []
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            for s, e in zip(starts, np.append(starts[1:], len(key))):
+                _, label = np.unique(component[s:e], return_inverse=True)
+                before = label.copy()
+                if label.any():
+                    join_sets([np.frombuffer(tokens[i].as_buffer(), np.uint64) for i in range(s, e)], label, block[s:e], percent)
+                    moved, root = _moved(before, label)
+                    src.append(doc[s:e][root])
+                    dst.append(doc[s:e][moved])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (src, dst)], names=["src", "dst"])
 
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, signatures: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of set ids that link, as (src, dst) of their documents; whole bitmaps first, then whole texts."""
-    side = lambda x: signatures.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-    left = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "na", "bits_a", "b", "nb", "bits_b").mapInArrow(_possible(percent), "a long, b long"), "pairs")
-    # only the texts of sets in a pair; where they are few, Spark sends their ids to the scan
-    needed = written(sets.join(left.select(F.col("a").alias("sid")).union(left.select("b")).distinct(), "sid", "left_semi").select("doc_id"), "needed")
-    texts = written(docs.join(needed, "doc_id", "left_semi").mapInArrow(_own(k), "sid long, doc_id long, text string").join(sets.select("sid", "doc_id"), ["sid", "doc_id"], "left_semi"), "texts")
-    a = texts.select(F.col("sid").alias("a"), F.col("doc_id").alias("src"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("sid").alias("b"), F.col("doc_id").alias("dst"), F.col("text").alias("text_b"))
-    return written(left.join(b, "b").join(a, "a").select("a", "b", "src", "dst", "text_a", "text_b").mapInArrow(_verify(k, percent), "src long, dst long"), "links")
-
-
 def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have Jaccard similarity of percent / 100 or more.
 
     Returns one row per input row: doc_id, n_shingles, component_id (the smallest doc_id that
     links reach). No link between different sets is lost:
 
-    1. Equal sets collapse to their smallest document, so copies cost nothing further on.
+    1. Equal sets (128 bits) collapse to their smallest document, so copies cost nothing
+       further on.
     2. Linked sets share a shingle of their prefixes (the rarest n - ceil(t n) + 1). Frequent
        shingles, counted over all documents, come last in the order; that changes which
        buckets arise, never whether a pair meets. Buckets of one set fall away.
-    3. A star in each bucket, not all pairs, gives first links and components, so that a large
-       group of near copies costs one comparison a document.
-       Then, for two rounds, each set meets a few random partners of other components in its
-       buckets, which joins groups whose members are close to each other but not to the star.
-    4. In buckets that still hold several components, signature trees (OR-combined bitmaps
-       and size ranges) are traversed against themselves; node pairs whose largest possible
-       overlap is too small are pruned, and pairs of one component are skipped.
-    5. Surviving pairs of 3 and 4 are bounded once more by their whole bitmaps, then compared
-       exactly, on the sets of the whole texts.
+    3. Candidate clusters: in each bucket a star, then signature trees (OR-combined bitmaps and
+       size ranges, traversed against themselves) unite whatever the bitmaps can't keep apart.
+       A bucket yields one pair for each cluster that it unites, however many could link, and
+       buckets within one cluster yield none. Two sets that link are in one cluster.
+    4. Each cluster is joined exactly, every set of it once, by a signature tree over the
+       cluster's own token numbers; again one pair comes out for each component that was united.
+       Clusters beyond BLOCK_DOCS sets or BLOCK_TOKENS tokens are dealt over blocks: first each
+       block alone, then each two blocks.
 
     Heavy shingles (more than HEAVY_SHARE of all documents, so a list of bounded length) are
-    dealt over pairs of blocks of BLOCK_DOCS sets.
+    dealt over pairs of blocks of BLOCK_DOCS sets, and so are larger buckets of others.
 
     Defined cases: null or empty text has no shingles, links with nothing and is its own
     component; fewer than k words are one shingle; repeated rows are copies; of equal ids the
@@ -385,36 +450,48 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
-    rows = written(texts.mapInArrow(_signatures(k), "doc_id long, n long, sid long, bits binary"), "signatures")
-    sets = rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    rows = written(texts.mapInArrow(_signatures(k), "doc_id long, n long, sid long, check long, bits binary"), "signatures")
+    sets = rows.where("sid is not null and doc_id is not null").groupBy("sid", "check").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     floor = max(64, int(HEAVY_SHARE * rows.count()))
     often = texts.mapInArrow(_often(k, HEAVY_SHARE), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= floor).toArrow()
     tokens, counts = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     order = np.argsort(tokens)
     heavy = spark.sparkContext.broadcast((tokens[order], counts[order]))
     entries = texts.where("doc_id is not null").mapInArrow(_entries(k, percent, heavy), "bucket long, n int, sid long")
-    by_bucket = lambda df, *order: df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", *order)
-    shared = written(by_bucket(entries, "n", "sid").mapInArrow(_shared(percent), "bucket long, sid long, leader long"), "buckets")
-    signatures = written(rows.select("sid", "n", "bits").join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "shared-signatures")
+    by = lambda df, key, *order: df.repartition(partitions(spark), key).sortWithinPartitions(key, *order)
+    shared = written(by(entries, "bucket", "n", "sid").mapInArrow(_shared(percent), "bucket long, sid long, leader long"), "buckets")
+    signatures = written(rows.select("sid", "check", "n", "bits").join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid", "check"]), "shared-signatures")
 
+    side = lambda x: signatures.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
     stars = shared.where("sid != leader").select(F.least("leader", "sid").alias("a"), F.greatest("leader", "sid").alias("b")).distinct()
-    links = _links(stars, texts, sets, signatures, k, percent)
-    for round_ in range(ROUNDS + 1):
-        components = connected_components(links, written)
-        known = sets.select("sid", "doc_id").join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("component"))
-        mixed = written(by_bucket(shared.select("bucket", "sid").join(known, "sid").select("bucket", "sid", "component")).mapInArrow(_mixed, "bucket long, sid long, component long, partner long").dropDuplicates(["bucket", "sid"]), "mixed")
-        if round_ == ROUNDS:
-            break
-        few = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("bucket", "sid", F.lit(round_)).alias("h"), "partner"))), 1, PARTNERS)
-        met = mixed.where("partner is not null").groupBy("sid").agg(few.alias("few")).select("sid", F.explode("few.partner").alias("partner"))
-        links = written(links.union(_links(met.select(F.least("sid", "partner").alias("a"), F.greatest("sid", "partner").alias("b")).distinct(), texts, sets, signatures, k, percent)).distinct(), "links")
+    near = stars.join(side("a"), "a").join(side("b"), "b").select("a", "na", "bits_a", "b", "nb", "bits_b").mapInArrow(_possible(percent), "a long, b long")
+    starred = connected_components(near, src="a", dst="b")
+    sids = signatures.select("sid").distinct()
+    known = sids.join(starred.withColumnRenamed("id", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"))
+    mixed = by(shared.select("bucket", "sid").join(known, "sid").select("bucket", "sid", "component"), "bucket").mapInArrow(_mixed, "bucket long, sid long, component long").dropDuplicates(["bucket", "sid"])
     nodes = mixed.join(signatures, "sid").select("bucket", "n", "sid", "component", "bits")
-    pairs = by_bucket(nodes, "n", "sid").mapInArrow(_tree_pairs(percent), "a long, b long").distinct()
-    more = _links(pairs, texts, sets, signatures, k, percent)
-    if not more.isEmpty():
-        components = connected_components(links.union(more), written)
-    of_set = sets.select("sid", "doc_id").join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("component"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(of_set, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    further = connected_components(by(nodes, "bucket", "n", "sid").mapInArrow(_candidates(percent), "a long, b long"), src="a", dst="b")
+    clusters = known.join(further.select(F.col("id").alias("component"), F.col("component").alias("cluster")), "component", "left").select("sid", F.coalesce("cluster", "component").alias("cluster"))
+
+    member = clusters.join(sets, "sid")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_TOKENS)).cast("int")
+    dealt = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), blocks.alias("blocks")).where("size > 1")
+    member = written(member.join(dealt, "cluster").select("sid", "check", "doc_id", "cluster", "blocks"), "members")
+    forget(shared)
+    found = texts.join(member.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_tokens(k), "doc_id long, sid long, check long, tokens binary")
+    block = F.pmod(F.xxhash64("sid", "check"), "blocks")
+    clustered = written(found.join(member, ["sid", "check", "doc_id"]).dropDuplicates(["sid", "check"]).select("cluster", "blocks", block.alias("block"), "doc_id", "tokens"), "clusters")
+    joined = lambda df: by(df, "key").select("key", "block", "doc_id", "component", "tokens").mapInArrow(_joined(percent), "src long, dst long")
+    links = written(joined(clustered.select(F.xxhash64("cluster", "block").alias("key"), "block", "doc_id", F.col("doc_id").alias("component"), "tokens")), "links")
+    components = connected_components(links)
+    large = clustered.where("blocks > 1")
+    if not large.isEmpty():
+        large = large.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+        pairs = large.select("*", other.alias("other")).withColumn("key", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")))
+        components = connected_components(links.union(written(joined(pairs), "links")))
+    of_set = sets.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sid", "check", F.coalesce("component", "doc_id").alias("component"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "sid", "check").join(of_set, ["sid", "check"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def brute(rows: list[tuple], k: int = SHINGLE_WORDS, percent: int = PERCENT) -> dict:

@@ -60,10 +60,40 @@ def test_tree_keeps_every_linked_pair():
     assert want and want <= found and len(found) < len(sets) ** 2 / 8
 
 
-def test_one_id_under_two_texts():
-    import pyarrow as pa
+def test_one_id_under_two_texts(spark):
+    rng = random.Random(8)
+    x, y = list(near_copies(rng, 2, 120, 1)), list(near_copies(rng, 2, 120, 1))
+    rows = [(1, x[0]), (1, y[0]), (2, x[1]), (3, y[1]), (4, "else")]
+    got = {r[0]: r[2] for r in jj.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
-    x, y = "a b c d e f g h", "p q r s t u v w"
-    rows = {"a": [10, 11], "b": [20, 21], "src": [1, 1], "dst": [2, 3], "text_a": [x, y], "text_b": [x + " ", y + " "]}
-    [got] = jj._verify(5, 75)(pa.RecordBatch.from_pydict(rows) for _ in range(1))
-    assert got.to_pydict() == {"src": [1, 1], "dst": [2, 3]}
+
+def test_clusters_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(jj, "BLOCK_TOKENS", 500)
+    rng = random.Random(9)
+    rows = list(enumerate([*near_copies(rng, 80, 60, 9), *near_copies(rng, 60, 200, 30), *near_copies(rng, 40, 12, 2)]))
+    got = {r[0]: (r[1], r[2]) for r in jj.jaccard_join(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    want = jj.brute(rows)
+    assert got == want and 3 < len({c for _, c in want.values()}) < len(rows)
+
+
+def test_folded_bitmaps_only_bound(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(10)
+    sets = jj.shingle_sets([*near_copies(rng, 60, 80, 12), *near_copies(rng, 60, 150, 20)])
+    found = []
+    for bits in (64, 1 << 14):
+        monkeypatch.setattr(jj, "BLOCK_BITS", bits)
+        label = np.arange(len(sets))
+        jj.join_sets(sets, label, np.zeros(len(sets)))
+        found.append(label.tolist())
+    assert found[0] == found[1] and len(set(found[0])) < len(sets)
+
+
+def test_null_ids_and_a_long_text(spark):
+    long = " ".join(f"x{i}" for i in range(30_000))
+    rows = [(None, "a b c"), (None, long), (1, long), (2, long + " y"), (3, long), (3, long)]
+    got = sorted(map(tuple, jj.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == [(1, 29_996, 1), (2, 29_997, 1), (3, 29_996, 1), (3, 29_996, 1), (None, 1, None), (None, 29_996, None)]
