@@ -10,12 +10,12 @@ from .common import forget, id_and_text, partitions, written
 from .shingles import chunks, mix, shingle_sets
 
 SHINGLE_WORDS, PERCENT = 5, 75
-#: Least bits of a document's token bitmap; four times its tokens, as a power of two, if that is more.
-BITS = 1024
+#: Least bits of a document's token bitmap; TOKEN_BITS times its tokens, as a power of two, if that is more.
+BITS, TOKEN_BITS = 1024, 16
 #: A shingle in more than this share of the documents is heavy; there are at most (mean set size / share) of them.
 HEAVY_SHARE = 0.001
 #: Sets of a bucket or cluster that one task joins with each other, and their tokens; more are dealt over pairs of blocks.
-BLOCK_DOCS, BLOCK_TOKENS = 4096, 2_000_000
+BLOCK_DOCS, BLOCK_TOKENS = 4096, 4_000_000
 LEAF, FAN = 16, 8
 #: Bits of a block's own bitmaps; exact while the block shares no more tokens, folded beyond.
 BLOCK_BITS = 1 << 14
@@ -119,7 +119,7 @@ def set_id(s: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    size = max(BITS, 1 << (4 * len(s) - 1).bit_length())
+    size = max(BITS, 1 << (TOKEN_BITS * len(s) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[s & np.uint64(size - 1)] = 1
     return np.packbits(bits).tobytes()
@@ -477,7 +477,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_TOKENS)).cast("int")
     dealt = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), blocks.alias("blocks")).where("size > 1")
     member = written(member.join(dealt, "cluster").select("sid", "check", "doc_id", "cluster", "blocks"), "members")
-    forget(shared)
+    forget(shared, signatures)
     found = texts.join(member.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_tokens(k), "doc_id long, sid long, check long, tokens binary")
     block = F.pmod(F.xxhash64("sid", "check"), "blocks")
     clustered = written(found.join(member, ["sid", "check", "doc_id"]).dropDuplicates(["sid", "check"]).select("cluster", "blocks", block.alias("block"), "doc_id", "tokens"), "clusters")
