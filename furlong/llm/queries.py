@@ -107,15 +107,23 @@ from e group by conv_id
 """
 
 SQL["op3_line_dedup"] = r"""
-with l as (select doc_id, i, line, string_split(trim(regexp_replace(masked, '[\x20\x09\x0B-\x0D]+', ' ', 'g')), ' ') as t
-           from (select doc_id, unnest(range(1, len(a) + 1)) as i, unnest(a) as line, unnest(m) as masked
-                 from (select doc_id, string_split(coalesce(text, ''), chr(10)) as a,
-                              string_split(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*', '<*>', 'g'), chr(10)) as m from documents))),
-p as (select doc_id, i, line, case when len(t) >= 4 then array_to_string(t, ' ') end as path from l),
-r as (select path from (select distinct doc_id, path from p where path is not null) group by path having count(*) >= 10)
-select doc_id, count(*) as n_lines, count(*) filter (r.path is not null) as n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) order by i) filter (r.path is null), '')) as kept_sha256
-from p left join r on p.path = r.path group by doc_id
+with l as (select doc_id, unnest(range(0, len(a))) as i, unnest(a) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents)),
+p as (select *, trim(regexp_replace(line, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') as plain from l),
+m as (select *, string_split(regexp_replace(plain, '[^ ]*(?:[0-9@]|://)[^ ]*', '<*>', 'g'), ' ') as t from p where plain != ''),
+k as (select *, 2 * len(list_filter(t, lambda x: x = '<*>')) > len(t) as self from m),
+n as (select doc_id, i, t, self, case when self then chr(1) || plain else array_to_string(t, ' ') end as path,
+             case when self then chr(1) || plain else len(t) || ' ' || array_to_string(t[1:2], ' ') end as node from k),
+c as (select * from n where node in (select node from n group by node having count(*) >= 10)),
+e as (select doc_id, i, node, path, unnest(range(1, len(t) + 1)) as pos, unnest(t) as token from c where not self and len(t) > 2),
+often as (select node, pos, token from e where pos > 2 and token != '<*>' group by node, pos, token having count(*) >= 10),
+g as (select distinct e.node, path, e.pos, case when e.pos <= 2 or o.token is not null then e.token else '<*>' end as token
+      from e left join often o on e.node = o.node and e.pos = o.pos and e.token = o.token),
+tp as (select path, string_agg(token, ' ' order by pos) as template from g group by path having 2 * count(*) filter (token != '<*>') >= count(*)),
+o as (select c.doc_id, c.i, coalesce(tp.template, c.path) as t from c left join tp on c.path = tp.path and not c.self),
+r as (select t from (select distinct doc_id, t from o) group by t having count(*) >= 10),
+d as (select o.doc_id, o.i from o join r on o.t = r.t)
+select l.doc_id, count(*) as n_lines, count(d.i) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by l.i) filter (d.i is null), '')) as kept_sha256
+from l left join d on l.doc_id = d.doc_id and l.i = d.i group by l.doc_id
 """
 
 SQL["op5_jaccard_join"] = r"""
