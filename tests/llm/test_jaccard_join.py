@@ -54,7 +54,7 @@ def test_tree_keeps_every_linked_pair():
     sets = [np.unique(np.where(rng.random(len(b)) < 0.06, rng.integers(0, 1 << 62, len(b), dtype=np.uint64), b)) for b in base for _ in range(5)]
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
-    bits = np.stack([jj.folded(jj.bitmap(s), jj.BITS) for s in sets])
+    bits = np.stack([jj.folded(jj.bitmap(s, *jj.SHARP), jj.SHARP[0]) for s in sets])
     found = {tuple(sorted((order[a], order[b]))) for i, j in jj.SignatureTree(n[order], bits[order]).pairs(np.arange(len(sets))) for a, b in zip(i, j)}
     want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if jj.linked(sets[a], sets[b])}
     assert want and want <= found and len(found) < len(sets) ** 2 / 8
