@@ -1,11 +1,13 @@
 """Token-ID output: Simple-8b words in blocks, written and read as a Spark table of binary rows."""
 
 import os
+import re
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ BLOCK = 1024
 #: A row of the file closes with the document that takes it past so many ids.
 ROW_IDS = 1 << 17
 #: Words whose ids a Python worker remembers at most.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 FILE_SCHEMA = "part int, seq int, first long, n_ids long, block_words binary, words binary, exceptions binary, doc_ids array<long>, doc_lens array<long>"
 
@@ -50,16 +52,17 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         selector[most[int(COUNTS[k])] <= WIDTHS[k]] = k
     selector[big.ravel()] = ESCAPE
     counts = np.append(COUNTS, [1, 1]).astype(np.uint8)[selector]
-    # greedy: each word takes the longest span that fits; blocks close their last word with zeros
-    step, places, per_block = counts.tolist(), [], np.zeros(n_blocks, np.uint32)
-    for b in range(n_blocks):
-        at = b * (BLOCK + pad)
-        end, before = at + min(BLOCK, n - b * BLOCK), len(places)
-        while at < end:
-            places.append(at)
-            at += step[at]
-        per_block[b] = len(places) - before
-    place = np.array(places)
+    # greedy: each word takes the longest span that fits, in all blocks at once; blocks close their last word with zeros
+    at = np.arange(n_blocks) * (BLOCK + pad)
+    end = at + np.minimum(BLOCK, n - np.arange(n_blocks) * BLOCK)
+    places, blocks, block = [], [], np.arange(n_blocks)
+    while len(at):
+        places.append(at)
+        blocks.append(block)
+        at = at + counts[at]
+        more = at < end
+        at, end, block = at[more], end[more], block[more]
+    place, per_block = np.sort(np.concatenate(places)), np.bincount(np.concatenate(blocks), minlength=n_blocks).astype(np.uint32)
     flat, chosen = grid.ravel(), selector[place]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for k in np.unique(chosen[chosen < len(COUNTS)]):
@@ -109,16 +112,26 @@ class Numbers(dict):
         return number
 
 
-#: A word of letters up to U+00FF, then ASCII marks but no apostrophe, is cut by the pre-tokenizer in just these two.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Pre-tokens of lower-case text up to U+00FF, as the vocabulary's own pattern cuts them: letters, one digit, contractions, marks.
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PRE_TOKENS = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
+
+
+def _narrow(text: str) -> bool:
+    """Whether all characters are up to U+00FF."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 class WordIds:
-    """Ids of whole texts from a tokenizer whose pre-tokenizer always splits at white space.
+    """Ids of whole texts from a tokenizer that lower-cases and cuts by _PRE_TOKENS.
 
-    Each distinct word goes through the tokenizers library once, and so does each distinct
-    run of letters in them; texts are then joined from the remembered ids. The memory is
-    emptied at CACHE_WORDS. `word_end` is how the vocabulary marks the last id of a pre-token.
+    Each distinct pre-token goes through the vocabulary's merges once; texts are then joined
+    from the remembered ids. Texts with characters beyond U+00FF or with a special token's
+    brackets go through the tokenizers library as they are. The memory is emptied at
+    CACHE_WORDS. `word_end` is how the vocabulary marks the last id of a pre-token.
     """
 
     def __init__(self, path: str, word_end: str = "</w>"):
@@ -126,7 +139,7 @@ class WordIds:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # lower-case pieces of these letters are in normal form; they need only their bytes and the merges
+        # pre-tokens are in normal form; they need only their bytes and the merges
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         size = self.tokenizer.get_vocab_size()
@@ -135,58 +148,46 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.pieces = Numbers(), Numbers()
-        self.pieces[""] = 0  # a word is two pieces; the second is often empty
-        self.first, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def learn(self, pieces: list[str], plain: np.ndarray) -> None:
-        """Ids of new pieces. The plain ones are encoded as one text and cut after each last id of a pre-token."""
-        own = [p for p, ok in zip(pieces, plain) if ok]
-        ids = np.array(self.merges.encode_batch_fast([" ".join(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARS) for p in own)], add_special_tokens=False)[0].ids, np.uint32)
+        self.known = Numbers()
+        self.ids, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Ids of new pre-tokens, encoded as one text and cut after each last id of a pre-token."""
+        text = " ".join(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_CHARS) for p in new)
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
-        odd = [e.ids for e in self.tokenizer.encode_batch_fast([p for p, ok in zip(pieces, plain) if not ok], add_special_tokens=False)]
-        lens = np.zeros(len(pieces), np.int64)
-        lens[plain], lens[~plain] = np.diff(np.append(0, ends)), [len(x) for x in odd]
-        starts = np.zeros(len(pieces), np.int64)
-        starts[plain] = ends - lens[plain]
-        starts[~plain] = len(ids) + np.cumsum(lens[~plain]) - lens[~plain]
-        self.starts, self.lens = np.append(self.starts, len(self.ids) + starts), np.append(self.lens, lens)
-        self.ids = np.concatenate([self.ids, ids, np.array(list(chain.from_iterable(odd)), np.uint32)])
-
-    def add(self, new: list[str]) -> None:
-        number, odd, first, second = self.pieces.__getitem__, set(), [], []
-        for w in new:
-            core = w.rstrip(_MARKS)
-            if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
-                first.append(number(core.lower()))
-                second.append(number(w[len(core) :]))
-            else:
-                first.append(number(w))
-                second.append(0)
-                if core:
-                    odd.add(w)
-        self.first, self.second = np.append(self.first, np.array(first, np.int64)), np.append(self.second, np.array(second, np.int64))
-        if pieces := self.pieces.new:
-            self.learn(pieces, np.array([p not in odd for p in pieces]))
-            self.pieces.new = []
+        lens = np.diff(np.append(0, ends))
+        self.starts, self.lens = np.append(self.starts, len(self.ids) + ends - lens), np.append(self.lens, lens)
+        self.ids = np.append(self.ids, ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and each text's number of ids."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        lower = (t.lower() if t.isascii() else t for t in texts)  # as the vocabulary does; fewer distinct words
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in lower]
-        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        cut, other = [], []
+        for i, t in enumerate(texts):
+            if "<|" in t or not _narrow(t):
+                other.append(i)
+                cut.append(())
+            else:
+                cut.append(_PRE_TOKENS.findall(t.lower()))
+        sizes = np.array([len(c) for c in cut], np.int64)
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
         if self.known.new:
-            self.add(self.known.new)
+            self.learn(self.known.new)
             self.known.new = []
-        pieces = np.stack([self.first[index], self.second[index]], axis=1).ravel()
-        lens = self.lens[pieces]
+        lens = self.lens[index]
         total = np.cumsum(lens)
-        gather = np.repeat(self.starts[pieces] - (total - lens), lens) + np.arange(total[-1] if len(total) else 0)
-        upto = np.append(0, total)[2 * np.cumsum([len(ws) for ws in words])]
-        return self.ids[gather], np.diff(np.append(0, upto))
+        gather = np.repeat(self.starts[index] - (total - lens), lens) + np.arange(total[-1] if len(total) else 0)
+        ids, of_text = self.ids[gather], np.diff(np.append(0, total)[np.append(0, np.cumsum(sizes))])
+        if other:
+            whole = self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)
+            parts = np.split(ids, np.cumsum(of_text)[:-1])
+            for i, e in zip(other, whole):
+                parts[i] = np.array(e.ids, np.uint32)
+                of_text[i] = len(e.ids)
+            ids = np.concatenate(parts)
+        return ids, of_text
 
 
 _encoders: dict[str, WordIds] = {}
@@ -209,14 +210,14 @@ def _file_rows(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types)], schema=schema)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            doc_ids, sizes = batch.column(0).to_pylist(), pc.binary_length(batch.column(1)).to_pylist()
             at = 0
-            while at < len(texts):  # so many documents at once that the arrays stay small
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) < 500_000):
-                    chars += len(texts[to])
+            while at < len(sizes):  # so many documents at once that strings and arrays stay small
+                to, size_at_once = at, 0
+                while to < len(sizes) and (to == at or size_at_once + sizes[to] < 500_000):
+                    size_at_once += sizes[to]
                     to += 1
-                ids, lens = encoder.encode(texts[at:to])
+                ids, lens = encoder.encode(batch.column(1).slice(at, to - at).to_pylist())
                 with_end = np.full(len(ids) + len(lens), end_id, np.uint32)
                 with_end[np.arange(len(ids)) + np.repeat(np.arange(len(lens)), lens)] = ids
                 for doc_id, text_ids in zip(doc_ids[at:to], np.split(with_end, np.cumsum(lens + 1)[:-1])):
@@ -244,10 +245,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     60 bits, and the documents' ids and lengths.
 
     Documents are dealt out by ranges of doc_id, so partition order and row order give the
-    global order. Null text encodes as empty (only end_id); null ids come first; equal ids
-    are ordered by text; an empty table writes no rows.
+    global order. A hash of the text stands beside the id in the ranges, so that rows of one
+    id spread and the driver samples no text. Null text encodes as empty (only end_id); null
+    ids come first; equal ids are ordered by that hash, then by text; an empty table writes
+    no rows.
     """
-    ranged = id_and_text(docs, id_col, text_col).repartitionByRange(partitions(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    hashed = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    ranged = hashed.repartitionByRange(partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     ranged.mapInArrow(_file_rows(tokenizer_path, end_id), FILE_SCHEMA).write.parquet(path)
 
 
