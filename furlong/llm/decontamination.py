@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, written
 
 WINDOW = 10
 #: Characters of benchmark text that go into one automaton; more items are dealt over several.
@@ -31,7 +31,9 @@ def patterns(items: list[tuple], window: int = WINDOW) -> dict[str, list[str]]:
     for item_id, text in items:
         words = words_of(text)
         for i in range(max(1, len(words) - window + 1) if words else 0):
-            out[b" ".join([b"", *words[i : i + window], b""]).decode("latin-1")].add(str(item_id))
+            ids = out[b" ".join([b"", *words[i : i + window], b""]).decode("latin-1")]
+            if item_id is not None:
+                ids.add(str(item_id))
     return {k: sorted(v) for k, v in out.items()}
 
 
@@ -126,9 +128,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
     measured first: up to automaton_chars characters make one automaton, which is broadcast;
     a larger benchmark is dealt by item over several, each bounded, and the spans are united.
 
-    Null text has no words; a null item id counts as the item "None"; documents are scanned
-    row by row, so repeated rows give repeated results (with several automata, doc_id has to
-    be unique). An empty benchmark hits nothing.
+    Null text has no words; an item without an id makes hits but is in no list of items;
+    documents are scanned row by row, so repeated rows and ids give repeated results (with
+    several automata, rows are numbered and written first). An empty benchmark hits nothing.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
@@ -136,6 +139,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
     shards = -(-chars // automaton_chars) or 1
     texts = id_and_text(docs)
     shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
+    if shards > 1:
+        numbered = written(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+        texts = numbered.select(F.col("row").alias("doc_id"), "text")
     scans = []
     for k in range(shards):
         own = [tuple(r) for r in items.where(shard == k).toLocalIterator()]
@@ -143,6 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
     if shards == 1:
         return scans[0]
     every = reduce(DataFrame.unionByName, scans).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("word_spans", "char_spans", "items")))
+    every = every.withColumnRenamed("doc_id", "row").join(numbered.select("row", "doc_id"), "row")
     return every.select("doc_id", "n_words", _union("word_spans", "first", "last", 1).alias("word_spans"), _union("char_spans", "start", "end", 0).alias("char_spans"), F.array_sort(F.array_distinct("items")).alias("items"))
 
 
@@ -158,13 +165,13 @@ def brute(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> dict:
     for item_id, text in items:
         w = words_of(text)
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            wins[tuple(w[i : i + window])].add(str(item_id))
+            wins[tuple(w[i : i + window])].update([] if item_id is None else [str(item_id)])
     out = {}
     for doc_id, text in docs:
         w, hit, got = words_of(text), set(), set()
         for size in {len(k) for k in wins}:
             for i in range(len(w) - size + 1):
-                if ids := wins.get(tuple(w[i : i + size])):
+                if (ids := wins.get(tuple(w[i : i + size]))) is not None:
                     hit.update(range(i, i + size))
                     got |= ids
         out[doc_id] = (len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), bool(hit))

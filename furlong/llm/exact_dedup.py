@@ -25,8 +25,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that adaptive execution may split at a hot key.
 
     Defined cases: null text counts as empty, and all empty texts form one group. Rows that
-    repeat a doc_id count one by one; of rows that repeat both doc_id and text, all have the
-    same keep_id and are all kept. A null doc_id sorts before other ids. An empty table gives
+    repeat a doc_id count one by one; of rows that repeat both doc_id and text, one is kept.
+    A null doc_id sorts before other ids. An empty table gives
     an empty result. Other columns are ignored.
     """
     text = F.col("text")
@@ -39,4 +39,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     rows = keyed.select("doc_id", "n", "h", F.sha2("norm", 256).alias("text_sha256"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))
-    return rows.join(groups, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    out = rows.join(groups, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    # equal rows are as one another, so one of them is the one that stays
+    copies = out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copies.withColumn("kept", F.col("kept") & (F.col("copy") == 1)).select(*out.columns)

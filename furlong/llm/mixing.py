@@ -31,13 +31,13 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     posteriors are the labels' shares, or equal ones without labels.
     """
     # marks around words are features of their own, so that "idiot###" still is "idiot"
-    words = lambda text: F.concat(_tokens(F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", " ")), F.transform(F.array_distinct(_tokens(F.regexp_replace(text, r"[\p{L}\p{N}]+", " "))), lambda x: F.concat(F.lit("mark:"), F.substring(x, 1, 8))))
+    words = lambda text: F.concat(_tokens(F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", " ")), F.transform(F.array_distinct(_tokens(F.regexp_replace(text, r"[\p{L}\p{N}]+", " "))), lambda x: F.concat(F.lit("mark:"), x)))
     texts = id_and_text(docs, id_col, text_col)
     domain = (F.col("quality") * 2 + F.col("toxic")).cast("double")
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("label")).where("doc_id is not null and label in (0, 1, 2, 3)").dropDuplicates(["doc_id"])
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("label")).where("doc_id is not null and label in (0, 1, 2, 3)").groupBy("doc_id").agg(F.min("label").alias("label"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="words", outputCol="features")
-    known = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("label", words(F.col("text")).alias("words"))
+    known = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", words(F.col("text")).alias("words"))
     fit = written(hashing.transform(known).select("label", "features"), "fit")
     counts = {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}
     if len(counts) < 2:
@@ -55,10 +55,13 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> np.ndarray:
     """Multipliers w such that rates max(0, 1 - p.w) meet the targets' expected tokens.
 
     It minimises the squared distance of domain totals to their targets, over nonnegative
-    rates, with a small ridge on 1 - rate. A step moves against the gradient, scaled by the
-    Gram matrix of the documents whose rate isn't at its bound, then projects on rates of 0
-    or more; one aggregation of D + D*D numbers over all documents makes a step, and nothing
-    per document leaves the executors. The step halves where the distance would grow.
+    rates, with a small ridge on 1 - rate, by projected gradient steps from rates of 1. The
+    gradient of a document's rate is p.gap, the same D numbers for all, so the unprojected
+    rates after any steps are 1 - p.w for the sum w of the steps, and their projection on
+    rates of 0 or more is what meets the targets next; w are the multipliers of the dual. A
+    step is scaled by the Gram matrix of the documents whose rate isn't at its bound, and
+    halves where the distance would grow. One aggregation of D + D*D numbers over all
+    documents makes a step, and nothing per document leaves the executors.
     """
     d = len(targets)
     total = max(float(members.agg(F.sum("n_tokens")).first()[0] or 0), 1.0)
@@ -88,12 +91,12 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> np.ndarray:
     return w
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: str | None = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rates of documents whose expected domain tokens match target weights.
 
     Returns one row per document: doc_id, n_tokens, p (posterior of each of DOMAINS), rate
     and copies (the rate rounded up or down at random, keyed by doc_id, so that its mean is
-    the rate; within 0.05 of a whole number, that number).
+    the rate and expected totals stay on target).
 
     Without `keep` the totals are weights times all tokens. With it, that domain's total is
     what it has now, and another domain's its weight in proportion, or what it has if that is
@@ -101,7 +104,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
     Defined cases: null or empty texts have no tokens and weigh nothing in the totals; labels
     that are null, outside 0 and 1, or without a document are not used, and of repeated ones
-    any one is; repeated rows are separate documents; an empty table gives an empty result.
+    the smallest is, beside the smallest text of that id; repeated rows are separate documents; an empty table gives an empty result.
     Other columns are ignored. No row is shuffled by domain or source, so none can be hot.
     """
     members = written(posteriors(docs, labels, id_col, text_col), "members")
@@ -116,5 +119,5 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     w = fit_rates(members, goal)
     rate = F.greatest(F.lit(0.0), 1.0 - sum((F.col("p")[i] * float(w[i]) for i in range(len(DOMAINS))), F.lit(0.0)))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.when(F.abs(F.col("rate") - F.round("rate")) <= 0.05, F.round("rate")).otherwise(F.floor(F.col("rate") + chance)).cast("int")
+    copies = F.floor(F.col("rate") + chance).cast("int")
     return members.withColumn("rate", rate).withColumn("copies", copies)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, let
 
-KEY = "furlong"
+#: The Spark setting that holds the key where none is given.
+KEY_SETTING = "spark.furlong.pii.key"
 ROUNDS = 8
 #: What may be personal, most specific first; each is validated by its kind below.
 _EDGE, _END = r"(?<![0-9A-Za-z_.@+-])", r"(?![0-9A-Za-z_@])"
@@ -70,14 +71,22 @@ def _tens(values: Column) -> Column:
     return F.transform(values, lambda _: F.lit(10))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match, in the match's own format; equal values have equal ones."""
     digits = _digits(m)
     tens = lambda d, kind: feistel(d, _tens(d), key, kind)
     checked = lambda d: F.concat(d, F.array((10 - luhn_sum(F.concat(d, F.array(F.lit(0)))) % 10) % 10))
     payload = F.slice(digits, 1, F.greatest(F.size(digits) - 1, F.lit(0)))
     card = _refill(m, "0-9", _strings(let(let(payload, lambda d: tens(d, "card")), checked)))
-    plain = lambda kind: _refill(m, "0-9", _strings(let(digits, lambda d: tens(d, kind))))
+    # a number that fails the check keeps failing it: how far its last digit is off (1 to 9) is permuted with the others
+    off = lambda d: (F.element_at(digits, -1) - F.element_at(checked(d), -1) + 10) % 10
+    odd = lambda d: feistel(F.concat(d, F.array(off(d) - 1)), F.concat(_tens(d), F.array(F.lit(9))), key, "number")
+    wrong = lambda x: let(F.slice(x, 1, F.size(x) - 1), lambda d: F.concat(d, F.array((F.element_at(checked(d), -1) + F.element_at(x, -1) + 1) % 10)))
+    number = _refill(m, "0-9", _strings(let(let(payload, odd), wrong)))
+    # area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999
+    area, group, serial = (F.split(m, "-")[i].cast("int") for i in range(3))
+    ssn = F.array(area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1)
+    ssn = let(feistel(ssn, F.array(F.lit(898), F.lit(99), F.lit(9999)), key, "ssn"), lambda x: F.format_string("%03d-%02d-%04d", x[0] + F.when(x[0] >= 665, 2).otherwise(1), x[1] + 1, x[2] + 1))
     country = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])|^\+1|^\+[0-9]{2}", 0)
     local = F.substring(m, F.length(country) + 1, F.length(m))
     phone = F.concat(country, _refill(local, "0-9", _strings(let(_digits(local), lambda d: tens(d, "phone")))))
@@ -100,19 +109,22 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     secret = F.when(m.rlike("[A-F]"), F.upper(secret)).otherwise(secret)
     kind = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
     return (
-        F.when(kind("email"), email).when(kind("secret"), secret).when(kind("access"), access).when(kind("date"), F.coalesce(date, m)).when(kind("ip"), ip).when(kind("ssn"), plain("ssn"))
-        .when(kind("phone"), phone).when(luhn_sum(digits) % 10 == 0, card).otherwise(plain("number"))
+        F.when(kind("email"), email).when(kind("secret"), secret).when(kind("access"), access).when(kind("date"), F.coalesce(date, m)).when(kind("ip"), ip).when(kind("ssn"), ssn)
+        .when(kind("phone"), phone).when(luhn_sum(digits) % 10 == 0, card).otherwise(number)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replace personal values by keyed pseudonyms of the same format.
 
     Returns one row per document: doc_id, n_found, text. Covered are e-mail addresses (the
     name is permuted, letters and digits each in place), long hexadecimal secrets, access keys, ISO dates
     (permuted within 400 years, if they exist), IPv4 addresses, social security numbers,
     international phone numbers (the country code stays) and numbers of 13 to 19 digits:
-    those that pass Luhn's check pass it again, others are permuted plainly. The permutation
+    those that pass Luhn's check pass it again, those that fail it fail it again, so a pseudonym
+    of one kind never equals one of the other. Social security numbers stay in their valid
+    ranges. The key is the argument or the setting KEY_SETTING; there is no default, since
+    whoever has the key can reverse the permutation. The permutation
     depends on the value's digits or letters, not on its punctuation or case, so a value has
     one pseudonym in all documents.
 
@@ -120,6 +132,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     null ids and repeated rows pass through; an empty table gives an empty result; other
     columns are ignored. A long text costs in proportion to its length.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"give a key or set {KEY_SETTING}")
     texts = id_and_text(docs, id_col, text_col)
     parts = texts.select("doc_id", "text", F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)).alias("hits"))
     new = F.concat(F.array(F.lit("")), F.transform("hits", lambda m: pseudonym(m, key)))

@@ -314,11 +314,11 @@ def _fit_models(heads: list[Head], part: Part, ys: list[np.ndarray], held: np.nd
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Head]:
     """Co-train both heads on a bounded sample of labelled rows and on all unlabelled documents."""
     spark, texts = docs.sparkSession, _input(docs)
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where("doc_id is not null").dropDuplicates(["doc_id"])
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("quality", "toxic").alias("label")).where("doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label")).select("doc_id", "label.*")
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int"))
     features = "shapes array<double>, words array<int>, metas array<int>"
     # the sample has a fixed bound, so it may be broadcast; only its features reach the driver
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_extract, f"doc_id long, quality int, toxic int, {features}").toArrow().sort_by("doc_id").combine_chunks()
+    got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "quality", "toxic", "row.*").mapInArrow(_extract, f"doc_id long, quality int, toxic int, {features}").toArrow().sort_by("doc_id").combine_chunks()
     ids, (quality, toxic) = got.column("doc_id").to_pylist(), (np.array([-1 if x not in (0, 1) else x for x in got.column(c).to_pylist()], int) for c in ("quality", "toxic"))
     held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in ids], bool)
     batches = got.to_batches()
@@ -374,7 +374,8 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, thres
     in the scan; rejected are those of p_bad or p_toxic at the threshold or above.
 
     Defined cases: null text is empty, null or missing metadata a value of its own; labels
-    that are null or outside 0 and 1 count as unlabelled, repeated ones as one; a label with
+    that are null or outside 0 and 1 count as unlabelled; of repeated labels or documents of
+    one id the smallest is fitted on, so the sample stays bounded; a label with
     fewer than LEAST_LABELS documents of either kind in either part rejects nothing; repeated
     rows are scored alike; an empty table gives an empty result. Other columns are ignored.
     """

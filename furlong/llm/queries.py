@@ -49,7 +49,8 @@ def op8_substring_dedup(spark, sf_dir):
 
 
 def op2_pii_pseudonyms(spark, sf_dir):
-    return pii.pseudonymise(read(spark, sf_dir, "documents"))
+    """With a key for tests; a real one belongs in the setting that the operator reads."""
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), spark.conf.get(pii.KEY_SETTING, "a key for tests"))
 
 
 def op3_line_dedup(spark, sf_dir):
@@ -61,6 +62,7 @@ def op9_quality_classifier(spark, sf_dir):
 
 
 def op10_mixing(spark, sf_dir):
+    """All domains at their target weights; nothing is kept whole."""
     return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
