@@ -45,13 +45,12 @@ def e05_horse_metrics(spark, d):
     return metrics(spark, d).select("breed", "horse_id", "starts", "wins", "seconds", "thirds", *r4("avg_finish", "form_3", "form_5", "form_10", "slope", "speed_index", "consistency"), F.round(F.col("difficulty") + 1e-8, 6).alias("difficulty"), "fatigue", *r4("rating"), "last_date")
 
 
-@c.query("with " + FIELD + """, p as (select *, row_number() over (partition by breed order by round(rating, 6) desc, wins desc, horse_id) as position from metrics)
-select breed, horse_id, cast(position as bigint) as position from p where position <= 50
+@c.query("with " + FIELD + """, p as (select *, row_number() over (partition by breed order by round(rating, 6) desc, wins desc, wins / starts desc, starts desc, round(earnings, 2) desc, last_date desc, horse_id) as position from metrics)
+select breed, horse_id, cast(position as int) as position from p
 """)
 def f06_scope_ranks(spark, d):
-    mm = metrics(spark, d).withColumn("rating", F.round("rating", 6))
-    w = Window.partitionBy("breed").orderBy(F.desc("rating"), F.desc("wins"), "horse_id")
-    return mm.withColumn("position", F.row_number().over(w).cast("long")).where("position <= 50").select("breed", "horse_id", "position")
+    mm = metrics(spark, d).withColumns({"rating": F.round("rating", 6), "earnings": F.round("earnings", 2)})
+    return b.scope_ranks(mm, ["breed"]).select("breed", "horse_id", "position")
 
 
 @c.query("with " + FIELD + """,

@@ -13,7 +13,23 @@ def board(metrics: DataFrame, keys: list[str], least_starts: int, order: list[Co
 def scope_ranks(metrics: DataFrame, keys: list[str]) -> DataFrame:
     """Position by rating, then wins, win rate, starts, earnings, last date and id."""
     order = [F.desc_nulls_last("rating"), F.desc("wins"), F.desc(F.col("wins") / F.col("starts")), F.desc("starts"), F.desc("earnings"), F.desc("last_date"), F.asc("horse_id")]
-    return metrics.withColumn("position", F.row_number().over(Window.partitionBy(keys).orderBy(*order)))
+    return ranked(metrics, keys, -F.col("rating"), order, "position")
+
+
+def ranked(rows: DataFrame, keys: list[str], first: Column, order: list[Column], name: str, buckets: int = 256) -> DataFrame:
+    """Ranks within keys of any size: a scope is cut into ranges of `first`, a number that rises along the order, and they are ranked alone.
+
+    The cuts are approximate quantiles of each scope, a fixed number of them; equal values share
+    a range, so each range holds all rows between its neighbours. The rows before a range come
+    from counts of (scope, range), which are few.
+    """
+    rows = rows.withColumn("_first", F.coalesce(first, F.lit(float("inf"))))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_first", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    r = rows.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda v: v < F.col("_first")))).drop("_cuts")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = r.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return r.withColumn("_own", own).join(sizes, [*keys, "_range"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_own", "_before", "_range", "_first")
 
 
 def season_gate(metrics: DataFrame, least: int) -> DataFrame:
