@@ -1,9 +1,9 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame, and the SQL that gives the same rows."""
 
-from . import audit, ingest, scalars, scoring, starts
+from . import audit, ingest, prerace, scalars, scoring, starts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (scalars, starts, ingest, scoring, audit):
+for module in (scalars, starts, ingest, scoring, prerace, audit):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

@@ -144,7 +144,7 @@ def field(spark, d):
     mm = m.horse_metrics(m.with_field(t.starts(spark, d))).where("breed = '*'")
     mm = mm.select("horse_id", "starts", F.col("rating").alias("pr"), (F.col("wins") / F.col("starts")).alias("win_rate"), ((F.col("wins") + F.col("seconds") + F.col("thirds")) / F.col("starts")).alias("place_rate"), "form_5", "speed_index", "consistency", "avg_finish", "fatigue", "slope")
     s = t.starts(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("race_id", "horse_id").orderBy("result_id"))).where("rn = 1")
-    s = s.select("race_id", "horse_id", "result_id", "distance", "rating", "finish", "race_date", "course", (1 + F.col("quantity") / 20).alias("odds"))
+    s = s.select("race_id", "horse_id", "result_id", "distance", "rating", "finish", "race_date", "course", "weight", "trainer_id", "jockey_id", (1 + F.col("quantity") / 20).alias("odds"))
     return s.join(mm, "horse_id")
 
 
@@ -161,7 +161,6 @@ def j01_j04_field_markets(spark, d):
 
 @c.query("with " + MARKET + """, w as (select *, row_number() over (partition by race_id order by round(win_prob, 9) desc, horse_id) rn from mkt) select race_id, max(horse_id) filter (rn = 1) winner, string_agg(cast(horse_id as varchar), ',' order by rn) top3, round(max(win_prob), 6) win_prob from w where rn <= 3 group by 1""")
 def j03_win_market(spark, d):
-    """With J12: all races in one plan."""
     return mk.win_market(markets(spark, d)).select("race_id", "winner", "top3", F.round("win_prob", 6).alias("win_prob"))
 
 
@@ -171,77 +170,6 @@ def j05_without_favourite(spark, d):
     return mk.without_favourite(markets(spark, d)).select("race_id", "horse_id", "favourite", F.round("prob", 6).alias("prob"), "rank")
 
 
-@c.query("with " + MARKET + """select race_id, arg_max(horse_id, (round(win_strength - perception, 6), -horse_id)) underrated, arg_max(horse_id, (-round(win_strength - perception, 6), -horse_id)) overrated from mkt group by 1""")
-def j06_j08_extremes(spark, d):
-    """Value, risk and surprise markets; with K3's candidates."""
-    return mk.extremes(markets(spark, d)).select("race_id", "underrated", "overrated")
-
-
-@c.query("with " + MARKET + """, pr2 as (select a.race_id, a.horse_id a, b.horse_id b, a.win_strength sa, b.win_strength sb from mkt a join mkt b on a.race_id = b.race_id and a.horse_id < b.horse_id),
-s as (select race_id, horse_id, finish from starts), mt as (select x.horse_id a, y.horse_id b, count(*) meetings, count(*) filter (x.finish < y.finish) aa from s x join s y on x.race_id = y.race_id and x.horse_id < y.horse_id group by 1, 2)
-select race_id, a, b, meetings, round(greatest(0.02, least(0.98, (1 - least(0.55, 0.15 + 0.08 * meetings)) / (1 + exp((sb - sa) / 8)) + least(0.55, 0.15 + 0.08 * meetings) * aa / meetings)), 5) a_prob from pr2 join mt using (a, b)""")
-def d06_d07_j09_pairwise(spark, d):
-    """Pairs of each field, their meetings, and the blended probability."""
-    pw = mk.pairwise(mk.field_pairs(markets(spark, d)), mk.meetings(t.starts(spark, d)))
-    return pw.select("race_id", "a", "b", "meetings", F.round("a_prob", 5).alias("a_prob"))
-
-
-@c.query()
-def j10_h2h_market(spark, d):
-    pw = mk.pairwise(mk.field_pairs(markets(spark, d)), mk.meetings(t.starts(spark, d)))
-    return mk.h2h_market(pw).select("race_id", "a", "b", "rank", F.round("a_prob", 5).alias("a_prob"))
-
-
-@c.query()
-def j11_matchup(spark, d):
-    f = markets(spark, d).select("race_id", "horse_id", "form_5", "consistency", "speed_index", "pr")
-    side = lambda k: f.select("race_id", *(F.col(n).alias(f"{n}_{k}") for n in f.columns[1:]))
-    pairs = side("a").join(side("b"), "race_id").where("horse_id_a < horse_id_b")
-    out = mk.matchup(pairs, {n: (F.col(f"{n}_a"), F.col(f"{n}_b")) for n in ("form_5", "consistency", "speed_index", "pr")})
-    return out.select("race_id", "horse_id_a", "horse_id_b", F.round("edge_prob", 5).alias("edge_prob"), "favouring")
-
-
-@c.query("with " + MARKET + """, g as (select race_id, avg(strength) fs, stddev_pop(strength) sp, count(*) n, avg(speed_index) si, avg(form_5) fo, max(distance) di from mkt group by 1), h as (select *, least(100, greatest(0, 0.55 * fs + 0.25 * (100 - sp * 2.5) + 0.20 * least(100, n * 8))) comp from g)
-select race_id, round(fs, 4) field_strength, round(comp, 4) competition, round(least(100, 0.40 * fs + 0.30 * comp + 0.15 * 75 + 0.15 * 50), 4) race_strength, case when di >= 2000 then case when si >= 102 or fo >= 65 then 'honest_staying' else 'staying_grind' end when si >= 102 or fo >= 65 then 'fast_early' when si <= 97 and fo <= 40 then 'moderate_slow' else 'even' end pace from h""")
-def k01_race_context(spark, d):
-    return mk.race_context(markets(spark, d)).select("race_id", *(F.round(k, 4).alias(k) for k in ("field_strength", "competition", "race_strength")), "pace")
-
-
-def chances(spark, d):
-    s = t.starts(spark, d).select("horse_id", "race_date").distinct()
-    rest = s.withColumn("rest_days", F.datediff("race_date", F.lag("race_date").over(Window.partitionBy("horse_id").orderBy("race_date"))))
-    return mk.chance_scores(markets(spark, d).join(rest, ["horse_id", "race_date"]))
-
-
-@c.query("with " + MARKET + """, q as (select distinct horse_id, race_date from starts), r as (select *, race_date - lag(race_date) over (partition by horse_id order by race_date) rd from q), j as (select mkt.*, rd from mkt join races using (race_id) join r on r.horse_id = mkt.horse_id and r.race_date = races.race_date),
-k as (select *, case when rd is null then null when rd between 10 and 21 then 90 when rd between 7 and 35 then 70 when rd between 3 and 60 then 45 when rd < 3 then 25 else 35 end rc from j)
-select race_id, horse_id, round((0.22 * win_strength + 0.16 * form_5 + 0.12 * pr + coalesce(0.08 * rc, 0) + 0.06 * (100 - fatigue) + 0.06 * consistency) / (0.62 + case when rc is null then 0 else 0.08 end), 4) chance from k""")
-def k02_chance_scores(spark, d):
-    return chances(spark, d).select("race_id", "horse_id", F.round("chance", 4).alias("chance"))
-
-
-@c.query()
-def k05_evaluate_picks(spark, d):
-    ch = chances(spark, d)
-    return mk.evaluate_picks(ch, ch.select("race_id", "horse_id", "finish")).withColumn("spearman", F.round("spearman", 6))
-
-
-@c.query()
-def k04_validate(spark, d):
-    from ..operators.quality import row_checks
-
-    rules = {"small_sample": ("warning", F.col("starts") < 3), "low_chance": ("warning", F.col("chance_prob") < 0.02), "no_rating": ("error", F.col("rating").isNull())}
-    return row_checks(chances(spark, d), "runner", "result_id", rules)
-
-
-@c.query()
-def k06_score_scenarios(spark, d):
-    """Hypothetical fields: the runners of a race with overrides of form, scored like real ones."""
-    f = field(spark, d)
-    overrides = f.select("race_id", "horse_id", F.when(F.col("horse_id") % 3 == 0, 95.0).alias("form_new"))
-    return mk.field_markets(f.join(overrides, ["race_id", "horse_id"]).withColumn("form_5", F.coalesce("form_new", "form_5"))).select("race_id", "horse_id", F.round("win_prob", 6).alias("win_prob"))
-
-
 @c.query("""
 with l as (select o_orderkey ticket_id, (l_linenumber - 1) % 5 + 1 leg, l_partkey horse from orders join lineitem on o_orderkey = l_orderkey), g as (select ticket_id, leg, count(*) n, count(distinct horse) k from l group by 1, 2)
 select ticket_id, cast(round(product(n)) as bigint) combinations, round(product(n)) * 2.5 as cost from g group by 1 having count(*) = 5 and bool_and(n = k)
@@ -262,12 +190,6 @@ def k07_enumerate_tickets(spark, d):
     return mk.enumerate_tickets(selections(spark, d))
 
 
-@c.query("with " + MARKET + ", day as (select max(race_date) last from races where course = 'NATION_1') select race_id, horse_id, round(win_prob, 6) win_prob from mkt join races using (race_id) where course = 'NATION_1' and race_date = (select last from day)")
-def k08_card_day(spark, d):
-    last = t.races(spark, d).where("course = 'NATION_1'").agg(F.max("race_date").alias("race_date"))
-    return markets(spark, d).where("course = 'NATION_1'").join(F.broadcast(last), "race_date").select("race_id", "horse_id", F.round("win_prob", 6).alias("win_prob"))
-
-
 CROWD = """
 cr as (select *, 1 + coalesce(rating, 0) / 20 odds, case when result_id % 3 <> 0 then quantity end votes from starts),
 ci as (select *, 1 / odds inv from cr), cs as (select *, coalesce(votes / sum(votes) over r, inv / sum(inv) over r) share from ci window r as (partition by race_id)), ck as (select *, row_number() over (partition by race_id order by round(share, 9) desc, cloth) crowd_rank from cs)

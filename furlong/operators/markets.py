@@ -40,7 +40,12 @@ def field_markets(field: DataFrame) -> DataFrame:
     f = field.withColumns({"win_strength": win_strength(), "place_strength": place_strength(), "strength": strength()})
     f = f.withColumn("win_prob", softmax(c("win_strength"), 10.0)).withColumn("place_prob", softmax(c("place_strength"), 11.0))
     share = F.when(c("odds") > 0, 1 / c("odds"))
-    perception = x.clamp(100 * share / F.sum(share).over(race()) * F.count(share).over(race()))
+    # without odds, the percentile of the rating among the rated of the race, 50 if alone
+    rated = F.when(c("rating") > 0, c("rating"))
+    place = F.rank().over(race().orderBy(F.asc_nulls_last(rated))) - 1
+    k = F.count(rated).over(race())
+    percentile = F.when(rated.isNotNull(), F.when(k > 1, 100.0 * place / (k - 1)).otherwise(50.0))
+    perception = F.coalesce(x.clamp(100 * share / F.sum(share).over(race()) * F.count(share).over(race())), percentile)
     reliability = F.when(c("consistency").isNull(), F.when(c("starts") > 0, 30.0).otherwise(0.0)).otherwise(x.clamp(0.7 * c("consistency") + 0.3 * x.clamp(c("starts") * 8.0)))
     f = f.withColumns({"top2": top_k_prob(c("place_prob"), 2), "top3": top_k_prob(c("place_prob"), 3), "top5": top_k_prob(c("place_prob"), 5), "perception": perception, "reliability": reliability})
     return f.withColumns({"value": c("win_strength") - c("perception"), "risk": x.clamp(0.6 * (100 - F.coalesce("consistency", F.lit(50.0))) + 0.4 * (100 - c("reliability")))})
@@ -61,42 +66,48 @@ def without_favourite(markets: DataFrame) -> DataFrame:
     return rest.withColumn("prob", softmax(c("win_strength"), 10.0)).withColumn("rank", F.row_number().over(race().orderBy(F.desc(F.round("prob", 9)), "horse_id")))
 
 
-def extremes(markets: DataFrame) -> DataFrame:
-    """Per race: safest and riskiest, best value, over- and underrated, dark horse, most improved."""
-    best = lambda v: F.max_by("horse_id", F.struct(F.round(v, 6), -c("horse_id")))
-    dark = F.when(c("perception") < 60, c("win_strength"))
-    return markets.groupBy("race_id").agg(best(-c("risk")).alias("safest"), best(c("risk")).alias("riskiest"), best(c("value")).alias("underrated"), best(-c("value")).alias("overrated"), F.max_by("horse_id", F.when(dark.isNotNull(), F.struct(F.round(dark, 6), -c("horse_id")))).alias("dark"), F.max_by("horse_id", F.struct(F.round(F.coalesce("slope", F.lit(-1e9)), 6), -c("horse_id"))).alias("improved"))
+def risk_market(markets: DataFrame) -> DataFrame:
+    """Per race: the safest and the riskiest runner, with their risk; ties go to the smaller id."""
+    best = lambda v: F.max_by(F.struct("horse_id", "risk"), F.struct(F.round(v, 6), -c("horse_id")))
+    g = markets.groupBy("race_id").agg(best(-c("risk")).alias("s"), best(c("risk")).alias("r"))
+    return g.select("race_id", c("s.horse_id").alias("safest"), c("s.risk").alias("least_risk"), c("r.horse_id").alias("riskiest"), c("r.risk").alias("most_risk"))
 
 
 def field_pairs(field: DataFrame) -> DataFrame:
-    """Each pair of a race once; bounded by the square of a field."""
-    a, b = field.select("race_id", c("horse_id").alias("a"), c("win_strength").alias("sa")), field.select("race_id", c("horse_id").alias("b"), c("win_strength").alias("sb"))
+    """Each pair of a race once, with the race's date, distance and course; bounded by the square of a field."""
+    a, b = field.select("race_id", "race_date", "distance", "course", c("horse_id").alias("a"), c("win_strength").alias("sa")), field.select("race_id", c("horse_id").alias("b"), c("win_strength").alias("sb"))
     return a.join(b, "race_id").where("a < b")
 
 
-def meetings(starts: DataFrame) -> DataFrame:
-    """Earlier races in which two horses met: counts and finishes, per unordered pair."""
+def meetings(pairs: DataFrame, starts: DataFrame, near: int = 100) -> DataFrame:
+    """Races before each pair's own in which both finished: counts and finishes, in all, at a like distance, on the course.
+
+    A race at a distance within `near`, or where either is unknown, is like. Meetings of a pair
+    are few, so they join its cards by pair, and only earlier days count.
+    """
     s = starts.where("finish >= 1").select("race_id", "horse_id", "finish")
-    j = s.select("race_id", c("horse_id").alias("a"), c("finish").alias("fa")).join(s.select("race_id", c("horse_id").alias("b"), c("finish").alias("fb")), "race_id").where("a < b")
-    return j.groupBy("a", "b").agg(F.count("*").alias("meetings"), F.count_if(c("fa") < c("fb")).alias("a_ahead"), F.avg(c("fa") - c("fb")).alias("gap"))
+    where = starts.select("race_id", c("race_date").alias("met_on"), c("distance").alias("met_at"), c("course").alias("met_course")).distinct()
+    met = s.select("race_id", c("horse_id").alias("a"), c("finish").alias("fa")).join(s.select("race_id", c("horse_id").alias("b"), c("finish").alias("fb")), "race_id").where("a < b").join(where, "race_id").drop("race_id")
+    j = pairs.select("race_id", "a", "b", "race_date", "distance", "course").join(met, ["a", "b"]).where("met_on < race_date")
+    ahead, like, here = c("fa") < c("fb"), F.coalesce(F.abs(c("met_at") - c("distance")) <= near, F.lit(True)), c("met_course") == c("course")
+    return j.groupBy("race_id", "a", "b").agg(
+        F.count("*").alias("meetings"), F.count_if(ahead).alias("a_ahead"), F.avg(c("fa") - c("fb")).alias("gap"),
+        F.count_if(like).alias("like_meetings"), F.count_if(like & ahead).alias("like_ahead"), F.count_if(here).alias("here_meetings"), F.count_if(here & ahead).alias("here_ahead"),
+    )
 
 
 def pairwise(pairs: DataFrame, met: DataFrame) -> DataFrame:
-    """Probability that a finishes ahead: softmax of strengths, drawn to the history of meetings."""
-    j = pairs.join(met, ["a", "b"], "left")
+    """Probability that a finishes ahead: softmax of strengths, drawn to the history of meetings, tilted by those at the distance and on the course."""
+    j = pairs.join(met, ["race_id", "a", "b"], "left")
     model = 1 / (1 + F.exp((c("sb") - c("sa")) / 8.0))
     w = F.when(c("meetings") > 0, F.least(F.lit(0.55), 0.15 + 0.08 * c("meetings"))).otherwise(0.0)
-    p = F.greatest(F.lit(0.02), F.least(F.lit(0.98), (1 - w) * model + w * F.coalesce(c("a_ahead") / c("meetings"), F.lit(0.0))))
+    p = (1 - w) * model + w * F.coalesce(c("a_ahead") / c("meetings"), F.lit(0.0))
+    for k in ("like", "here"):
+        p = F.when(c(f"{k}_meetings") >= 2, 0.92 * p + 0.08 * c(f"{k}_ahead") / c(f"{k}_meetings")).otherwise(p)
+    p = F.greatest(F.lit(0.02), F.least(F.lit(0.98), p))
     n = F.coalesce("meetings", F.lit(0))
-    return j.select("race_id", "a", "b", p.alias("a_prob"), F.coalesce("gap", (c("sb") - c("sa")) / 20).alias("expected_gap"), n.alias("meetings")).withColumn("confidence", 35 + 80 * F.abs(c("a_prob") - 0.5) + F.least(F.lit(25.0), c("meetings") * 5.0))
-
-
-def matchup(pairs: DataFrame, factors: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Edges of factors (present on both sides), their mean as a probability, and which favour a."""
-    edges = [F.when(a.isNotNull() & b.isNotNull(), F.struct(F.lit(k).alias("k"), (a - b).alias("e"))) for k, (a, b) in factors.items()]
-    e = pairs.withColumn("edges", F.array_compact(F.array(*edges)))
-    mean = F.aggregate("edges", F.lit(0.0), lambda t, v: t + v["e"]) / F.size("edges")
-    return e.withColumn("edge_prob", 1 / (1 + F.exp(-mean / 12.0))).withColumn("favouring", F.array_join(F.transform(F.filter("edges", lambda v: v["e"] > 0), lambda v: v["k"]), ","))
+    out = j.select("race_id", "a", "b", p.alias("a_prob"), F.coalesce("gap", (c("sb") - c("sa")) / 20).alias("expected_gap"), n.alias("meetings"))
+    return out.withColumn("confidence", 35 + 80 * F.abs(c("a_prob") - 0.5) + F.least(F.lit(25.0), c("meetings") * 5.0))
 
 
 def h2h_market(pairs: DataFrame) -> DataFrame:
@@ -105,27 +116,6 @@ def h2h_market(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", rn).where("rank <= 5")
 
 
-def race_context(markets: DataFrame) -> DataFrame:
-    """Field strength, competition, race strength, pace and shape."""
-    g = markets.groupBy("race_id").agg(F.avg("strength").alias("field_strength"), F.stddev_pop("strength").alias("spread"), F.count("*").alias("n"), F.avg("speed_index").alias("speed"), F.avg("form_5").alias("form"), F.max("distance").alias("distance"))
-    g = g.withColumn("competition", x.clamp(0.55 * c("field_strength") + 0.25 * (100 - c("spread") * 2.5) + 0.20 * F.least(F.lit(100.0), c("n") * 8.0)))
-    hot, slow = (c("speed") >= 102) | (c("form") >= 65), (c("speed") <= 97) & (c("form") <= 40)
-    pace = F.when(c("distance") >= 2000, F.when(hot, "honest_staying").otherwise("staying_grind")).when(hot, "fast_early").when(slow, "moderate_slow").otherwise("even")
-    shape = F.when(c("n") < 2, "sparse").when((c("competition") >= 70) & (c("spread") < 12), "tight_pack").when(c("spread") >= 20, "top_heavy").when(c("competition") >= 55, "competitive").otherwise("open")
-    return g.withColumns({"race_strength": x.clamp(0.40 * c("field_strength") + 0.30 * c("competition") + 0.15 * 75.0 + 0.15 * 50.0), "pace": pace, "shape": shape})
-
-
-def rest_condition(days: Column) -> Column:
-    return F.when(days.isNull(), None).when(days.between(10, 21), 90.0).when(days.between(7, 35), 70.0).when(days.between(3, 60), 45.0).when(days < 3, 25.0).otherwise(35.0)
-
-
-def chance_scores(markets: DataFrame) -> DataFrame:
-    """Today's chance: strength, form, rating, rest, fatigue and consistency, as probabilities within the race."""
-    s = x.weighted_present([(0.22, c("win_strength")), (0.16, c("form_5")), (0.12, c("pr")), (0.08, rest_condition(c("rest_days"))), (0.06, x.clamp(100 - c("fatigue"))), (0.06, c("consistency"))], 35.0)
-    f = markets.withColumn("chance", s).withColumn("chance_prob", softmax(c("chance"), 9.0))
-    return f.withColumn("expected_rank", F.row_number().over(race().orderBy(F.desc(F.round("chance", 9)), "horse_id")))
-
-
 def evaluate_picks(picks: DataFrame, results: DataFrame) -> DataFrame:
     """Per race: winner hit, exacta, overlap of the first three, rank correlation."""
     j = picks.select("race_id", "horse_id", "expected_rank").join(results.select("race_id", "horse_id", "finish"), ["race_id", "horse_id"])
