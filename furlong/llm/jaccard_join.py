@@ -10,8 +10,8 @@ from .common import forget, id_and_text, partitions, written
 from .shingles import chunks, mix, shingle_sets
 
 SHINGLE_WORDS, PERCENT = 5, 75
-#: A set's bitmaps, a coarse and a sharp one: least bits, and bits for each token (in all a power of two).
-COARSE, SHARP = (256, 2), (1024, 16)
+#: A set's bitmap: least bits, and bits for each token (in all a power of two).
+BITS, TOKEN_BITS = 512, 4
 #: A shingle in more than this share of the documents is heavy; there are at most (mean set size / share) of them.
 HEAVY_SHARE = 0.001
 #: Sets of a bucket or cluster that one task joins with each other, and their tokens; more are dealt over pairs of blocks.
@@ -118,8 +118,8 @@ def set_id(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(np.array([np.add.reduce(mix(s ^ np.uint64(c)), dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) for c in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D))
 
 
-def bitmap(s: np.ndarray, least: int, each: int) -> bytes:
-    size = max(least, 1 << (each * len(s) - 1).bit_length())
+def bitmap(s: np.ndarray) -> bytes:
+    size = max(BITS, 1 << (TOKEN_BITS * len(s) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[s & np.uint64(size - 1)] = 1
     return np.packbits(bits).tobytes()
@@ -133,9 +133,9 @@ def folded(bits: bytes, size: int) -> np.ndarray:
 def _signatures(k: int):
     def run(batches):
         for batch in batches:
-            rows = [(i, len(s), *(set_id(s) if len(s) else (None, None)), *((bitmap(s, *COARSE), bitmap(s, *SHARP)) if len(s) else (None, None))) for i, s in _sets(batch, k)]
-            c = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), *(pa.array(x, pa.binary()) for x in c[4:])], names=["doc_id", "n", "sid", "check", "coarse", "sharp"])
+            rows = [(i, len(s), *(set_id(s) if len(s) else (None, None)), bitmap(s) if len(s) else None) for i, s in _sets(batch, k)]
+            c = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.binary())], names=["doc_id", "n", "sid", "check", "bits"])
 
     return run
 
@@ -290,52 +290,37 @@ def _mixed(batches):
 
 
 def _each_pair(t: pa.Table, label: np.ndarray, percent: int, take) -> None:
-    """take(i, j) for rows (bucket, n, sid, component, bits) of one bucket that could link; labels that it changes count from then on."""
+    """take(i, j) for rows (bucket, n, sid, component, bits) of one bucket that could link; labels that it changes count from then on.
+
+    Sets that can link have bitmaps of one size or of neighbouring ones, so each size is
+    compared with itself and, folded, with the next, and a small set costs long ones nothing.
+    """
     b, n = t.column(0).to_numpy(), t.column(1).to_numpy()
-    starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
     whole = t.column(4).to_pylist()
-    width = np.repeat(np.minimum.reduceat(np.array([8 * len(x) for x in whole]), starts), np.diff(np.append(starts, len(b))))
-    for k in np.unique(width):  # buckets of one bitmap size
-        own = np.flatnonzero(width == k)
-        bits, bucket = np.stack([folded(whole[i], k) for i in own]), b[own]
+    width = np.array([8 * len(x) for x in whole])
+    for k in np.unique(width):
+        own = np.flatnonzero((width == k) | (width == 2 * k))
+        own = own[np.isin(b[own], b[width == k])]
+        bits, bucket, here = np.stack([folded(whole[i], k) for i in own]), b[own], width[own] == k
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         size = np.diff(np.append(cut, len(own)))
         small = np.flatnonzero(np.repeat(size <= LEAF, size))
         leaf = SignatureTree(n[own], bits, levels=1)
         for d in range(1, LEAF):
             i = small[small + d < len(own)]
-            i = i[(bucket[i] == bucket[i + d]) & (label[own[i]] != label[own[i + d]])]
+            i = i[(bucket[i] == bucket[i + d]) & (here[i] | here[i + d]) & (label[own[i]] != label[own[i + d]])]
             i = i[leaf.possible(0, i, i + d, percent)]
             take(own[i], own[i + d])
         for s, e in zip(cut[size > LEAF], (cut + size)[size > LEAF]):
             now = label[own[s:e]]
             for i, j in SignatureTree(n[own[s:e]], bits[s:e], now.copy()).pairs(now, percent):
-                take(own[s + i], own[s + j])
+                ok = here[s + i] | here[s + j]
+                take(own[s + i[ok]], own[s + j[ok]])
                 now[:] = label[own[s:e]]
 
 
-def _plausible(percent: int):
-    """Sorted (bucket, n, sid, component, coarse) -> the rows whose bucket holds a set of another component that could link."""
-
-    def run(batches):
-        for t in _whole_runs(batches):
-            _, label = np.unique(t.column(3).to_numpy(), return_inverse=True)
-            if not len(label):
-                continue
-            found = len(label)  # rows found have this label, and no more need of each other
-
-            def take(i, j):
-                label[i] = label[j] = found
-
-            _each_pair(t, label, percent, take)
-            rows = pa.array(label == found)
-            yield from t.select(["bucket", "sid", "component"]).filter(rows).to_batches()
-
-    return run
-
-
 def _candidates(percent: int):
-    """Sorted (bucket, n, sid, component, sharp) -> (a, b): components that the buckets' trees can't keep apart, one pair for each that was united."""
+    """Sorted (bucket, n, sid, component, bits) -> (a, b): components that the buckets' trees can't keep apart, one pair for each that was united."""
 
     def run(batches):
         for t in _whole_runs(batches):
@@ -459,7 +444,8 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
        buckets arise, never whether a pair meets. Buckets of one set fall away.
     3. Candidate clusters: in each bucket a star, then signature trees (OR-combined bitmaps and
        size ranges, traversed against themselves) unite whatever the bitmaps can't keep apart.
-       Coarse bitmaps go first and leave the rows that have a partner; sharp ones follow.
+       Bitmaps are compared with those of their own size or the next, as sizes of linked sets
+       are.
        A bucket yields one pair for each cluster that it unites, however many could link, and
        buckets within one cluster yield none. Two sets that link are in one cluster.
     4. Each cluster is joined exactly, every set of it once, by a signature tree over the
@@ -477,7 +463,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
-    rows = written(texts.mapInArrow(_signatures(k), "doc_id long, n long, sid long, check long, coarse binary, sharp binary"), "signatures")
+    rows = written(texts.mapInArrow(_signatures(k), "doc_id long, n long, sid long, check long, bits binary"), "signatures")
     sets = rows.where("sid is not null and doc_id is not null").groupBy("sid", "check").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     floor = max(64, int(HEAVY_SHARE * rows.count()))
     often = texts.mapInArrow(_often(k, HEAVY_SHARE), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= floor).toArrow()
@@ -487,22 +473,16 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
     entries = texts.where("doc_id is not null").mapInArrow(_entries(k, percent, heavy), "bucket long, n int, sid long")
     by = lambda df, key, *order: df.repartition(partitions(spark), key).sortWithinPartitions(key, *order)
     shared = written(by(entries, "bucket", "n", "sid").mapInArrow(_shared(percent), "bucket long, sid long, leader long"), "buckets")
-    signatures = written(rows.select("sid", "check", "n", "coarse", "sharp").join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid", "check"]), "shared-signatures")
-
-    def possible(pairs, bits):
-        for x in "ab":
-            pairs = pairs.join(signatures.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col(bits).alias(f"bits_{x}")), x)
-        return pairs.select("a", "na", "bits_a", "b", "nb", "bits_b").mapInArrow(_possible(percent), "a long, b long")
-
-    def nodes(rows, bits):
-        return by(rows.join(signatures.select("sid", "n", bits), "sid").select("bucket", "n", "sid", "component", bits), "bucket", "n", "sid")
+    signatures = written(rows.select("sid", "check", "n", "bits").join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid", "check"]), "shared-signatures")
 
+    side = lambda x: signatures.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
     stars = shared.where("sid != leader").select(F.least("leader", "sid").alias("a"), F.greatest("leader", "sid").alias("b")).distinct()
-    starred = connected_components(possible(written(possible(stars, "coarse"), "stars"), "sharp"), src="a", dst="b")
+    near = stars.join(side("a"), "a").join(side("b"), "b").select("a", "na", "bits_a", "b", "nb", "bits_b").mapInArrow(_possible(percent), "a long, b long")
+    starred = connected_components(near, src="a", dst="b")
     known = signatures.select("sid").distinct().join(starred.withColumnRenamed("id", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"))
     mixed = by(shared.select("bucket", "sid").join(known, "sid").select("bucket", "sid", "component"), "bucket").mapInArrow(_mixed, "bucket long, sid long, component long").dropDuplicates(["bucket", "sid"])
-    plausible = written(nodes(mixed, "coarse").mapInArrow(_plausible(percent), "bucket long, sid long, component long"), "plausible")
-    further = connected_components(nodes(plausible, "sharp").mapInArrow(_candidates(percent), "a long, b long"), src="a", dst="b")
+    nodes = by(mixed.join(signatures.select("sid", "n", "bits"), "sid").select("bucket", "n", "sid", "component", "bits"), "bucket", "n", "sid")
+    further = connected_components(nodes.mapInArrow(_candidates(percent), "a long, b long"), src="a", dst="b")
     clusters = known.join(further.select(F.col("id").alias("component"), F.col("component").alias("cluster")), "component", "left").select("sid", F.coalesce("cluster", "component").alias("cluster"))
 
     member = clusters.join(sets, "sid")
