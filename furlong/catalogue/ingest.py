@@ -8,6 +8,7 @@ from ..operators import identity as ids
 from ..operators import ingest as i
 from ..operators import metrics as m
 from ..operators import quality as q
+from ..operators import tracks as tr
 from ..operators.graph import connected_components
 from ..sources import tables as t
 from ..sources.store import written as keep
@@ -245,17 +246,59 @@ def q16_fill_audit(spark, d):
     return q.fill_audit(t.results(spark, d), ["rating", "weight", "finish"]).withColumn("filled", F.round("filled", 6))
 
 
-@c.query("select race_id, course, case when course like '%1%' then course end official, case when course like '%1%' then 'reg' else lower(replace(course, '_', '-')) end code from races")
+def registry(spark, d):
+    """Courses with a 1 in their number are registered under their upper-case name and one more alias; straights follow from the number."""
+    own = t.races(spark, d).select("course").distinct().where(F.col("course").contains("1"))
+    number = F.regexp_extract("course", "[0-9]+", 0).cast("int")
+    both = own.select(F.concat(F.lit("reg-"), number.cast("string")).alias("code"), F.explode(F.array(F.upper(F.replace("course", F.lit("_"), F.lit(" "))), F.concat(F.lit("venue "), number.cast("string")))).alias("alias"), (150 + number * 15).alias("straight_m"))
+    return both.select("code", "alias"), both.where("code != 'reg-1'").select("code", "straight_m").distinct()
+
+
+def coded(spark, d):
+    label = F.when(F.col("race_id") % 7 == 0, F.concat(F.lit("Venue-"), F.regexp_extract("course", "[0-9]+", 0))).otherwise(F.col("course"))
+    return tr.resolve_course(t.races(spark, d).withColumn("course", label), registry(spark, d)[0])
+
+
+COURSES = """
+lb as (select race_id, race_date, course raw, cast(regexp_extract(course, '[0-9]+') as int) num, case when race_id % 7 = 0 then 'Venue-' || regexp_extract(course, '[0-9]+') else course end label from races),
+co as (select *, case when raw like '%1%' then 'reg-' || num else lower(replace(label, '_', '-')) end code, raw like '%1%' known, case when raw like '%1%' and num <> 1 then 150 + num * 15 end straight_m from lb)
+"""
+
+
+@c.query("with " + COURSES + "select race_id, code, known, straight_m straight_length_m, case when straight_m < 200 then 'Short' when straight_m <= 275 then 'Medium' when straight_m is not null then 'Long' end straight_category, straight_m is not null config_applied from co")
 def b15_b16_resolve_course(spark, d):
-    """Tracks through a registry (a broadcast list), else a synthetic code; a registry entry is the confident match."""
-    r = t.races(spark, d)
-    registry = r.select("course").distinct().where(F.col("course").contains("1")).select("course", F.col("course").alias("official"))
-    return r.join(registry, "course", "left").select("race_id", "course", "official", F.when(F.col("official").isNotNull(), "reg").otherwise(x.synthetic_course(F.col("course"))).alias("code"))
+    """Tracks by normalised alias of a registry, else a synthetic code; straight lengths only where configured."""
+    return tr.track_config(coded(spark, d), registry(spark, d)[1]).select("race_id", "code", "known", "straight_length_m", "straight_category", "config_applied")
+
 
+@c.query("with k as (select distinct cast(regexp_extract(course, '[0-9]+') as int) num from races where course like '%1%') select 'reg-' || num code, case when num <> 1 then 150 + num * 15 end current_m, 150 + num * 15 + case when num % 2 = 0 then 5 else 0 end proposed_m, case when num = 1 then 'unknown_track' when num % 2 = 0 then 'conflict_reported' else 'unchanged' end status, false applied from k")
+def b16_propose_config(spark, d):
+    aliases, config = registry(spark, d)
+    number = F.substring_index("code", "-", -1).cast("int")
+    return tr.propose_config(config, aliases.select("code").distinct().select("code", (150 + number * 15 + F.when(number % 2 == 0, 5).otherwise(0)).alias("proposed_m")))
 
-@c.query("select course, count(distinct race_date) as days, count(*) heats from races group by 1")
+
+@c.query("with " + COURSES + """, n as (select race_id, count(*) n from results group by 1), r as (select co.*, coalesce(n, 0) n, case when straight_m is not null then code end track from co left join n using (race_id)), v as (select track, label, count(*) heats, sum(n) rs from r group by 1, 2),
+g as (select track, cast(sum(heats) as bigint) heats, cast(sum(rs) as bigint) results, string_agg(label || ':' || heats, ',' order by label) variants from v group by 1), y as (select track, count(*) as days from (select distinct track, race_date, label from r) group by 1)
+select g.track, heats, results, variants, y.days, round(heats / (select count(*) from races), 6) share from g join y on g.track is not distinct from y.track""")
 def q17_track_match(spark, d):
-    return t.races(spark, d).groupBy("course").agg(F.countDistinct("race_date").alias("days"), F.count("*").alias("heats"))
+    """Days, heats, results and name variants of each configured track; what is unmatched stands under a null track."""
+    r = coded(spark, d)
+    out = tr.track_match(r, t.results(spark, d), registry(spark, d)[1])
+    text = F.array_join(F.transform(F.map_entries("variants"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return out.select("track", "heats", "results", text.alias("variants"), "days", F.round("share", 6).alias("share"))
+
+
+@c.query("""
+with o as (select *, [temp - 3, temp, temp + 2, temp - 1] temps from weather_daily), b as (select race_id, races.course, race_date, unnest(range(1, 8)) as back from races),
+tr as (select race_id, sum(case when back <= 3 then coalesce(precip, 0) else 0 end) rain_3, sum(coalesce(precip, 0)) rain_7 from b left join weather_daily w on w.course = b.course and w.day = b.race_date - cast(back as int) group by 1)
+select race_id, round(temps[3], 6) temp_at, round(rain_3, 6) rain_3, round(rain_7, 6) rain_7 from races join o on o.course = races.course and o.day = race_date join tr using (race_id)
+""")
+def d03_attach_weather(spark, d):
+    """The observation at 14 h (the nearest hour is 15), trailing rain, and the track condition of b09's rule."""
+    w = t.weather_daily(spark, d)
+    o = w.withColumns({"hours": F.array(*map(F.lit, (6, 12, 15, 20))), "temps": F.array(*(F.col("temp") + k for k in (-3, 0, 2, -1)))})
+    return tr.attach_weather(t.races(spark, d), o).select("race_id", *(F.round(k, 6).alias(k) for k in ("temp_at", "rain_3", "rain_7")))
 
 
 @c.query("""

@@ -49,21 +49,6 @@ sc as (select *, case when career_starts > 0 then 0.45 * pa + 30 * career_win_ra
 """
 
 
-@c.query("with " + OBS + """select result_id, career_starts, cast(career_wins as bigint) career_wins, round(career_win_rate, 6) career_win_rate, round(career_win_rate_eb, 6) career_win_rate_eb, round(career_top3_rate, 6) career_top3_rate, round(career_avg_finish, 6) career_avg_finish, career_median_finish, cast(career_best_finish as int) career_best_finish,
- cast(last_finish as int) last_finish, round(avg_finish_last3, 6) avg_finish_last3, round(avg_finish_last5, 6) avg_finish_last5, round(win_rate_last5, 6) win_rate_last5, round(form_trend, 6) form_trend, days_since, distance_starts, round(distance_win_rate, 6) distance_win_rate, round(track_win_rate, 6) track_win_rate,
- cast(trainer_starts as bigint) trainer_starts, round(trainer_win_rate, 6) trainer_win_rate from obs""")
-def f01_prior_features(spark, d):
-    """Also F10 and L1: as-of features of every start."""
-    o = observations(spark, d)
-    r6 = [F.round(k, 6).alias(k) for k in ("career_win_rate", "career_win_rate_eb", "career_top3_rate", "career_avg_finish", "avg_finish_last3", "avg_finish_last5", "win_rate_last5", "form_trend", "distance_win_rate", "track_win_rate", "trainer_win_rate")]
-    return o.select("result_id", "career_starts", "career_wins", "career_median_finish", "career_best_finish", "last_finish", "days_since", "distance_starts", "trainer_starts", *r6)
-
-
-@c.query("select cast(0 as bigint) leaks, count(*) as rows, 'READY' status from starts")
-def l02_l03_readiness(spark, d):
-    return p.readiness(observations(spark, d)).select("leaks", "rows", "status")
-
-
 @c.query("with " + SCORES + "select result_id, round(A, 5) A, B, round(C, 5) C, round(D, 5) D from sc")
 def l04_baseline_scores(spark, d):
     return p.baseline_scores(observations(spark, d)).select("result_id", *(F.round(k, 5).alias(k) if k != "B" else F.col("B") for k in "ABCD"))
@@ -123,11 +108,6 @@ def e29_observation_counts(spark, d):
     return p.observation_counts(m.time_split(t.starts(spark, d)))
 
 
-@c.query("with " + OBS + "select 'career_win_rate' feature, round(count(career_win_rate) / count(*), 6) available from obs union all select 'distance_win_rate', round(count(distance_win_rate) / count(*), 6) from obs union all select 'trainer_win_rate', round(count(trainer_win_rate) / count(*), 6) from obs")
-def e30_feature_coverage(spark, d):
-    return p.feature_coverage(observations(spark, d), ["career_win_rate", "distance_win_rate", "trainer_win_rate"]).withColumn("available", F.round("available", 6))
-
-
 MARKET = FIELD + """
 , fm as (select s.race_id, s.horse_id, s.result_id, s.distance, s.rating, s.finish, 1 + s.quantity / 20 odds, mt.starts, mt.rating pr, mt.wins / mt.starts win_rate, (mt.wins + mt.seconds + mt.thirds) / mt.starts place_rate, mt.form_5, mt.speed_index, mt.consistency, mt.avg_finish, mt.fatigue, mt.slope
   from starts s join (select * from metrics where breed = '*') mt using (horse_id) qualify row_number() over (partition by s.race_id, s.horse_id order by s.result_id) = 1),
@@ -141,7 +121,7 @@ mkt as (select *, ew / sum(ew) over r win_prob, ep / sum(ep) over r place_prob,
 
 def field(spark, d):
     """One row per race and horse (a horse entered twice counts by its first result), with career metrics."""
-    mm = m.horse_metrics(m.with_field(t.starts(spark, d))).where("breed = '*'")
+    mm = m.horse_metrics(m.with_field(t.starts(spark, d)).withColumn("breed", F.lit("*")), both=False)
     mm = mm.select("horse_id", "starts", F.col("rating").alias("pr"), (F.col("wins") / F.col("starts")).alias("win_rate"), ((F.col("wins") + F.col("seconds") + F.col("thirds")) / F.col("starts")).alias("place_rate"), "form_5", "speed_index", "consistency", "avg_finish", "fatigue", "slope")
     s = t.starts(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("race_id", "horse_id").orderBy("result_id"))).where("rn = 1")
     s = s.select("race_id", "horse_id", "result_id", "distance", "rating", "finish", "race_date", "course", "weight", "trainer_id", "jockey_id", (1 + F.col("quantity") / 20).alias("odds"))
@@ -206,25 +186,47 @@ def e25_crowd_distribution(spark, d):
     return crowd(spark, d).select("result_id", F.round("share", 6).alias("share"), "crowd_rank")
 
 
-@c.query("with " + CROWD + """, g as (select race_id, count(*) n, -sum(share * log2(share)) filter (share > 0) h, arg_min(crowd_rank, finish) w, arg_min(finish, crowd_rank) f, avg(share - case when finish = 1 then 1 else 0 end) bias, sum(pow(crowd_rank - finish, 2)) d2 from ck group by 1)
-select race_id, n, round(h, 5) entropy, round(bias, 6) bias, round(case when n > 1 then least(100, greatest(0, (2 - 6 * d2 / (n * (n * n - 1))) * 50)) else 0 end, 4) accuracy, round(case when n > 1 then (w - 1) / (n - 1) * 100 else 0 end, 4) upset, round(case when n > 1 then (f - 1) / (n - 1) * 100 else 0 end, 4) favourite_failure from g""")
+CROWD_RACES = CROWD + """, g as (select race_id, count(*) n, -sum(share * log2(share)) filter (share > 0) h, stddev_pop(share) spread, arg_min(crowd_rank, finish) w, arg_min(finish, crowd_rank) f, avg(share - case when finish = 1 then 1 else 0 end) bias, avg(abs(crowd_rank - finish)) away, sum(pow(crowd_rank - finish, 2)) d2 from ck group by 1),
+cm as (select race_id, n, h entropy, spread, bias, case when n > 1 then least(100, greatest(0, (2 - 6 * d2 / (n * (n * n - 1))) * 50)) else 0 end accuracy, case when n > 1 then (w - 1) / (n - 1) * 100 else 0 end upset, case when n > 1 then (f - 1) / (n - 1) * 100 else 0 end favourite_failure, case when n > 1 then away / (n - 1) * 100 else 0 end surprise, case when n > 1 then least(100, greatest(0, h / log2(n) * 100)) else 0 end difficulty from g),
+cr2 as (select *, 1 - difficulty / 100 confidence, round((favourite_failure + upset + 100 - accuracy) / 3, 3) shock from cm)"""
+CROWD_ENTITIES = CROWD + """, ch0 as (select ck.*, sire_id from ck join horses using (horse_id)), l as (unpivot (select share, crowd_rank, finish, horse_id, trainer_id, jockey_id, owner_id, sire_id from ch0) on horse_id, trainer_id, jockey_id, owner_id, sire_id into name role value entity_id),
+en as (select role, entity_id, count(*) n, avg(share) * 100 popularity, count(*) filter (crowd_rank = 1 and finish = 1) / nullif(count(*) filter (crowd_rank = 1), 0) * 100 trust, coalesce(-avg(crowd_rank - finish) filter (crowd_rank < finish), 0) overrated, coalesce(avg(crowd_rank - finish) filter (crowd_rank > finish), 0) underrated, case when count(*) > 1 then stddev_pop(abs(crowd_rank - finish)) else 0 end unpredictability,
+  count(*) filter (abs(crowd_rank - finish) >= 2) / count(*) * 100 surprise_frequency, count(*) filter (crowd_rank = 1 and finish > 1) / nullif(count(*) filter (crowd_rank = 1), 0) * 100 favourite_failure, coalesce(count(*) filter (finish = 1 and crowd_rank >= 3) / nullif(count(*) filter (finish = 1), 0) * 100, 0) upset_wins, avg(crowd_rank) avg_crowd_rank, avg(finish) avg_finish, avg(crowd_rank - finish) gap from l group by 1, 2)"""
+_ROLES = ["horse_id", "trainer_id", "jockey_id", "owner_id", "sire_id"]
+_SCORES = ["popularity", "trust", "overrated", "underrated", "unpredictability", "surprise_frequency", "favourite_failure", "upset_wins", "avg_crowd_rank", "avg_finish", "gap"]
+
+
+def crowd_races(spark, d):
+    prizes = t.races(spark, d).select("race_id", "prize", (F.col("prize") * 0.6).alias("winners_share"))
+    return mk.crowd_race_metrics(crowd(spark, d), prizes)
+
+
+def crowd_entities(spark, d):
+    return mk.crowd_entity_metrics(crowd(spark, d).join(t.horses(spark, d).select("horse_id", "sire_id"), "horse_id"), _ROLES)
+
+
+@c.query("with " + CROWD_RACES + "select race_id, n, round(entropy, 5) entropy, round(spread, 6) spread, round(bias, 6) bias, round(accuracy, 4) accuracy, round(upset, 4) upset, round(favourite_failure, 4) favourite_failure, round(surprise, 4) surprise, round(confidence, 6) confidence, shock, round(prize, 2) prize_total, round(prize * 0.6, 2) winners_share from cr2 join races using (race_id)")
 def e26_crowd_race_metrics(spark, d):
-    g = mk.crowd_race_metrics(crowd(spark, d))
-    return g.select("race_id", "n", F.round("entropy", 5).alias("entropy"), F.round("bias", 6).alias("bias"), *(F.round(k, 4).alias(k) for k in ("accuracy", "upset", "favourite_failure")))
+    g = crowd_races(spark, d)
+    return g.select("race_id", "n", *(F.round(k, n).alias(k) for k, n in (("entropy", 5), ("spread", 6), ("bias", 6), ("accuracy", 4), ("upset", 4), ("favourite_failure", 4), ("surprise", 4), ("confidence", 6), ("shock", 3), ("prize_total", 2), ("winners_share", 2))))
 
 
-@c.query("with " + CROWD + """, l as (select 'horse_id' role, horse_id entity_id, share, crowd_rank, finish from ck union all select 'trainer_id', trainer_id, share, crowd_rank, finish from ck)
-select role, entity_id, count(*) n, round(avg(share), 6) popularity, round(avg(crowd_rank), 6) avg_crowd_rank, round(avg(crowd_rank - finish), 6) gap, round(stddev_pop(crowd_rank - finish), 5) unpredictability from l group by 1, 2""")
+@c.query("with " + CROWD_ENTITIES + f"select role, entity_id, n, {', '.join(f'round({k}, 5) {k}' for k in _SCORES)} from en")
 def e27_crowd_entity_metrics(spark, d):
-    g = mk.crowd_entity_metrics(crowd(spark, d), ["horse_id", "trainer_id"])
-    return g.select("role", "entity_id", "n", *(F.round(k, 6).alias(k) for k in ("popularity", "avg_crowd_rank", "gap")), F.round("unpredictability", 5).alias("unpredictability"))
+    """All five roles and all scores."""
+    return crowd_entities(spark, d).select("role", "entity_id", "n", *(F.round(k, 5).alias(k) for k in _SCORES))
+
+
+def _questions() -> str:
+    one = lambda o: f"coalesce(round({'-' if o[0] == '-' else ''}{o.lstrip('-')}, 9), 1e18)"
+    part = lambda q, r, order: f"select '{q}' question, cast(row_number() over (order by {', '.join(map(one, order))}, {'race_id' if r == 'race' else 'entity_id'}) as int) as rank, {'race_id' if r == 'race' else 'entity_id'} id from {'cr2' if r == 'race' else f'en where role = ' + repr(r) + ' and n >= 5'} qualify rank <= 10"
+    return " union all ".join(f"({part(q, r, order)})" for q, (r, order) in mk.MARKET_QUESTIONS.items())
 
 
-@c.query("with " + CROWD + ", l as (select horse_id, count(*) n, round(avg(crowd_rank - finish), 6) gap from ck group by 1) select horse_id, gap from l where n >= 5 order by gap desc, horse_id limit 25")
+@c.query("with " + CROWD_RACES + CROWD_ENTITIES[len(CROWD) :] + " select * from (" + _questions() + ")")
 def g08_market_question(spark, d):
-    """A top-N question over the crowd's metrics."""
-    g = mk.crowd_entity_metrics(crowd(spark, d), ["horse_id"]).where("n >= 5")
-    return g.select(F.col("entity_id").alias("horse_id"), F.round("gap", 6).alias("gap")).orderBy(F.desc("gap"), "horse_id").limit(25)
+    """All questions at once, each with its first ten answers."""
+    return mk.market_questions(crowd_entities(spark, d), crowd_races(spark, d))
 
 
 @c.query("select user_id % 20 meeting_id, min(ts) first_start, count(*) events from events where ts > timestamp '2024-01-05' and ts <= timestamp '2024-01-12' group by 1", base=False)

@@ -60,13 +60,14 @@ boards as (
  select 'best_career', breed, row_number() over (partition by breed order by round(rating, 6) desc, wins desc, horse_id), horse_id from metrics where starts >= 3 union all
  select 'best_form', breed, row_number() over (partition by breed order by round(form_5, 6) desc, wins desc, horse_id), horse_id from metrics where starts >= 3 union all
  select 'most_consistent', breed, row_number() over (partition by breed order by round(consistency, 6) desc, starts desc, horse_id), horse_id from metrics where starts >= 3 union all
+ select 'highest_win_rate', breed, row_number() over (partition by breed order by round(wins / starts, 6) desc, starts desc, horse_id), horse_id from metrics where starts >= 5 union all
  select 'improving', breed, row_number() over (partition by breed order by round(slope, 6) desc, horse_id), horse_id from metrics where starts >= 3 and slope > 2 union all
  select 'declining', breed, row_number() over (partition by breed order by round(slope, 6), horse_id), horse_id from metrics where starts >= 3 and slope < -2)
 select board, breed, cast(rank as int) as rank, horse_id from boards where rank <= 10
 """)
 def g03_general_boards(spark, d):
-    mm = metrics(spark, d).withColumns({k: F.round(k, 6) for k in ("rating", "form_5", "consistency", "slope")} | {"earnings": F.round("earnings", 2)})
-    return b.general_boards(mm)
+    mm = metrics(spark, d).withColumns({k: F.round(k, 6) for k in ("rating", "form_5", "consistency", "slope")} | {"earnings": F.round("earnings", 2), "win_rate": F.round(F.col("wins") / F.col("starts"), 6)})
+    return b.general_boards(mm).select("board", "breed", "rank", "horse_id")
 
 
 @c.query("with " + FIELD + """
@@ -179,19 +180,26 @@ def e14_sex_composition(spark, d):
 @c.query("with " + SEX + """
 , s as (select bs.*, males, females, size, mixed, factor, males - case when bio = 'Stallion' then 1 else 0 end om, females - case when bio = 'Mare' then 1 else 0 end fm, case when bio = 'Mare' then greatest(factor, 0) * males / size else 0 end credit from bs join comp using (race_id) cross join fac)
 select horse_id, round(avg(q), 4) base, round(avg(q) + avg(credit), 4) adjusted, round(avg(q) filter (females = 0), 4) male_only, round(avg(q) filter (males = 0), 4) female_only, round(avg(q) filter (mixed), 4) mixed, round(avg(q) filter (om > 0), 4) vs_males, round(avg(q) filter (fm > 0), 4) vs_females,
- round(avg(finish) filter (om > 0), 4) vs_males_finish, round(avg(case when finish = 1 then 1 else 0 end) filter (om > 0), 4) vs_males_win, round(avg(case when finish <= 3 then 1 else 0 end) filter (om > 0), 4) vs_males_podium from s group by 1""")
+ round(avg(finish) filter (om > 0), 4) vs_males_finish, round(avg(case when finish = 1 then 1 else 0 end) filter (om > 0), 4) vs_males_win, round(avg(case when finish <= 3 then 1 else 0 end) filter (om > 0), 4) vs_males_podium, round(avg(finish) filter (fm > 0), 4) vs_females_finish, round(avg(case when finish = 1 then 1 else 0 end) filter (fm > 0), 4) vs_females_win, round(avg(case when finish <= 3 then 1 else 0 end) filter (fm > 0), 4) vs_females_podium from s group by 1""")
 def e16_sex_metrics(spark, d):
     """With E15, the strength factor over mixed races."""
     s = bio_starts(spark, d)
     comp = m.sex_composition(s)
     out = m.sex_metrics(s, comp, m.sex_strength(s, comp))
-    return out.select("horse_id", *r4(*[k for k in out.columns if k != "horse_id"]))
+    return out.select("horse_id", *r4(*[k for k in out.columns if k not in ("horse_id", "starts")]))
 
 
-@c.query("with " + SEX + "select horse_id, cast(row_number() over (partition by bio order by round(avg(q), 6) desc, horse_id) as int) as rank, bio from bs group by horse_id, bio qualify rank <= 20")
+@c.query("with " + SEX + """
+, s as (select bs.*, males, females, size, mixed, factor, males - case when bio = 'Stallion' then 1 else 0 end om, females - case when bio = 'Mare' then 1 else 0 end fm, case when bio = 'Mare' then greatest(factor, 0) * males / size else 0 end credit from bs join comp using (race_id) cross join fac),
+g as (select horse_id, bio, count(*) n, round(avg(q) + avg(credit), 6) adjusted, round(avg(q) filter (mixed), 6) mx, round(avg(q) filter (om > 0), 6) vm, round(avg(q) filter (fm > 0), 6) vf from s group by 1, 2),
+b as (select unnest([struct_pack(b := 'best_mare', v := case when bio = 'Mare' then adjusted end), struct_pack(b := 'best_stallion', v := case when bio = 'Stallion' then adjusted end), struct_pack(b := 'best_mixed_race_performer', v := mx), struct_pack(b := 'best_female_against_males', v := case when bio = 'Mare' then vm end), struct_pack(b := 'most_dominant_male', v := case when bio = 'Stallion' then vf end)]) x, horse_id, n from g where n >= 5)
+select x.b board, cast(row_number() over (partition by x.b order by x.v desc, n desc, horse_id) as int) as rank, horse_id, x.v as value from b where x.v is not null qualify rank <= 10""")
 def g04_sex_boards(spark, d):
-    s = bio_starts(spark, d).groupBy("horse_id", "bio").agg(F.count("*").alias("starts"), F.round(F.avg(x.finish_quality(F.col("finish"))), 6).alias("base"))
-    return b.board(s, ["bio"], 1, b.orders(["-base", "horse_id"]), 20, "sex").select("horse_id", "rank", "bio")
+    """Five boards from the sex-adjusted metrics, ranked in one pass."""
+    s = bio_starts(spark, d)
+    comp = m.sex_composition(s)
+    adjusted = m.sex_metrics(s, comp, m.sex_strength(s, comp)).join(s.select("horse_id", "bio").distinct(), "horse_id")
+    return b.sex_boards(adjusted.withColumns({k: F.round(k, 6) for k in ("adjusted", "mixed", "vs_males", "vs_females")}))
 
 
 INTEL = """
@@ -265,10 +273,11 @@ def e22_breeding_value(spark, d):
     return m.breeding_value(offspring(spark, d)).withColumn("win_rate", F.round("win_rate", 6))
 
 
-@c.query("with " + OFFSPRING + ", r as (select breed, parent_id, value, row_number() over (partition by breed order by value desc, parent_id) as rank from bv where breed is not null and raced >= 3 and starts >= 10) select breed, parent_id, value, cast(rank as int) as rank from r where rank <= 10")
+@c.query("with " + OFFSPRING + """, k as (select *, unnest([struct_pack(b := 'value', v := case when raced >= 3 and starts >= 10 then cast(value as double) end), struct_pack(b := 'win_rate', v := case when starts >= 20 then round(win_rate, 9) end)]) x from bv where breed is not null)
+select x.b board, breed, parent_id, round(x.v, 6) as value, cast(row_number() over (partition by x.b, breed order by x.v desc, starts desc, parent_id) as int) as rank from k where x.v is not null qualify rank <= 10""")
 def g09_breeding_boards(spark, d):
-    v = m.breeding_value(offspring(spark, d)).where("breed is not null and raced >= 3")
-    return b.board(v, ["breed"], 10, b.orders(["-value", "parent_id"]), 10, "breeding").select("breed", "parent_id", "value", "rank")
+    """By value and by win rate of the offspring, for each breed."""
+    return b.breeding_boards(m.breeding_value(offspring(spark, d)).where("breed is not null")).select("board", "breed", "parent_id", F.round("value", 6).alias("value"), "rank")
 
 
 @c.query("select sire_id, count(distinct horse_id) offspring, count(*) starts, count(*) filter (finish = 1) wins, count(*) filter (finish <= 3) top3, round(count(*) filter (finish = 1) / count(*), 6) win_rate from starts join horses using (horse_id) group by 1")
@@ -326,17 +335,23 @@ def f09_f12_time_split(spark, d):
     return m.time_split(r).join(m.time_thirds(r), "race_date").groupBy("split", "third").agg(F.count("*").alias("n"))
 
 
-@c.query("with " + FIELD + """, l as (select horse_id, breed, 'rating' metric, rating as value from metrics union all select horse_id, breed, 'form_5', form_5 from metrics)
-select horse_id, breed, metric, round(value, 4) as value, round(avg(value) over (partition by metric), 4) season_avg, round(avg(value) over (partition by metric, breed), 4) breed_avg, round(value - avg(value) over (partition by metric), 4) delta from l where breed <> '*'""")
+@c.query("with " + FIELD + """, mm as (select *, cast(year(last_date) as int) season from metrics where breed <> '*'), pg as (select horse_id, course, count(*) n, count(*) filter (finish = 1) w, max(race_date) as last from starts group by 1, 2),
+pt as (select horse_id, first(course order by round(w / n * (1 - 0.5 / (n + 0.5)), 9) desc, last desc, course desc) track from pg group by 1), l as (select mm.horse_id, season, breed, track, unnest(['rating', 'form_5']) metric, unnest([rating, form_5]) as value from mm join pt using (horse_id)),
+ca as (select horse_id, unnest(['rating', 'form_5']) metric, unnest([rating, form_5]) career from metrics where breed = '*')
+select horse_id, breed, metric, round(value, 4) as value, round(avg(value) over (partition by metric, season), 4) season_avg, round(avg(value) over (partition by metric, breed), 4) breed_avg, round(avg(value) over (partition by metric, track), 4) track_avg, round(career, 4) career, round(value - avg(value) over (partition by metric, season), 4) delta from l join ca using (horse_id, metric)""")
 def e19_benchmarks(spark, d):
-    mm = metrics(spark, d).where("breed != '*'").withColumn("season", F.lit("all"))
-    return m.benchmarks(mm, "season", "breed", ["rating", "form_5"]).drop("season").withColumns({k: F.round(k, 4) for k in ("value", "season_avg", "breed_avg", "delta")})
+    """Against season (of the last start), breed, preferred track and the own career."""
+    mm = metrics(spark, d)
+    track = m.best_bucket(t.starts(spark, d), "horse_id", "course").select("horse_id", F.col("best").alias("track"))
+    own = mm.where("breed != '*'").withColumn("season", F.year("last_date")).join(track, "horse_id")
+    out = m.benchmarks(own, ["season", "breed", "track"], ["rating", "form_5"], mm.where("breed = '*'").select("horse_id", "rating", "form_5"))
+    return out.select("horse_id", "breed", "metric", *r4("value", "season_avg", "breed_avg", "track_avg", "career", "delta"))
 
 
-@c.query("with " + FIELD + """select horse_id, 'starts' feature, cast(starts as double) as value, 'v2' as version from metrics where breed = '*' and horse_id % 2 = 1 union all select horse_id, 'wins', cast(wins as double), 'v2' from metrics where breed = '*'""")
+@c.query("with " + FIELD + """select horse_id, 'starts' feature, cast(starts as double) as value, 'v2' as version from metrics where breed = '*' union all select horse_id, 'wins', cast(wins as double), 'v2' from metrics where breed = '*'""")
 def e20_feature_store(spark, d):
     mm = metrics(spark, d).where("breed = '*'").select("horse_id", F.col("starts").cast("double"), F.col("wins").cast("double"))
-    old = mm.where("horse_id % 2 = 0").select("horse_id", F.lit("starts").alias("feature"), F.lit("v2").alias("version"))
+    old = mm.where("horse_id % 2 = 0").select("horse_id", F.lit("starts").alias("feature"), F.col("starts").alias("value"), F.lit("v2").alias("version"))
     return m.feature_store(mm, old, "v2", ["starts", "wins"])
 
 
@@ -355,18 +370,25 @@ def e28_primary_breed(spark, d):
 
 @c.query("with " + FIELD + """, r as (select horse_id, cast(row_number() over (order by wins desc, starts desc, horse_id) as int) as rank from metrics where breed = '*') select rank, horse_id from r where rank <= 5""")
 def c04_leaderboard(spark, d):
-    return b.leaderboard(b.general_boards(metrics(spark, d)), "Most wins", 5).select("rank", "horse_id")
+    return b.leaderboard(b.general_boards(metrics(spark, d).withColumn("win_rate", F.col("wins") / F.col("starts"))), "Most wins", 5).select("rank", "horse_id")
 
 
-@c.query("""
-with s as (select starts.*, unnest([struct_pack(d := 'breed', v := breed), struct_pack(d := 'course', v := course), struct_pack(d := 'distance', v := case when distance < 1200 then 'sprint' when distance < 1600 then 'mile' when distance < 2000 then 'mid' else 'staying' end)]) seg from starts),
-g as (select seg.d segment, seg.v as value, horse_id, count(*) starts, count(*) filter (finish = 1) wins, round(avg(finish), 6) avg_finish from s group by all)
-select segment, value, horse_id, cast(row_number() over (partition by segment, value order by wins desc, avg_finish, horse_id) as int) as rank from g where starts >= 2 qualify rank <= 10
+@c.query("with " + FIELD + """, wx as (select course, day, precip from weather_daily), sg as (select k.*, h.birthdate, w.precip from scored k join horses h using (horse_id) left join wx w on w.course = k.course and w.day = k.race_date),
+sa as (select *, case when race_date >= birthdate then round((race_date - birthdate) / 365.25, 2) end age from sg),
+sl as (select *, unnest([struct_pack(s := 'breed', v := breed), struct_pack(s := 'age', v := case when age < 3 then '2yo' when age < 4 then '3yo' when age < 5 then '4yo' when age < 7 then '5-6yo' when age is not null then '7yo+' end), struct_pack(s := 'class', v := name[1]), struct_pack(s := 'distance', v := case when distance < 1200 then 'sprint' when distance < 1600 then 'mile' when distance < 2000 then 'mid' else 'staying' end),
+ struct_pack(s := 'track', v := case when precip > 3 then 'wet' when precip is not null then 'dry' end), struct_pack(s := 'weather', v := case when precip > 10 then 'rain' when precip is not null then 'fair' end), struct_pack(s := 'young', v := case when age >= 2 and age < 4 then '2-3yo' end)]) x from sa),
+sk as (select x.s segment, x.v as value, horse_id, race_date, finish, q, si, di, row_number() over (partition by x.s, x.v, horse_id order by race_date desc, race_id desc, result_id desc) rn from sl where x.v is not null),
+sm as (select segment, value, horse_id, count(*) starts, count(*) filter (finish = 1) wins, count(*) filter (finish = 2) as seconds, count(*) filter (finish = 3) thirds, avg(finish) af, stddev_pop(finish) sd, avg(si) si, avg(di) di, sum(q * pow(0.75, rn - 1)) filter (rn <= 5) / sum(pow(0.75, rn - 1)) filter (rn <= 5) f5 from sk group by all having count(*) >= 3),
+sr as (select *, (18 * 100.0 * wins / starts + 8 * 100.0 * seconds / starts + 5 * 100.0 * thirds / starts + 15 * 100.0 * (wins + seconds + thirds) / starts + 15 * least(100, greatest(0, 120 - 12.5 * af)) + 12 * least(100, 100 * exp(-sd / 2.5)) + 12 * di + 10 * f5 + 5 * least(100, si)) / 100 rating from sm)
+select segment, value, horse_id, cast(row_number() over (partition by segment, value order by round(rating, 6) desc, wins desc, starts desc, horse_id) as int) as rank from sr qualify rank <= 10
 """)
 def g06_segment_boards(spark, d):
-    """All segments in one aggregation: labels are exploded, not looped over."""
-    s = t.starts(spark, d)
-    labels = {"breed": F.col("breed"), "course": F.col("course"), "distance": x.distance_bucket(F.col("distance"))}
-    s = s.select("horse_id", "finish", F.explode(F.array(*(F.struct(F.lit(k).alias("segment"), v.alias("value")) for k, v in labels.items()))).alias("s")).select("horse_id", "finish", "s.*")
-    g = s.groupBy("segment", "value", "horse_id").agg(F.count("*").alias("starts"), F.count_if(F.col("finish") == 1).alias("wins"), F.round(F.avg("finish"), 6).alias("avg_finish"))
-    return b.board(g, ["segment", "value"], 2, b.orders(["-wins", "avg_finish", "horse_id"]), 10, "segment").select("segment", "value", "horse_id", "rank")
+    """Seven segments; metrics are computed within each, from exploded labels and not in a loop."""
+    sky = t.weather_daily(spark, d).select("course", F.col("day").alias("race_date"), "precip")
+    s = m.with_field(t.starts(spark, d)).join(t.horses(spark, d).select("horse_id", "birthdate"), "horse_id").join(sky, ["course", "race_date"], "left")
+    age, rain = x.age_years(F.col("birthdate"), F.col("race_date")), F.col("precip")
+    labels = {
+        "breed": F.col("breed"), "age": F.when(age.isNotNull(), x.age_band(age)), "class": F.substring("name", 1, 1), "distance": x.distance_bucket(F.col("distance")), "track": F.when(rain > 3, "wet").when(rain.isNotNull(), "dry"),
+        "weather": F.when(rain > 10, "rain").when(rain.isNotNull(), "fair"), "young": F.when((age >= 2) & (age < 4), "2-3yo"),
+    }
+    return b.segment_boards(s, labels).select("segment", "value", "horse_id", "rank")

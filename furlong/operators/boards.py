@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as x
+
 
 def board(metrics: DataFrame, keys: list[str], least_starts: int, order: list[Column], n: int, name: str) -> DataFrame:
     """Rank within keys those with enough starts; a limit of ranks per key lets Spark prune before the shuffle."""
@@ -40,6 +42,7 @@ def season_gate(metrics: DataFrame, least: int) -> DataFrame:
 #: Boards: name -> (least starts, order).
 GENERAL = {
     "best_career": (3, ["-rating", "-wins", "horse_id"]),
+    "highest_win_rate": (5, ["-win_rate", "-starts", "horse_id"]),
     "most_successful": (1, ["-wins", "-starts", "horse_id"]),
     "highest_earnings": (1, ["-earnings", "horse_id"]),
     "best_form": (3, ["-form_5", "-wins", "horse_id"]),
@@ -53,12 +56,50 @@ def orders(names: list[str]) -> list[Column]:
     return [F.desc_nulls_last(n[1:]) if n[0] == "-" else F.asc_nulls_last(n) for n in names]
 
 
+def best_of(rows: DataFrame, keys: list[str], boards: dict[str, tuple[Column, list[Column]]], tie: str, n: int) -> DataFrame:
+    """Several boards at once: board -> (who qualifies, numbers in rising order); one window ranks them all, n of each key.
+
+    A null number excludes a row from its board; `value` is the first number, its sign turned.
+    """
+    entry = lambda name, ok, order: F.when(ok & order[0].isNotNull(), F.struct(F.lit(name).alias("board"), *((order + [F.lit(0.0)] * 3)[k].cast("double").alias(f"k{k}") for k in range(3))))
+    e = rows.select("*", F.explode(F.array_compact(F.array(*(entry(b, ok, order) for b, (ok, order) in boards.items())))).alias("e"))
+    w = Window.partitionBy("e.board", *keys).orderBy("e.k0", "e.k1", "e.k2", tie)
+    return e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumns({"board": F.col("e.board"), "value": -F.col("e.k0")}).drop("e")
+
+
 def general_boards(metrics: DataFrame, n: int = 10) -> DataFrame:
-    out = None
-    for name, (least, order) in GENERAL.items():
-        b = board(metrics.where("slope > 2") if name == "improving" else metrics.where("slope < -2") if name == "declining" else metrics, ["breed"], least, orders(order), n, name).select("board", "breed", "rank", "horse_id")
-        out = b if out is None else out.unionByName(b)
-    return out
+    """The boards of GENERAL for each breed, ranked in one pass."""
+    number = lambda o: -F.coalesce(F.col(o[1:]), F.lit(float("-inf"))) if o[0] == "-" else F.col(o)
+    only = {"improving": F.col("slope") > 2, "declining": F.col("slope") < -2}
+    specs = {b: ((F.col("starts") >= least) & only.get(b, F.lit(True)), [number(o) for o in order if o != "horse_id"]) for b, (least, order) in GENERAL.items()}
+    return best_of(metrics, ["breed"], specs, "horse_id", n)
+
+
+def sex_boards(adjusted: DataFrame, n: int = 10, least: int = 5) -> DataFrame:
+    """Best mare, stallion, performer in mixed races, female against males and male against females, by the sex-adjusted metrics."""
+    c, ok = F.col, F.col("starts") >= least
+    female, male, starts = x.is_female(c("bio")), x.is_male(c("bio")), -c("starts")
+    specs = {
+        "best_mare": (ok & female, [-c("adjusted"), starts]), "best_stallion": (ok & male, [-c("adjusted"), starts]), "best_mixed_race_performer": (ok, [-c("mixed"), starts]),
+        "best_female_against_males": (ok & female, [-c("vs_males"), starts]), "most_dominant_male": (ok & male, [-c("vs_females"), starts]),
+    }
+    return best_of(adjusted, [], specs, "horse_id", n).select("board", "rank", "horse_id", "value")
+
+
+def segment_boards(starts: DataFrame, labels: dict[str, Column], least: int = 3, n: int = 10) -> DataFrame:
+    """Best horses of each segment value, by a rating computed within it; labels are exploded into one pass of metrics."""
+    from .metrics import horse_metrics
+
+    each = F.explode(F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(k).alias("segment"), v.cast("string").alias("value"))) for k, v in labels.items()))))
+    long = starts.withColumn("_s", each).withColumns({"segment": F.col("_s.segment"), "value": F.col("_s.value"), "breed": F.lit("*")}).drop("_s")
+    m = horse_metrics(long, ["segment", "value"], both=False).withColumn("rating", F.round("rating", 6))
+    return board(m, ["segment", "value"], least, orders(["-rating", "-wins", "-starts", "horse_id"]), n, "segment")
+
+
+def breeding_boards(values: DataFrame, n: int = 10) -> DataFrame:
+    """Parents of each breed by offspring value (three raced, ten starts) and by win rate (twenty starts)."""
+    c = F.col
+    return best_of(values.withColumnRenamed("value", "_value"), ["breed"], {"value": ((c("raced") >= 3) & (c("starts") >= 10), [-c("_value"), -c("starts")]), "win_rate": (c("starts") >= 20, [-F.round("win_rate", 9), -c("starts")])}, "parent_id", n)
 
 
 def people_boards(totals: DataFrame, n: int = 10) -> DataFrame:
@@ -75,7 +116,7 @@ def register_views(spark, starts: DataFrame, metrics: DataFrame, intelligence: D
 
 
 #: Question names and the boards that answer them.
-QUESTIONS = {"best horse": "best_career", "most wins": "most_successful", "richest": "highest_earnings", "best form": "best_form", "most consistent": "most_consistent", "most improved": "improving", "declining": "declining"}
+QUESTIONS = {"best horse": "best_career", "most wins": "most_successful", "richest": "highest_earnings", "best form": "best_form", "most consistent": "most_consistent", "most improved": "improving", "declining": "declining", "win rate": "highest_win_rate"}
 
 
 def leaderboard(boards: DataFrame, question: str, n: int, breed: str = "*") -> DataFrame:

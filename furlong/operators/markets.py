@@ -131,21 +131,57 @@ def crowd_distribution(entries: DataFrame) -> DataFrame:
     return entries.withColumn("implied", inv / F.sum(inv).over(race())).withColumn("share", p).withColumn("crowd_rank", F.row_number().over(race().orderBy(F.desc(F.round("share", 9)), "cloth")))
 
 
-def crowd_race_metrics(crowd: DataFrame) -> DataFrame:
+def crowd_race_metrics(crowd: DataFrame, prizes: DataFrame | None = None) -> DataFrame:
+    """Per race: entropy, confidence, spread, bias, Spearman accuracy, surprise, upset, favourite failure, difficulty, shock.
+
+    With `prizes` (race_id, prize, winners_share) also the prize total and the winner's share.
+    """
     n = F.count("*")
     h = -F.sum(F.when(c("share") > 0, c("share") * F.log2("share")))
     d2 = F.sum(F.pow(c("crowd_rank") - c("finish"), 2))
-    g = crowd.groupBy("race_id").agg(n.alias("n"), h.alias("entropy"), F.min_by("crowd_rank", "finish").alias("winner_crowd_rank"), F.min_by("finish", "crowd_rank").alias("favourite_finish"), F.avg(c("share") - (c("finish") == 1).cast("int")).alias("bias"), F.when(n > 1, x.clamp((2 - 6 * d2 / (n * (n * n - 1))) * 50)).otherwise(0.0).alias("accuracy"))
+    g = crowd.groupBy("race_id").agg(
+        n.alias("n"), h.alias("entropy"), F.stddev_pop("share").alias("spread"), F.min_by("crowd_rank", "finish").alias("winner_crowd_rank"), F.min_by("finish", "crowd_rank").alias("favourite_finish"),
+        F.avg(F.abs(c("crowd_rank") - c("finish"))).alias("away"), F.avg(c("share") - (c("finish") == 1).cast("int")).alias("bias"), F.when(n > 1, x.clamp((2 - 6 * d2 / (n * (n * n - 1))) * 50)).otherwise(0.0).alias("accuracy"),
+    )
     of = lambda r: F.when(c("n") > 1, (r - 1) / (c("n") - 1) * 100).otherwise(0.0)
-    return g.withColumns({"upset": of(c("winner_crowd_rank")), "favourite_failure": of(c("favourite_finish")), "difficulty": F.when(c("n") > 1, x.clamp(c("entropy") / F.log2(c("n")) * 100)).otherwise(0.0)})
+    g = g.withColumns({"upset": of(c("winner_crowd_rank")), "favourite_failure": of(c("favourite_finish")), "difficulty": F.when(c("n") > 1, x.clamp(c("entropy") / F.log2(c("n")) * 100)).otherwise(0.0), "surprise": F.when(c("n") > 1, c("away") / (c("n") - 1) * 100).otherwise(0.0)})
+    g = g.withColumns({"confidence": 1 - c("difficulty") / 100, "shock": F.round((c("favourite_failure") + c("upset") + 100 - c("accuracy")) / 3, 3)}).drop("away")
+    return g if prizes is None else g.join(prizes.select("race_id", c("prize").alias("prize_total"), "winners_share"), "race_id", "left")
 
 
 def crowd_entity_metrics(crowd: DataFrame, roles: list[str]) -> DataFrame:
-    """Popularity and trust of horses and people in the crowd's eyes."""
+    """Horses and people in the crowd's eyes: popularity, trust, over- and underrated, unpredictability, surprises, failures, upsets, ranks, gap."""
     long = crowd.unpivot(["share", "crowd_rank", "finish"], roles, "role", "entity_id").where("entity_id is not null")
-    gap = c("crowd_rank") - c("finish")
-    fav = c("crowd_rank") == 1
-    return long.groupBy("role", "entity_id").agg(F.count("*").alias("n"), F.avg("share").alias("popularity"), F.avg("crowd_rank").alias("avg_crowd_rank"), F.avg("finish").alias("avg_finish"), F.avg(gap).alias("gap"), F.stddev_pop(gap).alias("unpredictability"), (F.count_if(fav & (c("finish") > 1)) / F.count_if(fav)).alias("favourite_failure"))
+    gap, favourite, won = c("crowd_rank") - c("finish"), c("crowd_rank") == 1, c("finish") == 1
+    zero = lambda v: F.coalesce(v, F.lit(0.0))
+    return long.groupBy("role", "entity_id").agg(
+        F.count("*").alias("n"), (F.avg("share") * 100).alias("popularity"), (F.count_if(favourite & won) / F.nullif(F.count_if(favourite), F.lit(0)) * 100).alias("trust"), zero(-F.avg(F.when(gap < 0, gap))).alias("overrated"), zero(F.avg(F.when(gap > 0, gap))).alias("underrated"),
+        zero(F.when(F.count(gap) > 1, F.stddev_pop(F.abs(gap)))).alias("unpredictability"), (F.count_if(F.abs(gap) >= 2) / F.count(gap) * 100).alias("surprise_frequency"), (F.count_if(favourite & ~won) / F.nullif(F.count_if(favourite), F.lit(0)) * 100).alias("favourite_failure"),
+        zero(F.count_if(won & (c("crowd_rank") >= 3)) / F.nullif(F.count_if(won), F.lit(0)) * 100).alias("upset_wins"), F.avg("crowd_rank").alias("avg_crowd_rank"), F.avg("finish").alias("avg_finish"), F.avg(gap).alias("gap"),
+    )
+
+
+#: Question -> (the role it is about, or "race"; its order). Entities or races with fewer starts than asked for are left out.
+MARKET_QUESTIONS = {
+    "most_surprising": ("horse_id", ["-surprise_frequency", "-unpredictability"]), "biggest_upset": ("race", ["-upset", "-shock"]), "most_overrated": ("horse_id", ["-overrated", "-favourite_failure"]), "most_underrated": ("horse_id", ["-underrated", "-gap"]),
+    "outperform_public": ("horse_id", ["-gap", "-underrated"]), "disappoint": ("horse_id", ["gap", "-overrated"]), "hardest_race": ("race", ["-difficulty", "-shock"]), "trainers_beat_market": ("trainer_id", ["-gap", "-underrated"]),
+    "jockeys_underestimated": ("jockey_id", ["-underrated", "-gap"]), "sire_unpredictable": ("sire_id", ["-unpredictability", "-surprise_frequency"]), "shock_rankings": ("race", ["-shock"]), "crowd_intelligence": ("race", ["-confidence"]), "most_predictable": ("horse_id", ["unpredictability", "surprise_frequency"]),
+}
+
+
+def market_questions(entities: DataFrame, races: DataFrame, n: int = 10, least: int = 5) -> DataFrame:
+    """The first n answers to every question: question, rank, id. One window over entities and one over races."""
+    def top(df, key, questions):
+        labels = F.explode(F.array(*(F.struct(F.lit(q).alias("question"), F.array(*(F.coalesce(F.round(-c(o[1:]) if o[0] == "-" else c(o), 9), F.lit(1e18)) for o in (order + order)[:2])).alias("k")) for q, order in questions)))
+        w = Window.partitionBy("s.question").orderBy("s.k", key)
+        return df.select(c(key).alias("id"), *(["role"] if "role" in df.columns else []), labels.alias("s"), c(key)).withColumn("rank", F.row_number().over(w)).where(c("rank") <= n).select("s.question", "rank", "id")
+
+    out = None
+    for role in dict.fromkeys(r for r, _ in MARKET_QUESTIONS.values()):
+        own = [(q, o) for q, (r, o) in MARKET_QUESTIONS.items() if r == role]
+        rows = top(races, "race_id", own) if role == "race" else top(entities.where((c("role") == role) & (c("n") >= least)), "entity_id", own)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def tickets(selections: DataFrame, price: float) -> DataFrame:

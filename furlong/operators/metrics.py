@@ -68,14 +68,15 @@ def trend_label(c: Column) -> Column:
     return F.when(c > 2, "improving").when(c < -2, "declining").when(c.isNotNull(), "stable")
 
 
-def horse_metrics(starts: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Metrics of each horse within each scope, and over all breeds ('*').
+def horse_metrics(starts: DataFrame, scope: list[str] | None = None, both: bool = True) -> DataFrame:
+    """Metrics of each horse within each scope, by breed and, unless `both` is false, over all breeds ('*') too.
 
     One shuffle by scope, breed and horse serves the ranking window and the aggregation. Needs
     with_field on the starts.
     """
     keys = [*(scope or []), "breed", "horse_id"]
-    s = starts.withColumn("speed_index", speed_index(starts)).withColumn("difficulty", x.difficulty_index(F.col("mean_rating"), F.col("field_size"), F.lit("other"))).withColumn("breed", F.explode(F.array("breed", F.lit("*"))))
+    s = starts.withColumn("speed_index", speed_index(starts)).withColumn("difficulty", x.difficulty_index(F.col("mean_rating"), F.col("field_size"), F.lit("other")))
+    s = s.withColumn("breed", F.explode(F.array("breed", F.lit("*")))) if both else s
     w = latest(keys)
     s = s.withColumn("rn", F.row_number().over(w)).withColumn("previous", F.lead("race_date").over(w)).withColumn("last", F.max("race_date").over(Window.partitionBy(keys)))
     rn, f = F.col("rn"), F.col("finish")
@@ -149,6 +150,7 @@ def sex_metrics(starts: DataFrame, composition: DataFrame, factor: DataFrame) ->
     return s.groupBy("horse_id").agg(
         F.avg(q).alias("base"), (F.avg(q) + F.avg(credit)).alias("adjusted"), only(F.col("females") == 0).alias("male_only"), only(F.col("males") == 0).alias("female_only"), only(F.col("mixed")).alias("mixed"),
         only(others_m > 0).alias("vs_males"), only(others_f > 0).alias("vs_females"), F.avg(F.when(others_m > 0, f)).alias("vs_males_finish"), F.avg(F.when(others_m > 0, (f == 1).cast("int"))).alias("vs_males_win"), F.avg(F.when(others_m > 0, (f <= 3).cast("int"))).alias("vs_males_podium"),
+        F.avg(F.when(others_f > 0, f)).alias("vs_females_finish"), F.avg(F.when(others_f > 0, (f == 1).cast("int"))).alias("vs_females_win"), F.avg(F.when(others_f > 0, (f <= 3).cast("int"))).alias("vs_females_podium"), F.count("*").alias("starts"),
     )
 
 
@@ -198,17 +200,28 @@ def breeding_value(offspring: DataFrame) -> DataFrame:
     return offspring.rollup("parent_id", "breed").agg(F.count("*").alias("offspring"), F.count_if(F.col("starts") > 0).alias("raced"), F.count_if(F.col("wins") > 0).alias("winning"), F.sum("starts").alias("starts"), F.sum("wins").alias("wins"), value.alias("value"), (F.sum("wins") / F.sum("starts")).alias("win_rate")).where("parent_id is not null")
 
 
-def benchmarks(metrics: DataFrame, season: str, breed: str, values: list[str]) -> DataFrame:
-    """Each value against its season and breed averages, in long form."""
-    long = metrics.unpivot(["horse_id", season, breed], values, "metric", "value")
-    s, b = Window.partitionBy("metric", season), Window.partitionBy("metric", breed)
-    return long.withColumn("season_avg", F.avg("value").over(s)).withColumn("breed_avg", F.avg("value").over(b)).withColumn("delta", F.col("value") - F.col("season_avg"))
+def benchmarks(metrics: DataFrame, groups: list[str], values: list[str], career: DataFrame | None = None) -> DataFrame:
+    """Each value against the averages of its groups (season, breed, preferred distance and track) and its own career, in long form.
+
+    Averages are aggregated and joined back, so no window holds a metric's all rows. `<group>_avg`
+    beside each value; delta is to the first group. `career` has horse_id and the same values.
+    """
+    long = metrics.unpivot(["horse_id", *groups], values, "metric", "value")
+    out = long
+    for g in groups:
+        out = out.join(long.groupBy("metric", g).agg(F.avg("value").alias(f"{g}_avg")), ["metric", g], "left")
+    if career is not None:
+        out = out.join(career.unpivot(["horse_id"], values, "metric", "career"), ["horse_id", "metric"], "left")
+    return out.withColumn("delta", F.col("value") - F.col(f"{groups[0]}_avg"))
 
 
 def feature_store(metrics: DataFrame, existing: DataFrame | None, version: str, values: list[str], force: bool = False) -> DataFrame:
-    """Metrics as (horse_id, feature, value, version) rows; rows that exist in this version are left unless forced."""
+    """The store after an upsert of metrics as (horse_id, feature, value, version) rows; rows that exist in this version stay unless forced."""
+    keys = ["horse_id", "feature", "version"]
     new = metrics.unpivot(["horse_id"], values, "feature", "value").withColumn("version", F.lit(version))
-    return new if existing is None or force else new.join(existing, ["horse_id", "feature", "version"], "left_anti")
+    if existing is None:
+        return new
+    return existing.join(new, keys, "left_anti").unionByName(new) if force else existing.unionByName(new.join(existing, keys, "left_anti"))
 
 
 def time_split(rows: DataFrame, date: str = "race_date", train: float = 0.7, valid: float = 0.15) -> DataFrame:
