@@ -178,7 +178,11 @@ def _often(k: int, share: float, at_once: int = 2_000_000):
 
 
 def _entries(k: int, percent: int, heavy):
-    """Each set's prefix, rarest shingles first: (bucket, n, sid); heavy shingles have a bucket for each pair of blocks."""
+    """Each set's prefix, rarest shingles first: (bucket, m, sid); heavy shingles have a bucket for each pair of blocks.
+
+    m is twice the set's size, and one more where only a smaller set may meet it: of two linked
+    sets, the smaller shares one of its first n - ceil(2 t / (1 + t) n) + 1 shingles.
+    """
 
     def run(batches):
         tokens, counts = heavy.value
@@ -200,6 +204,8 @@ def _entries(k: int, percent: int, heavy):
                 # sets are sorted by hash, so that a stable sort by count orders ties alike everywhere
                 chosen = np.argsort(hot, kind="stable")[:need] if hot.any() else np.arange(need)
                 own, many = s[chosen], -(-hot[chosen] // BLOCK_DOCS)
+                late = np.arange(need) > len(s) - -(-2 * percent * len(s) // (100 + percent))
+                late = np.append(late[many <= 1], np.repeat(late[many > 1], many[many > 1]))
                 for t, g in zip(own[many > 1], many[many > 1].tolist()):
                     block = sid % g
                     others = np.arange(g)
@@ -208,11 +214,11 @@ def _entries(k: int, percent: int, heavy):
                 own = np.concatenate([own[: len(chosen)][many <= 1], own[len(chosen) :]])
                 buckets.append(own)
                 sids.append(np.full(len(own), sid, np.int64))
-                sizes.append(np.full(len(own), len(s), np.int32))
+                sizes.append((2 * len(s) + late).astype(np.int32))
             if buckets:
                 b, s, n = np.concatenate(buckets).view(np.int64), np.concatenate(sids), np.concatenate(sizes)
                 for at in range(0, len(b), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (b, n, s)], names=["bucket", "n", "sid"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (b, n, s)], names=["bucket", "m", "sid"])
 
     return run
 
@@ -235,21 +241,29 @@ def _whole_runs(batches):
 
 
 def _shared(percent: int):
-    """Sorted (bucket, n, sid) -> rows of buckets with two sets or more of sizes that can link.
+    """Sorted (bucket, m, sid) -> rows of buckets with two sets or more of sizes that can link.
 
     Sizes in order are cut where neighbours differ too much to link, so a bucket becomes one
-    or several. `leader` is the first set of the bucket, or the one before where the first is
-    too small to link.
+    or several; rows before the first that may be the smaller set of a link have no partner.
+    `leader` is the first set of the bucket, or the one before where the first is too small to
+    link.
     """
+    apart = lambda b, n: np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (100 * n[:-1] < percent * n[1:])))
 
     def run(batches):
         for t in _whole_runs(batches):
-            b, n, s = (t.column(i).to_numpy() for i in range(3))
+            b, m, s = (t.column(i).to_numpy() for i in range(3))
             if not len(b):
                 continue
             new = np.append(True, (b[1:] != b[:-1]) | (s[1:] != s[:-1]))
-            b, n, s = b[new], n[new].astype(np.int64), s[new]
-            starts = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (100 * n[:-1] < percent * n[1:])))
+            b, m, s = b[new], m[new].astype(np.int64), s[new]
+            starts = apart(b, m >> 1)
+            first = np.minimum.reduceat(np.where(m & 1, len(m), np.arange(len(m))), starts)
+            keep = np.arange(len(m)) >= np.repeat(first, np.diff(np.append(starts, len(m))))
+            b, n, s = b[keep], m[keep] >> 1, s[keep]
+            if not len(b):
+                continue
+            starts = apart(b, n)
             sizes = np.diff(np.append(starts, len(b)))
             many = np.repeat(sizes > 1, sizes)
             first, before = np.repeat(starts, sizes), np.maximum(np.arange(len(b)) - 1, 0)
@@ -439,7 +453,8 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
 
     1. Equal sets (128 bits) collapse to their smallest document, so copies cost nothing
        further on.
-    2. Linked sets share a shingle of their prefixes (the rarest n - ceil(t n) + 1). Frequent
+    2. Linked sets share a shingle of their prefixes (the rarest n - ceil(t n) + 1, and fewer for
+       the smaller of the two). Frequent
        shingles, counted over all documents, come last in the order; that changes which
        buckets arise, never whether a pair meets. Buckets of one set fall away.
     3. Candidate clusters: in each bucket a star, then signature trees (OR-combined bitmaps and
@@ -470,9 +485,9 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
     tokens, counts = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     order = np.argsort(tokens)
     heavy = spark.sparkContext.broadcast((tokens[order], counts[order]))
-    entries = texts.where("doc_id is not null").mapInArrow(_entries(k, percent, heavy), "bucket long, n int, sid long")
+    entries = texts.where("doc_id is not null").mapInArrow(_entries(k, percent, heavy), "bucket long, m int, sid long")
     by = lambda df, key, *order: df.repartition(partitions(spark), key).sortWithinPartitions(key, *order)
-    shared = written(by(entries, "bucket", "n", "sid").mapInArrow(_shared(percent), "bucket long, sid long, leader long"), "buckets")
+    shared = written(by(entries, "bucket", "m", "sid").mapInArrow(_shared(percent), "bucket long, sid long, leader long"), "buckets")
     signatures = written(rows.select("sid", "check", "n", "bits").join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid", "check"]), "shared-signatures")
 
     side = lambda x: signatures.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
