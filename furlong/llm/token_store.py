@@ -23,7 +23,7 @@ BLOCK = 1024
 #: A row of the file closes with the document that takes it past so many ids.
 ROW_IDS = 1 << 17
 #: Words whose ids a Python worker remembers at most.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 
 FILE_SCHEMA = "part int, seq int, first long, n_ids long, block_words binary, words binary, exceptions binary, doc_ids array<long>, doc_lens array<long>"
 
@@ -97,7 +97,9 @@ def unpack(words: np.ndarray, block_words: np.ndarray, exceptions: np.ndarray, n
 
 #: Byte-level vocabularies write a byte as the printable character of its number, the others as U+0100 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTED)}
+_BYTE_CHARS = np.arange(0x100, dtype="<u4")
+_BYTE_CHARS[[b for b in range(0x100) if b not in _PRINTED]] = 0x100 + np.arange(0x100 - len(_PRINTED))
+_BYTE_CHARS[0x20] = 0x20  # only ever between pre-tokens
 
 
 class Numbers(dict):
@@ -153,7 +155,9 @@ class WordIds:
 
     def learn(self, new: list[str]) -> None:
         """Ids of new pre-tokens, encoded as one text and cut after each last id of a pre-token."""
-        text = " ".join(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_CHARS) for p in new)
+        text = " ".join(new)  # a pre-token holds no space
+        if not (text.isascii() and text.isprintable()):
+            text = _BYTE_CHARS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
         ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
         lens = np.diff(np.append(0, ends))
