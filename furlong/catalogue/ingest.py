@@ -229,18 +229,6 @@ def q06_conflicts(spark, d):
     return q.conflicts(a, other, "race_id", "breed", spark.createDataFrame([("site", 1), ("club", 2)], "source string, priority int"))
 
 
-@c.query("""
-with g as (select horse_id, count(*) n, sum(earnings) e, count(*) filter (finish = 1) w from starts group by 1), s as (select *, avg(e) over () + 4 * stddev_pop(e) over () cap from g)
-select 'single_start' as "check", horse_id as id from s where n = 1 union all select 'perfect_single', horse_id from s where n = 1 and w = 1 union all select 'earnings_outlier', horse_id from s where e > cap and n <= 2 union all select 'many_starts', horse_id from s where n >= 40
-""")
-def q07_validate_metrics(spark, d):
-    g = t.starts(spark, d).groupBy("horse_id").agg(F.count("*").alias("n"), F.sum("earnings").alias("e"), F.count_if(F.col("finish") == 1).alias("w"))
-    cap = g.agg((F.avg("e") + 4 * F.stddev_pop("e")).alias("cap"))  # one row
-    one = F.col("n") == 1
-    rules = {"single_start": ("warning", one), "perfect_single": ("warning", one & (F.col("w") == 1)), "earnings_outlier": ("warning", (F.col("e") > F.col("cap")) & (F.col("n") <= 2)), "many_starts": ("warning", F.col("n") >= 40)}
-    return q.row_checks(g.crossJoin(F.broadcast(cap)), "horse", "horse_id", rules).select("check", "id")
-
-
 @c.query("select 'rating' as \"column\", round(avg(case when rating is not null then 1 else 0 end), 6) filled from results union all select 'weight', 1.0 union all select 'finish', 1.0")
 def q16_fill_audit(spark, d):
     return q.fill_audit(t.results(spark, d), ["rating", "weight", "finish"]).withColumn("filled", F.round("filled", 6))
@@ -410,13 +398,6 @@ def i16_collisions(spark, d):
     return ids.collisions(names(spark, d), ["sex", "year"])
 
 
-@c.query("with " + NAMES + "select 'horse' kind, k as key, min(id) id, count(*) aliases from nm group by 2 union all select 'trainer', trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')), min(s_suppkey), count(*) from supplier group by 2")
-def i17_entity_registry(spark, d):
-    """With I15: tracks have the same registry."""
-    s = t.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return ids.entity_registry({"horse": t.horses(spark, d).select(F.col("horse_id").alias("id"), "name"), "trainer": s})
-
-
 @c.query("with " + NAMES + "select id, k as key from nm where contains(k, 'brand') order by case when k = 'brand' then 1 else 0 end desc, length(k), id limit 20")
 def i18_search_names(spark, d):
     return ids.search_names(names(spark, d).select("id", "key"), "brand", 20)

@@ -95,11 +95,6 @@ def l12_horse_analysis(spark, d):
     return o.groupBy("horse_id").agg(F.count("*").alias("appearances"), F.max("race_date").alias("last_day"), F.max_by("career_starts", F.struct("race_date", "race_id", "result_id")).alias("career_starts"))
 
 
-@c.query("select race_id, course, race_date from races order by race_id limit 50 offset 100")
-def l13_list_races(spark, d):
-    return t.races(spark, d).select("race_id", "course", "race_date").orderBy("race_id").offset(100).limit(50)
-
-
 @c.query("""
 with k as (select race_date, row_number() over (order by race_date) i, count(*) over () n from (select distinct race_date from races)), s as (select starts.*, case when i <= floor(n * 0.7) then 'TRAIN' when i <= floor(n * 0.85) then 'VALID' else 'TEST' end split from starts join k using (race_date))
 select count(*) as rows, count(distinct horse_id) horses, count(distinct race_id) races, count(distinct course) tracks, count(distinct trainer_id) trainers, count(distinct owner_id) owners, count(*) filter (split = 'TRAIN') train, count(*) filter (split = 'VALID') valid, count(*) filter (split = 'TEST') test from s

@@ -179,7 +179,7 @@ def entity_registry(parts: dict[str, DataFrame]) -> DataFrame:
     for kind, df in parts.items():
         r = df.select(F.lit(kind).alias("kind"), x.normalize_name(F.col("name")).alias("key"), "id", "name").where("key != ''")
         out = r if out is None else out.unionByName(r)
-    return out.groupBy("kind", "key").agg(F.min("id").alias("id"), F.count("*").alias("aliases"))
+    return out.groupBy("kind", "key").agg(F.min("id").alias("id"), F.countDistinct("name").alias("aliases"))
 
 
 def search_names(directory: DataFrame, q: str, n: int) -> DataFrame:

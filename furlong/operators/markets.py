@@ -207,4 +207,4 @@ def upcoming(program: DataFrame, now: Column, days: int) -> DataFrame:
 
 def future_five(program: DataFrame, now: Column) -> DataFrame:
     """Meetings whose next legs are exactly five."""
-    return program.where(c("starts_at") > now).groupBy("meeting_id").agg(F.count("*").alias("legs")).where("legs = 5")
+    return program.where(c("starts_at") > now).groupBy("meeting_id").agg(F.count("*").alias("legs"), F.min("starts_at").alias("first_start")).where("legs = 5")
