@@ -50,6 +50,7 @@ def test_quality_stage_drops_what_is_rejected(spark, folder):
     got = rows_of(cp.quality_stage(spark, docs, path))
     assert got == sorted((r for r in rows if r[0] is None or r[0] not in rejected), key=str) and rejected
     texts = {r[0]: r[1] for r in rows if r[0] != 5}
+    rejected -= {5}
     assert sum("%%%" in (texts[i] or "") or "idiot" in (texts[i] or "") for i in rejected) / len(rejected) > 0.9
 
 
