@@ -146,6 +146,7 @@ def temp_range(c: Column) -> Column:
     return F.when(c.isNull(), "unknown").when(c < 10, "cold").when(c < 18, "cool").when(c < 25, "mild").when(c < 32, "warm").otherwise("hot")
 
 
+#: The points of the compass from north on.
 COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
 
 
@@ -155,7 +156,7 @@ def wind_compass(degrees: Column) -> Column:
 
 
 #: Letters that are written alike in Persian, and what is removed or kept as a digit.
-LETTERS = ("كيىةؤإأآٱۀ", "کییهواااا" + "ه")
+LETTERS = ("كيىةؤإأآٱۀ", "کییهوااااه")
 REMOVED = "​‌‍﻿⁠­ءٰٔ"
 DIGITS = ("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
 
@@ -278,14 +279,18 @@ def dq_label(missing: Column, n: Column) -> Column:
     return F.when(n <= 0, "insufficient").when(missing > 0.4, "poor").when(missing > 0.2, "fair").when(n < 5, "limited_sample").otherwise("good")
 
 
+#: How a race's name states its restrictions.
+AGE_PATTERN = r"(?i)(?:(\d+)\s*ساله)|(?:(\d+)\s*year)|(?:age[s]?\s*(\d+))"
+SEX_PATTERN = r"(?i)(مادیان|نریان|filly|mare|colt|gelding|female|male|fillies|mares)"
+
+
 def age_restriction(name: Column) -> Column:
-    p = r"(?i)(?:(\d+)\s*ساله)|(?:(\d+)\s*year)|(?:age[s]?\s*(\d+))"
-    found = F.concat(*(F.regexp_extract(name, p, i) for i in (1, 2, 3)))
+    found = F.concat(*(F.regexp_extract(name, AGE_PATTERN, i) for i in (1, 2, 3)))
     return F.when(found != "", F.concat(found, F.lit("yo")))
 
 
 def sex_restriction(name: Column) -> Column:
-    found = F.regexp_extract(name, r"(?i)(مادیان|نریان|filly|mare|colt|gelding|female|male|fillies|mares)", 1)
+    found = F.regexp_extract(name, SEX_PATTERN, 1)
     return F.when(found != "", F.lower(found))
 
 
