@@ -8,6 +8,7 @@ from ..operators import identity as ids
 from ..operators import ingest as i
 from ..operators import metrics as m
 from ..operators import quality as q
+from ..operators import summaries as u
 from ..operators import tracks as tr
 from ..operators.graph import connected_components
 from ..sources import tables as t
@@ -423,16 +424,19 @@ def e24_pedigree_coverage(spark, d):
 with p as (select horse_id, breed, count(*) n from starts group by 1, 2) select horse_id, arg_max(breed, (n, breed)) breed, max(n) starts from p where n >= 3 group by 1
 """)
 def e32_best_per_horse(spark, d):
-    p = t.starts(spark, d).groupBy("horse_id", "breed").agg(F.count("*").alias("starts")).where("starts >= 3")
-    return p.groupBy("horse_id").agg(F.max_by("breed", F.struct("starts", "breed")).alias("breed"), F.max("starts").alias("starts"))
+    return u.offspring_targets(t.starts(spark, d))
+
+
+@c.query("with r as (select 'SIRE' role, sire_id parent_id from horses union all select 'DAM', dam_id from horses) select parent_id, count(*) relations, string_agg(distinct role, ',' order by role) roles from r group by 1")
+def e32_parent_targets(spark, d):
+    h = t.horses(spark, d)
+    role = lambda k, n: h.select(F.col(k).alias("parent_id"), F.lit(n).alias("role"))
+    return u.parent_targets(role("sire_id", "SIRE").unionByName(role("dam_id", "DAM")))
 
 
 @c.query("""
 select race_id, 10 - (case when distance is null then 1 else 0 end) - 3 - (case when prize > 150000 then 1 else 0 end) have, case when prize > 150000 then 'age_restriction,race_value,sex_restriction,weather' else 'age_restriction,sex_restriction,weather' end missing from races
 """)
 def e18_classify_races(spark, d):
-    r = t.races(spark, d)
-    none = F.lit(None).cast("string")
-    fields = {"distance": F.col("distance"), "surface": F.col("breed"), "class_code": x.race_class(F.col("name")), "age_restriction": x.age_restriction(F.col("name")), "breed": F.col("breed"), "sex_restriction": x.sex_restriction(F.col("name")), "track_condition": F.lit("dry"), "weather": none, "race_value": F.when(F.col("prize") <= 150000, F.col("prize")), "difficulty": F.lit(1)}
-    missing = F.array_sort(F.array_compact(F.array(*(F.when(v.isNull(), F.lit(k)) for k, v in fields.items()))))
-    return r.select("race_id", (F.lit(len(fields)) - F.size(missing)).alias("have"), F.array_join(missing, ",").alias("missing"))
+    fields = u.race_fields(F.lit(None).cast("string"), F.lit("dry"), F.when(F.col("prize") <= 150000, F.col("prize")), F.lit(1))
+    return u.classify_races(t.races(spark, d), fields)
\ No newline at end of file

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as x
 from ..operators import boards as b
 from ..operators import metrics as m
+from ..operators import summaries as u
 from ..sources import tables as t
 from .common import Catalogue
 
@@ -127,14 +128,16 @@ def e02_horse_career(spark, d):
 
 @c.query("select horse_id, distance, count(*) starts, count(*) filter (finish = 1) wins, round(avg(finish), 6) avg_finish from starts group by 1, 2")
 def e03_horse_distance(spark, d):
-    return t.starts(spark, d).groupBy("horse_id", "distance").agg(F.count("*").alias("starts"), F.count_if(F.col("finish") == 1).alias("wins"), F.round(F.avg("finish"), 6).alias("avg_finish"))
+    return u.horse_distance(t.starts(spark, d)).withColumn("avg_finish", F.round("avg_finish", 6))
 
 
-@c.query("select trim(s_name) as name, count(*) starts, count(*) filter (finish = 1) wins, round(count(*) filter (finish = 1) / count(*), 6) win_rate from starts join supplier on trainer_id = s_suppkey group by 1")
+@c.query("with r as (select 'trainer_id' role, trim(s_name) as name, finish from starts join supplier on trainer_id = s_suppkey union all select 'jockey_id', 'rider ' || (jockey_id % 20), finish from starts) select role, name, count(*) starts, count(*) filter (finish = 1) wins, round(count(*) filter (finish = 1) / count(*), 6) win_rate from r group by 1, 2")
 def e04_people_stats(spark, d):
-    names = t.read(spark, d, "supplier").select(F.col("s_suppkey").alias("trainer_id"), F.trim("s_name").alias("name"))
-    s = t.starts(spark, d).groupBy("trainer_id").agg(F.count("*").alias("n"), F.count_if(F.col("finish") == 1).alias("w"))  # smaller before the join
-    return s.join(names, "trainer_id").groupBy("name").agg(F.sum("n").alias("starts"), F.sum("w").alias("wins"), F.round(F.sum("w") / F.sum("n"), 6).alias("win_rate"))
+    """Trainers and jockeys by trimmed name."""
+    s, names = t.starts(spark, d), t.read(spark, d, "supplier").select(F.col("s_suppkey").alias("trainer_id"), F.col("s_name").alias("name"))
+    riders = s.select("jockey_id", F.concat(F.lit(" rider "), (F.col("jockey_id") % 20).cast("string")).alias("name")).distinct()
+    both = u.people_stats(s, names, "trainer_id").unionByName(u.people_stats(s, riders, "jockey_id"))
+    return both.withColumn("win_rate", F.round("win_rate", 6))
 
 
 def weather_starts(spark, d):
@@ -280,10 +283,12 @@ def g09_breeding_boards(spark, d):
     return b.breeding_boards(m.breeding_value(offspring(spark, d)).where("breed is not null")).select("board", "breed", "parent_id", F.round("value", 6).alias("value"), "rank")
 
 
-@c.query("select sire_id, count(distinct horse_id) offspring, count(*) starts, count(*) filter (finish = 1) wins, count(*) filter (finish <= 3) top3, round(count(*) filter (finish = 1) / count(*), 6) win_rate from starts join horses using (horse_id) group by 1")
+@c.query("with r as (select 'sire_id' role, sire_id parent_id, horse_id from horses union all select 'dam_id', dam_id, horse_id from horses) select role, parent_id, count(distinct horse_id) offspring, count(*) starts, count(*) filter (finish = 1) wins, count(*) filter (finish <= 3) top3, round(count(*) filter (finish = 1) / count(*), 6) win_rate, round(count(*) filter (finish <= 3) / count(*), 6) top3_rate from starts join r using (horse_id) group by 1, 2")
 def e23_offspring_stats(spark, d):
-    s = t.starts(spark, d).join(t.horses(spark, d).select("horse_id", "sire_id"), "horse_id")
-    return s.groupBy("sire_id").agg(F.countDistinct("horse_id").alias("offspring"), F.count("*").alias("starts"), F.count_if(F.col("finish") == 1).alias("wins"), F.count_if(F.col("finish") <= 3).alias("top3"), F.round(F.count_if(F.col("finish") == 1) / F.count("*"), 6).alias("win_rate"))
+    """Sires and dams."""
+    h = t.horses(spark, d)
+    relations = h.unpivot(["horse_id"], ["sire_id", "dam_id"], "role", "parent_id")
+    return u.offspring_stats(relations, t.starts(spark, d)).withColumns({k: F.round(k, 6) for k in ("win_rate", "top3_rate")})
 
 
 @c.query("""
@@ -292,11 +297,8 @@ p as (select breed, horse_id, n, round(top[1], 6) peak, round(list_avg(top), 6)
 select *, cast(row_number() over (partition by breed order by peak desc, top3 desc, horse_id) as int) as rank from p qualify rank <= 10
 """)
 def g10_fastest(spark, d):
-    """With C3, plausible clocks; three highest speeds come from a bounded rank."""
-    s = m.plausible(t.starts(spark, d)).select("breed", "horse_id", (F.col("distance") / F.col("time_s")).alias("v"), "result_id")
-    s = s.withColumn("rn", F.row_number().over(Window.partitionBy("breed", "horse_id").orderBy(F.desc("v"), "result_id")))
-    p = s.groupBy("breed", "horse_id").agg(F.count("*").alias("n"), F.round(F.max("v"), 6).alias("peak"), F.round(F.avg(F.when(F.col("rn") <= 3, F.col("v"))), 6).alias("top3"), F.round(F.avg("v"), 6).alias("avg_speed")).withColumnRenamed("n", "starts")
-    return b.board(p, ["breed"], 3, b.orders(["-peak", "-top3", "horse_id"]), 10, "fastest").select("breed", "horse_id", F.col("starts").alias("n"), "peak", "top3", "avg_speed", "rank")
+    """With C3, plausible clocks."""
+    return u.fastest(t.starts(spark, d)).select("breed", "horse_id", F.col("starts").alias("n"), "peak", "top3", "avg_speed", "rank")
 
 
 @c.query("""
@@ -304,8 +306,7 @@ with w as (select breed, distance, horse_id, min(round(time_s, 6)) best from sta
 select *, cast(row_number() over (partition by breed, distance order by best, horse_id) as int) as rank from w qualify rank <= 10
 """)
 def g11_distance_records(spark, d):
-    w = t.starts(spark, d).where(F.col("distance").isin(1000, 1200, 1400, 1600, 1800, 2000, 2400) & (F.col("finish") == 1)).groupBy("breed", "distance", "horse_id").agg(F.min(F.round("time_s", 6)).alias("best"), F.count("*").alias("starts"))
-    return b.board(w, ["breed", "distance"], 1, b.orders(["best", "horse_id"]), 10, "records").select("breed", "distance", "horse_id", "best", "rank")
+    return u.distance_records(t.starts(spark, d)).select("breed", "distance", "horse_id", "best", "rank")
 
 
 @c.query("""
@@ -357,15 +358,14 @@ def e20_feature_store(spark, d):
 
 @c.query("select count(distinct race_date) race_days, count(distinct horse_id) horses, count(distinct course) courses, count(distinct trainer_id) trainers from starts")
 def e28_totals(spark, d):
-    return t.starts(spark, d).agg(*(F.countDistinct(k).alias(v) for k, v in (("race_date", "race_days"), ("horse_id", "horses"), ("course", "courses"), ("trainer_id", "trainers"))))
+    return u.totals(t.starts(spark, d))
 
 
 @c.query("""
 with p as (select horse_id, breed, count(*) n from starts group by 1, 2), q as (select horse_id, first(breed order by n desc, breed) breed from p group by 1) select breed, count(*) horses from q group by 1
 """)
 def e28_primary_breed(spark, d):
-    p = t.starts(spark, d).groupBy("horse_id", "breed").agg(F.count("*").alias("n"))
-    return p.groupBy("horse_id").agg(F.min_by("breed", F.struct(-F.col("n"), "breed")).alias("breed")).groupBy("breed").agg(F.count("*").alias("horses"))
+    return u.primary_breed(t.starts(spark, d)).groupBy("breed").agg(F.count("*").alias("horses"))
 
 
 @c.query("with " + FIELD + """, r as (select horse_id, cast(row_number() over (order by wins desc, starts desc, horse_id) as int) as rank from metrics where breed = '*') select rank, horse_id from r where rank <= 5""")

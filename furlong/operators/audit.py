@@ -42,7 +42,7 @@ def gaps(races: DataFrame) -> DataFrame:
     """City-months without a race inside months in which another city raced."""
     months = races.select(F.year("race_date").alias("year"), F.month("race_date").alias("month"), F.col("course").alias("city")).distinct()
     cities = months.select("city").distinct()
-    return months.select("year", "month").distinct().crossJoin(F.broadcast(cities)).join(months, ["year", "month", "city"], "left_anti")
+    return months.select("year", "month").distinct().crossJoin(cities).join(months, ["year", "month", "city"], "left_anti")
 
 
 def career_audit(starts: DataFrame, n: int, seed: int) -> DataFrame:

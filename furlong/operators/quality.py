@@ -22,8 +22,8 @@ def hour_snapshot(df: DataFrame, hours: str, values: str, hour: int) -> Column:
 
 
 def calendar_grid(years: DataFrame, cities: DataFrame) -> DataFrame:
-    """Year x month x city; the city list is a dimension of fixed size."""
-    return years.select("year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")).crossJoin(F.broadcast(cities))
+    """Year x month x city; Spark broadcasts the smaller side while it is small."""
+    return years.select("year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")).crossJoin(cities)
 
 
 def missing_ranges(races: DataFrame, observed: DataFrame, lookback: int) -> DataFrame:
