@@ -479,8 +479,9 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
     rows = written(texts.mapInArrow(_signatures(k), "doc_id long, n long, sid long, check long, bits binary"), "signatures")
-    sets = rows.where("sid is not null and doc_id is not null").groupBy("sid", "check").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    floor = max(64, int(HEAVY_SHARE * rows.count()))
+    ids = written(rows.select("doc_id", "n", "sid", "check"), "ids")
+    sets = ids.where("sid is not null and doc_id is not null").groupBy("sid", "check").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    floor = max(64, int(HEAVY_SHARE * ids.count()))
     often = texts.mapInArrow(_often(k, HEAVY_SHARE), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= floor).toArrow()
     tokens, counts = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     order = np.argsort(tokens)
@@ -489,6 +490,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
     by = lambda df, key, *order: df.repartition(partitions(spark), key).sortWithinPartitions(key, *order)
     shared = written(by(entries, "bucket", "m", "sid").mapInArrow(_shared(percent), "bucket long, sid long, leader long"), "buckets")
     signatures = written(rows.select("sid", "check", "n", "bits").join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid", "check"]), "shared-signatures")
+    forget(rows)
 
     side = lambda x: signatures.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
     stars = shared.where("sid != leader").select(F.least("leader", "sid").alias("a"), F.greatest("leader", "sid").alias("b")).distinct()
@@ -518,7 +520,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT
         pairs = large.select("*", other.alias("other")).withColumn("key", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")))
         components = connected_components(links.union(written(joined(pairs), "links")))
     of_set = sets.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sid", "check", F.coalesce("component", "doc_id").alias("component"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "sid", "check").join(of_set, ["sid", "check"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return ids.select("doc_id", F.col("n").alias("n_shingles"), "sid", "check").join(of_set, ["sid", "check"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def brute(rows: list[tuple], k: int = SHINGLE_WORDS, percent: int = PERCENT) -> dict:
