@@ -1,7 +1,5 @@
 """Registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from pyspark.sql import functions as F
-
 from . import chat, decontamination, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, substring_dedup, token_store
 from .common import read, shared_folder, written
 
