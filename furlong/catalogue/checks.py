@@ -6,6 +6,7 @@ from ..functions import scalars as x
 from ..operators import boards as b
 from ..operators import checks as k
 from ..operators import identity as ids
+from ..operators import ingest as i
 from ..operators import markets as mk
 from ..operators import prerace as pre
 from ..operators import priors as p
@@ -104,3 +105,27 @@ def i17_entity_registry(spark, d):
 def b19_bands(spark, d):
     m = metrics(spark, d).where("breed = '*'").withColumn("confidence", x.confidence(F.col("starts"), F.when(F.col("slope").isNull(), 0.5).otherwise(0.0), F.lit(1.0)))
     return m.select("horse_id", *r4("confidence"), x.confidence_band(F.col("confidence")).alias("band"), x.market_band(F.col("rating")).alias("market_band"))
+
+
+@c.query("""
+with o as (select user_id k, value, ts, event_id, lag(value) over w pv, row_number() over w r from events window w as (partition by user_id order by ts, event_id)),
+v as (select *, row_number() over (partition by k order by ts, event_id) version from o where r = 1 or value <> pv)
+select k, value, cast(version as int) version from v qualify version = max(version) over (partition by k)
+""", base=False)
+def a05_current_rows(spark, d):
+    """The current version of each key, from one append of the whole feed."""
+    e = t.read(spark, d, "events").select(F.col("user_id").alias("k"), "value", F.struct("ts", "event_id").alias("at"))
+    return i.current_rows(i.scd2_append(None, e, ["k"], ["value"], "at")).select("k", "value", "version")
+
+
+STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@c.query(" union all ".join(f"select '{n}' as name, count(*) as rows from {n}" for n in STAR), base=False)
+def a01_tables(spark, d):
+    """Rows of every table of the star schema; only counts leave the scans."""
+    counts = [df.agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n, df in t.read_tables(spark, d, STAR).items()]
+    out = counts[0]
+    for df in counts[1:]:
+        out = out.unionByName(df)
+    return out

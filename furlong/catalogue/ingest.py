@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as x
 from ..operators import identity as ids
 from ..operators import ingest as i
-from ..operators import metrics as m
 from ..operators import quality as q
 from ..operators import summaries as u
 from ..operators import tracks as tr

@@ -6,8 +6,6 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as x
-from ..operators import ingest as i
 from ..operators import markets as mk
 from ..operators import metrics as m
 from ..operators import priors as p

@@ -1,6 +1,5 @@
 """Queries over starts: joins, aggregations, windows, boards."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
