@@ -228,7 +228,7 @@ def time_split(rows: DataFrame, date: str = "race_date", train: float = 0.7, val
     """Chronological split on distinct dates. The frame of distinct dates is small by nature and is ranked alone."""
     w = Window.orderBy(date)
     dates = rows.select(date).distinct().select(date, F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    split = F.when(F.col("i") <= F.floor(F.col("n") * train), "TRAIN").when(F.col("i") <= F.floor(F.col("n") * (train + valid)), "VALID").otherwise("TEST")
+    split = F.when(F.col("i") <= F.floor(F.round(F.col("n") * train, 6)), "TRAIN").when(F.col("i") <= F.floor(F.round(F.col("n") * (train + valid), 6)), "VALID").otherwise("TEST")
     return rows.join(dates.select(date, split.alias("split")), date)
 
 
