@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, released, written
 
 WINDOW = 10
 #: Characters of benchmark text that go into one automaton; more items are dealt over several.
@@ -107,7 +107,7 @@ def _scan(shared):
             found = [find(t, machine) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([[{"first": a, "last": b - 1} for a, b in f[1]] for f in found], schema.field(2).type), pa.array([[{"start": a, "end": b} for a, b in f[2]] for f in found], schema.field(3).type), pa.array([f[3] for f in found], schema.field(4).type)], schema=schema)
 
-    return run
+    return released(run)
 
 
 def _union(spans: str, start: str, end: str, gap: int) -> F.Column:

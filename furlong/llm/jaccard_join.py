@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import forget, id_and_text, partitions, written
+from .common import forget, id_and_text, partitions, released, written
 from .shingles import chunks, mix, shingle_sets
 
 SHINGLE_WORDS, PERCENT = 5, 75
@@ -137,7 +137,7 @@ def _signatures(k: int):
             c = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.binary())], names=["doc_id", "n", "sid", "check", "bits"])
 
-    return run
+    return released(run)
 
 
 def _tokens(k: int):
@@ -150,7 +150,7 @@ def _tokens(k: int):
                 c = list(zip(*rows[at : at + 500]))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.binary())], names=["doc_id", "sid", "check", "tokens"])
 
-    return run
+    return released(run)
 
 
 def _often(k: int, share: float, at_once: int = 2_000_000):
@@ -174,7 +174,7 @@ def _often(k: int, share: float, at_once: int = 2_000_000):
         if held:
             yield flush()
 
-    return run
+    return released(run)
 
 
 def _entries(k: int, percent: int, heavy):
@@ -220,7 +220,7 @@ def _entries(k: int, percent: int, heavy):
                 for at in range(0, len(b), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 200_000]) for x in (b, n, s)], names=["bucket", "m", "sid"])
 
-    return run
+    return released(run)
 
 
 def _whole_runs(batches):
@@ -271,7 +271,7 @@ def _shared(percent: int):
             own = mix(b.view(np.uint64) ^ mix(n[first].astype(np.uint64))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(own[many]), pa.array(s[many]), pa.array(leader[many])], names=["bucket", "sid", "leader"])
 
-    return run
+    return released(run)
 
 
 def _mixed(batches):
@@ -347,7 +347,7 @@ def _candidates(percent: int):
             moved, root = _moved(before, label)
             yield pa.RecordBatch.from_arrays([pa.array(comp[root]), pa.array(comp[moved])], names=["a", "b"])
 
-    return run
+    return released(run)
 
 
 def _possible(percent: int):
@@ -365,7 +365,7 @@ def _possible(percent: int):
                 ok[own] = SignatureTree(np.array([x[i] for x in (na, nb) for i in own]), bits, np.arange(2 * len(own)), levels=1).possible(0, at, at + len(own), percent)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
 
-    return run
+    return released(run)
 
 
 def join_sets(sets: list[np.ndarray], label: np.ndarray, block: np.ndarray, percent: int = PERCENT) -> None:
@@ -442,7 +442,7 @@ def _joined(percent: int):
                     dst.append(doc[s:e][moved])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (src, dst)], names=["src", "dst"])
 
-    return run
+    return released(run)
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .decontamination import _FOLD
 from .shingles import Words, chunks
 
@@ -207,7 +207,7 @@ def _score(shared):
             p = [h.probability(part) for h in heads]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p[0]), pa.array(p[1])], names=["doc_id", "p_bad", "p_toxic"])
 
-    return run
+    return released(run)
 
 
 def _count(shared):
@@ -229,7 +229,7 @@ def _count(shared):
                 ids, values = np.append(word, [-1, -2]), np.append(counts[k, c, word], n[k, c])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k), pa.int32()), pa.array(np.full(len(ids), c), pa.int32()), pa.array(ids, pa.int32()), pa.array(values, pa.int64())], names=["head", "class", "word", "n"])
 
-    return run
+    return released(run)
 
 
 _PICKED = ", ".join(f"index{m} array<int>, y{m} int" for m in ("0", "0m", "1", "1m"))
@@ -253,7 +253,7 @@ def _pick(shared):
                     some |= taught[v] >= 0
             yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(some))
 
-    return run
+    return released(run)
 
 
 def _gradient(weights, share):
@@ -273,7 +273,7 @@ def _gradient(weights, share):
             index = np.flatnonzero(grad)
             yield pa.RecordBatch.from_arrays([pa.array([m] * (len(index) + 1)), pa.array(np.append(index, -1), pa.int32()), pa.array(np.append(grad[index], value))], names=["model", "index", "value"])
 
-    return run
+    return released(run)
 
 
 def _input(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, partitions
+from .common import id_and_text, partitions, released
 
 #: Simple-8b, fixed values: bits of one id and ids in a word, by selector (the top 4 bits).
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -23,7 +23,7 @@ BLOCK = 1024
 #: A row of the file closes with the document that takes it past so many ids.
 ROW_IDS = 1 << 17
 #: Words whose ids a Python worker remembers at most.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 FILE_SCHEMA = "part int, seq int, first long, n_ids long, block_words binary, words binary, exceptions binary, doc_ids array<long>, doc_lens array<long>"
 
@@ -237,7 +237,7 @@ def _file_rows(path: str, end_id: int):
         if held:
             yield row()
 
-    return run
+    return released(run)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
