@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from furlong.catalogue.ingest import keep
 from furlong.operators import graph, identity, ingest, markets, metrics, priors, quality
 from furlong.plans import registry
+from furlong.sources import store
 from furlong.streaming import ingest as streaming
 
 STARTS = "horse_id long, race_id long, result_id long, race_date date, finish int, breed string, course string, distance long, trainer_id long, rating double, weight double"
@@ -87,6 +88,28 @@ def test_components_of_a_long_path(spark):
     assert graph.connected_components(ends).agg(F.count("*"), F.max("component")).first() == (10_001, 0)
 
 
+@pytest.mark.parametrize("place", [lambda c: 9_999 - c, lambda c: F.pmod(c * 7_919, F.lit(10_007))])
+def test_rounds_of_a_long_path_whatever_the_order(spark, place):
+    rounds = []
+
+    def keep(df):
+        if df.columns == ["a", "b"]:
+            rounds.append(1)
+        return store.written(df)
+
+    ends = spark.range(9_999).select(place(F.col("id")).alias("src"), place(F.col("id") + 1).alias("dst"))
+    assert graph.connected_components(ends, keep).agg(F.count("*"), F.max("component")).first() == (10_000, 0)
+    assert len(rounds) <= 20
+
+
+def test_a_star_takes_one_round(spark):
+    rounds = []
+    ends = spark.range(1, 3_000).select(F.lit(5_000).alias("src"), F.col("id").alias("dst"))
+    keep = lambda df: rounds.append(df.columns) or store.written(df)
+    assert {r["component"] for r in graph.connected_components(ends, keep).collect()} == {1}
+    assert rounds.count(["a", "b"]) == 2  # as given, and contracted to nothing
+
+
 def test_seasons_and_ranges(spark):
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
     days = spark.createDataFrame([("x", day(n)) for n in (0, 7, 14, 90, 97)], "course string, race_date date")
