@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import chat, decontamination, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, substring_dedup, token_store
+from . import chat, decontamination, exact_dedup, jaccard_join, line_dedup, merkle, mixing, pii, quality, substring_dedup, token_store
 from .common import read, shared_folder, written
 
 
@@ -64,9 +64,15 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    """Proofs of all documents, and what they say once the newlines of some are gone."""
+    docs = read(spark, sf_dir, "documents")
+    return merkle.digest(merkle.manifest(docs, {"tampered": merkle.tampered_leaf(docs)}).proofs())
+
+
 _OPERATORS = (
     op1_benchmark_decontamination, op2_pii_pseudonyms, op3_line_dedup, op4_token_store, op5_jaccard_join,
-    op6_exact_dedup, op7_chat_formatting, op8_substring_dedup, op9_quality_classifier, op10_mixing,
+    op6_exact_dedup, op7_chat_formatting, op8_substring_dedup, op9_quality_classifier, op10_mixing, op11_merkle_manifest,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
@@ -150,3 +156,33 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, count(gone.p) as n_removed
 from d left join words on d.doc_id = words.doc_id left join gone on words.doc_id = gone.doc_id and words.p = gone.p
 group by d.doc_id, len(d.w)
 """
+
+#: Unsigned CRC-32 of a string, bit by bit; 3988292384 is its reversed polynomial.
+_CRC32 = """xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda ch: ord(ch)::bigint)),
+ lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda e, k: xor(e >> 1, (e & 1) * 3988292384::bigint))))"""
+
+_PART = "coalesce(octet_length(encode({0}::varchar)) || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(map(_PART.format, ("doc_id", "source", "lang", "n_chars"))) + " || " + _PART + ")"
+
+SQL["op11_merkle_manifest"] = f"""
+with recursive h as (select doc_id, coalesce('=' || source, '') as tree, source, {_LEAF.format("text")} as leaf,
+  case when doc_id is not null and {_CRC32.format("doc_id::varchar")} % 2 = 0 then {_LEAF.format("replace(text, chr(10), '')")} end as other from documents),
+d as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by tree) as n from h),
+t as (select tree, 0 as lv, i, n, leaf as x from d
+      union all select tree, lv + 1, i // 3, (n + 2) // 3, sha256(string_agg(x, '' order by i)) from t where n > 1 group by tree, lv, i // 3, n),
+s as (select tree, x as subroot, row_number() over (order by tree) - 1 as i, count(*) over () as n from t where n = 1),
+u as (select 0 as lv, i, n, subroot as x from s union all select lv + 1, i // 3, (n + 2) // 3, sha256(string_agg(x, '' order by i)) from u where n > 1 group by lv, i // 3, n),
+near as (select a.tree, a.lv, a.i, coalesce(string_agg(b.x, '' order by b.i) filter (b.i < a.i), '') as l, coalesce(string_agg(b.x, '' order by b.i) filter (b.i > a.i), '') as r
+         from t a join t b on a.tree = b.tree and a.lv = b.lv and a.i // 3 = b.i // 3 where a.n > 1 group by 1, 2, 3),
+over as (select a.lv, a.i, coalesce(string_agg(b.x, '' order by b.i) filter (b.i < a.i), '') as l, coalesce(string_agg(b.x, '' order by b.i) filter (b.i > a.i), '') as r
+         from u a join u b on a.lv = b.lv and a.i // 3 = b.i // 3 where a.n > 1 group by 1, 2),
+f as (select tree, i, 0 as lv, i as at, coalesce(other, leaf) as x, '' as p from d
+      union all select f.tree, f.i, f.lv + 1, f.at // 3, sha256(near.l || f.x || near.r), p || near.l || near.r from f join near on f.tree = near.tree and f.lv = near.lv and f.at = near.i),
+g as (select f.tree, f.i, 0 as lv, s.i as at, f.x, f.p, s.subroot from (select tree, i, arg_max(x, lv) as x, arg_max(p, lv) as p from f group by 1, 2) f join s on f.tree = s.tree
+      union all select g.tree, g.i, g.lv + 1, g.at // 3, sha256(over.l || g.x || over.r), p || over.l || over.r, subroot from g join over on g.lv = over.lv and g.at = over.i),
+e as (select tree, i, arg_max(x, lv) as x, arg_max(p, lv) as p, arg_max(subroot, lv) as subroot from g group by 1, 2),
+z as (select x as root from u where n = 1)
+select d.doc_id, d.source, d.leaf, e.subroot, z.root, sha256(e.p) as proof_sha256, e.x as folded_root, e.x = z.root as verified,
+       cast(d.i + (select coalesce(sum(d.i // power(3, m)::bigint), 0) from range(1, 20) as r(m)) as bigint) as position
+from d join e on d.tree = e.tree and d.i = e.i cross join z
+"""
