@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import chat, decontamination, exact_dedup, jaccard_join, line_dedup, merkle, mixing, pii, quality, substring_dedup, token_store
+from . import chat, decontamination, exact_dedup, jaccard_join, line_dedup, merkle, mixing, pii, quality, repair, substring_dedup, token_store
 from .common import read, shared_folder, written
 
 
@@ -70,9 +70,15 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.digest(merkle.manifest(docs, {"tampered": merkle.tampered_leaf(docs)}).proofs())
 
 
+def op12_conversation_repair(spark, sf_dir):
+    """Conversations damaged by the contract's rule, and repaired."""
+    turns = read(spark, sf_dir, "conversations")
+    return repair.digest(turns, repair.repair(repair.damage(turns)))
+
+
 _OPERATORS = (
     op1_benchmark_decontamination, op2_pii_pseudonyms, op3_line_dedup, op4_token_store, op5_jaccard_join,
-    op6_exact_dedup, op7_chat_formatting, op8_substring_dedup, op9_quality_classifier, op10_mixing, op11_merkle_manifest,
+    op6_exact_dedup, op7_chat_formatting, op8_substring_dedup, op9_quality_classifier, op10_mixing, op11_merkle_manifest, op12_conversation_repair,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
@@ -186,3 +192,55 @@ select d.doc_id, d.source, d.leaf, e.subroot, z.root, sha256(e.p) as proof_sha25
        cast(d.i + (select coalesce(sum(d.i // power(3, m)::bigint), 0) from range(1, 20) as r(m)) as bigint) as position
 from d join e on d.tree = e.tree and d.i = e.i cross join z
 """
+
+_BEST = "list_sort([{}])[1]"
+_STEP = "case when s[{q}].c is not null then {{'c': s[{q}].c + {cost}, 'a': s[{q}].a || '{edit}'}} end"
+_NONE = "null::struct(c bigint, a varchar)"
+
+
+def _relaxed(states: dict) -> str:
+    """A list of each state's least (cost, edits); nulls sort last."""
+    return "[" + ", ".join(_BEST.format(", ".join(states[q]) or _NONE) for q in range(1, 5)) + "]"
+
+
+def _repair_sql() -> str:
+    at = lambda q, cost, edit: _STEP.format(q=q, cost=cost, edit=edit)
+    # states: 1 start, 2 after s, 3 after a pair, 4 after a user; first an insert at most, then what happens to the row
+    insert = _relaxed({1: ["s[1]"], 2: ["s[2]"], 3: ["s[3]", at(4, 3, "I")], 4: ["s[4]", at(1, 3, "I"), at(2, 3, "I"), at(3, 3, "I")]})
+    live = lambda x, cond="true": f"case when not r.dead and {cond} then {x} end"
+    drop = {q: [at(q, 4, "D")] for q in range(1, 5)}
+    drop[2] += [live(at(1, "r.cut", "K"), "r.k = 's'")]
+    drop[3] += [live(at(4, "r.cut", "K"), "r.k = 'a'"), live(at(4, "3 + r.cut", "R"))]
+    drop[4] += [x for q in (1, 2, 3) for x in (live(at(q, "r.cut", "K"), "r.k = 'u'"), live(at(q, "3 + r.cut", "R")))]
+    crc = _CRC32.format("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")
+    return f"""
+with recursive d0 as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc} % 20 as kind from conversations),
+d1 as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+              case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when kind = 3 then 2 else 1 end)) as copy from d0 where kind <> 0),
+d2 as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+              row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again,
+              regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as ends from d1),
+d3 as (select *, case when ends = '' then 'blank' when again then 'duplicate' when ends not in ('.', '!', '?') then 'truncated' end as fault,
+              role[1:1] as k, lag(role[1:1]) over (partition by conv_id order by i) as prior from d2),
+c as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+             count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (prior || k not in ('su', 'ua', 'au')) as illegal,
+             list({{'k': k, 'dead': coalesce(fault in ('blank', 'duplicate'), false), 'cut': case when fault = 'truncated' then 3 else 0 end}} order by i) as rows from d3 group by conv_id),
+w as (select conv_id, 1 as i, [{{'c': 0::bigint, 'a': ''}}, {_NONE}, {_NONE}, {_NONE}] as s from c
+      union all
+      select conv_id, i + 1, {_relaxed(drop)} from (select w.conv_id, w.i, {insert} as s, c.rows[w.i] as r from w join c on w.conv_id is not distinct from c.conv_id where w.i <= len(c.rows))),
+b as (select c.conv_id, {_BEST.format("s[1], s[3]")} as best
+      from (select w.conv_id, {insert} as s from w join c on w.conv_id is not distinct from c.conv_id where w.i = len(c.rows) + 1) as c),
+e as (select conv_id, best.a as audit, unnest(range(1, len(best.a) + 1)) as p from b),
+o as (select *, audit[p:p] as edit, count(*) filter (audit[p:p] <> 'I') over (partition by conv_id order by p) as i from e),
+q as (select o.conv_id, o.p, o.edit, case when edit = 'I' then '' else d.text end as text, d.role, edit = 'K' and d.role[1:1] = 's' as sys
+      from o left join d3 d on o.conv_id is not distinct from d.conv_id and o.i = d.i and o.edit <> 'I' where edit <> 'D'),
+z as (select *, count(*) filter (not sys) over (partition by conv_id order by p) % 2 as odd from q),
+t as (select conv_id, string_agg(case when edit = 'K' then role when odd = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by p) as x from z group by conv_id),
+n as (select distinct conv_id from conversations)
+select n.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+       cast(coalesce(best.c, 0) as bigint) as cost, coalesce(best.a, '') as audit, sha256(coalesce(x, '')) as repaired_sha256
+from n left join c on n.conv_id is not distinct from c.conv_id left join b on n.conv_id is not distinct from b.conv_id left join t on n.conv_id is not distinct from t.conv_id
+"""
+
+
+SQL["op12_conversation_repair"] = _repair_sql()
