@@ -1,6 +1,7 @@
 """Registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import chat, decontamination, exact_dedup, jaccard_join, line_dedup, merkle, mixing, pii, quality, repair, substring_dedup, token_store
+from . import chat, decontamination, exact_dedup, jaccard_join, line_dedup, merkle, mixing, pii, quality, quality_rules, repair
+from . import substring_dedup, token_store
 from .common import read, shared_folder, written
 
 
@@ -76,9 +77,13 @@ def op12_conversation_repair(spark, sf_dir):
     return repair.digest(turns, repair.repair(repair.damage(turns)))
 
 
+def op13_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 _OPERATORS = (
     op1_benchmark_decontamination, op2_pii_pseudonyms, op3_line_dedup, op4_token_store, op5_jaccard_join,
-    op6_exact_dedup, op7_chat_formatting, op8_substring_dedup, op9_quality_classifier, op10_mixing, op11_merkle_manifest, op12_conversation_repair,
+    op6_exact_dedup, op7_chat_formatting, op8_substring_dedup, op9_quality_classifier, op10_mixing, op11_merkle_manifest, op12_conversation_repair, op13_quality_rules,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
