@@ -385,11 +385,30 @@ def i11_apply_corrections(spark, d):
     return out.select(F.col("id").cast("long").alias("id"), "year", F.col("old_year"))
 
 
-@c.query()
+SIMILARITY = """
+case when {a} = {b} then 0.99 when replace({a}, ' ', '') = replace({b}, ' ', '') then 0.99
+     when contains(replace({a}, ' ', ''), replace({b}, ' ', '')) or contains(replace({b}, ' ', ''), replace({a}, ' ', ''))
+     then greatest(0.9, 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))) else 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) end"""
+ASKED = ", asked as (select id query_id, replace(k, 'a', '') q from nm where id % 20 = 0)"
+
+
+@c.query("with " + NAMES + ASKED + ", s as (select query_id, id, max(" + SIMILARITY.format(a="q", b="k") + """) score from asked join nm on q <> '' and k <> '' group by 1, 2),
+r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s where score >= 0.7 - 1e-9)
+select query_id, id, round(score, 6) score, rank from r where rank <= 3""")
 def i12_resolve(spark, d):
+    """Names without their letter a against all names, by Levenshtein's ratio."""
     n = names(spark, d)
     queries = n.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.regexp_replace("key", "a", "").alias("key"))
-    return ids.resolve(queries, n.select("id", "key"), 3).withColumn("score", F.round("score", 6))
+    return ids.resolve(queries, n.select("id", "key"), 3).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@c.query()
+def i12_resolve_by_blocks(spark, d):
+    """By the ratio of matching blocks; some queries have a source id, which comes first."""
+    n = names(spark, d)
+    source = F.concat(F.lit("s"), F.col("id").cast("string"))
+    queries = n.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.regexp_replace("key", "a", "").alias("key"), F.when(F.col("id") % 60 == 0, source).alias("source_id"))
+    return ids.resolve(queries, n.select("id", "key", source.alias("source_id")), 3, edits=False).withColumn("score", F.round("score", 6))
 
 
 @c.query("with " + NAMES + "select k as key, count(*) as rows, cast(count(distinct sex) as int) sex, cast(count(distinct y) as int) as year from nm group by 1 having count(distinct sex) > 1 or count(distinct y) > 1")

@@ -1,13 +1,10 @@
 """Entity resolution: blocking, similarity, scoring, clusters, canonical rows, registries."""
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalars as x
+from .similarity import levenshtein_ratio, matching_ratio, name_similarity, similar
 
 
 def exact_pairs(names: DataFrame, key: str = "key") -> DataFrame:
@@ -16,32 +13,15 @@ def exact_pairs(names: DataFrame, key: str = "key") -> DataFrame:
     return names.join(first, key).where("id != a").select("a", F.col("id").alias("b"))
 
 
-@F.pandas_udf(T.DoubleType())
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(a, b)])
-
-
-def levenshtein_ratio(a: Column, b: Column) -> Column:
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-
-
-def name_similarity(a: Column, b: Column, ratio=matching_ratio) -> Column:
-    """1 if equal, .99 but for spaces, at least .9 if one contains the other, else the ratio."""
-    ca, cb = F.replace(a, F.lit(" "), F.lit("")), F.replace(b, F.lit(" "), F.lit(""))
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(ca == cb, 0.99).when(ca.contains(cb) | cb.contains(ca), F.greatest(ratio(a, b), F.lit(0.9))).otherwise(ratio(a, b))
-
-
 def fuzzy_pairs(names: DataFrame, threshold: float, block: Column, ratio=levenshtein_ratio) -> DataFrame:
     """Pairs within a block whose similarity reaches the threshold; equal names meet once, as one row.
 
-    Names are left out only where no ratio can reach the threshold by their lengths, and
-    neither contains the other.
+    Candidates come from an inverted index (similarity.similar), so a large block isn't compared with itself.
     """
-    n = names.groupBy("key").agg(F.min("id").alias("id")).withColumn("block", block).withColumn("tight", F.replace("key", F.lit(" "), F.lit("")))
-    near = f"{2 - threshold} * least(length(a.key), length(b.key)) >= {threshold} * greatest(length(a.key), length(b.key)) - 1e-9 or a.tight = b.tight or contains(a.tight, b.tight) or contains(b.tight, a.tight)"
-    pairs = n.alias("a").join(n.alias("b"), F.expr(f"a.block = b.block and a.key < b.key and ({near})"))
-    s = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), name_similarity(F.col("a.key"), F.col("b.key"), ratio).alias("similarity"))
-    return s.where(F.col("similarity") >= threshold)
+    n = names.where("key != ''").groupBy("key").agg(F.min("id").alias("id"))
+    near = similar(n, n, threshold, ratio is levenshtein_ratio, block).where("key < other and similarity >= " + repr(threshold))
+    pairs = near.join(n, "key").withColumnRenamed("id", "i").join(n.select(F.col("key").alias("other"), F.col("id").alias("j")), "other")
+    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
 
 
 def match_candidates(names: DataFrame, threshold: float, block: Column, ratio=matching_ratio) -> DataFrame:
@@ -150,20 +130,31 @@ def apply_corrections(rows: DataFrame, corrections: DataFrame, value: str) -> Da
     return s.withColumn("old_" + value, F.col(value)).withColumn(value, F.coalesce("v1", "v2", value)).drop("v1", "v2")
 
 
-def resolve(queries: DataFrame, directory: DataFrame, k: int) -> DataFrame:
-    """Best ids for each query: an exact name at .99, else names at .7 or more; by score and id, k at most.
+def resolve(queries: DataFrame, directory: DataFrame, k: int, edits: bool = True, least: float = 0.7) -> DataFrame:
+    """Best ids for each query, k at most: query_id, id, score, decision, rank.
 
-    Each distinct name asked for meets all distinct names that lengths or containment don't
-    rule out; of the ids of one name, only the k least can be among the best.
+    A query whose source_id the directory has gets that id at .99 and no other ("source_id");
+    the other queries an exact name at .99 ("exact") and names of similarity `least` or more
+    ("name"), by score and id. Names meet by an inverted index (similarity.similar), with
+    Levenshtein's ratio or, without `edits`, that of matching blocks. A directory may hold
+    several names for an id. Of the ids of one name, only the k least can be among the best.
     """
-    q, n = queries.select(F.col("key").alias("q")).where("q != ''").distinct(), directory.select("key").where("key != ''").distinct()
-    near = F.expr("least(length(q), length(key)) >= 0.7 * greatest(length(q), length(key)) - 1e-9 or contains(replace(key, ' ', ''), replace(q, ' ', '')) or contains(replace(q, ' ', ''), replace(key, ' ', '')) or replace(q, ' ', '') = replace(key, ' ', '')")
-    score = F.when(F.col("q") == F.col("key"), 0.99).otherwise(name_similarity(F.col("q"), F.col("key"), levenshtein_ratio))
-    pairs = q.join(n, near).select("q", "key", score.alias("score")).where("score >= 0.7 - 1e-9")
-    first = directory.select("key", "id").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rn") <= k).drop("rn")
     best = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))
-    top = pairs.join(first, "key").groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("rank", best("q")).where(F.col("rank") <= k)
-    out = queries.select("query_id", F.col("key").alias("q")).join(top.drop("rank"), "q").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    known = None
+    if "source_id" in queries.columns and "source_id" in directory.columns:
+        sources = directory.where("source_id != ''").groupBy("source_id").agg(F.min("id").alias("id"))
+        known = queries.join(sources, "source_id").groupBy("query_id").agg(F.min("id").alias("id"))
+        known = known.select("query_id", "id", F.lit(0.99).alias("score"), F.lit("source_id").alias("decision"))
+        queries = queries.join(known.select("query_id"), "query_id", "left_anti")
+    near = similar(queries, directory, least, edits).select(F.col("key").alias("q"), F.col("other").alias("key"), F.col("similarity").alias("score"))
+    same = queries.select("key").where("key != ''").distinct().join(directory.select("key").distinct(), "key")
+    pairs = near.union(same.select(F.col("key").alias("q"), "key", F.lit(0.99).alias("score")))
+    first = directory.select("key", "id").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rn") <= k).drop("rn")
+    top = pairs.join(first, "key").groupBy("q", "id").agg(F.max("score").alias("score"), F.max(F.col("q") == F.col("key")).alias("exact"))
+    top = top.withColumn("rank", best("q")).where(F.col("rank") <= k)
+    out = queries.select("query_id", F.col("key").alias("q")).join(top.drop("rank"), "q").groupBy("query_id", "id").agg(F.max("score").alias("score"), F.max("exact").alias("exact"))
+    out = out.select("query_id", "id", "score", F.when(F.col("exact"), "exact").otherwise("name").alias("decision"))
+    out = out if known is None else out.unionByName(known)
     return out.withColumn("rank", best("query_id")).where(F.col("rank") <= k)
 
 
