@@ -4,15 +4,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, released
 from .quality import minimise, prob
-from .shingles import SAME, Words, chunks, mix
+from .shingles import SAME, Words, mix
 
 #: Bound of the labelled rows of a class that the model is fitted on, those of least hash; a quarter of them calibrates it.
-FIT_ROWS = 4_000
+FIT_ROWS = 2_000
+#: Characters of texts that are measured at once, and gram shares that are summed at once: they bound memory, not results.
+AT_ONCE, SHARES = 200_000, 1_000_000
 #: A class needs so many labelled rows in either part; else the model rejects nothing.
 LEAST_LABELS = 10
 #: Hashed features of either kind. Grams of CHARS characters, and of one and of two words.
@@ -110,14 +113,22 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "quality", "index", "value"])
 
 
-def _fitted(index, value, owner, y, weight) -> np.ndarray:
-    """Weights of a logistic regression by L-BFGS; the last is the constant."""
+def _fitted(index, value, sizes, y, weight) -> np.ndarray:
+    """Weights of a logistic regression by L-BFGS; the last is the constant. Rows go through in runs of about SHARES shares."""
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(SHARES, ends[-1], SHARES), side="right"), [len(y)]]))
+    runs = [(a, b, slice(ends[a] - sizes[a], ends[b - 1])) for a, b in zip(cuts[:-1], cuts[1:])]
 
     def f(w):
-        z = np.bincount(owner, w[index] * value, len(y)) + w[-1]
-        r = weight * (prob(z) - y)
-        grad = np.bincount(index, r[owner] * value, len(w) - 1) + RIDGE * w[:-1]
-        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + RIDGE / 2 * (w[:-1] ** 2).sum()), np.append(grad, r.sum())
+        total, grad = RIDGE / 2 * (w[:-1] ** 2).sum(), np.append(RIDGE * w[:-1], 0.0)
+        for a, b, own in runs:
+            owner = np.repeat(np.arange(b - a), sizes[a:b])
+            z = np.bincount(owner, w[index[own]] * value[own], b - a) + w[-1]
+            r = weight[a:b] * (prob(z) - y[a:b])
+            grad[:-1] += np.bincount(index[own], r[owner] * value[own], len(w) - 1)
+            grad[-1] += r.sum()
+            total += (weight[a:b] * (np.logaddexp(0, z) - y[a:b] * z)).sum()
+        return float(total), grad
 
     return minimise(f, np.zeros(2 * BUCKETS + 1), STEPS)
 
@@ -160,15 +171,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
         return None
     weight = np.array([all_of[c] / (good == c).sum() for c in (0, 1)])[good]
     y = 1.0 - good
-    flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy()
-    index, value = flat("index"), flat("value")
-    owner = np.repeat(np.arange(len(ids)), got.column("index").combine_chunks().value_lengths().to_numpy())
-    use = (~held)[owner]
-    row = (np.cumsum(~held) - 1)[owner[use]]
     scaled = weight[~held] / weight[~held].sum()
-    model = Model(_fitted(index[use], value[use], row, y[~held], scaled))
-    z = np.bincount(owner, model.weights[index] * value, len(ids)) + model.weights[-1]
-    model.scale = _calibrated(z[held], y[held], weight[held] / weight[held].mean())
+    flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy()
+    sizes = lambda t: t.column("index").combine_chunks().value_lengths().to_numpy()
+    fitted, tested = got.filter(pa.array(~held)), got.filter(pa.array(held))
+    del got
+    model = Model(_fitted(flat(fitted, "index"), flat(fitted, "value"), sizes(fitted), y[~held], scaled))
+    owner = np.repeat(np.arange(held.sum()), sizes(tested))
+    z = np.bincount(owner, model.weights[flat(tested, "index")] * flat(tested, "value"), held.sum()) + model.weights[-1]
+    model.scale = _calibrated(z, y[held], weight[held] / weight[held].mean())
     return model
 
 
@@ -176,12 +187,13 @@ def _score(shared):
     def run(batches):
         model = shared.value
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                own = texts[a:b]
+            sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.append(np.searchsorted(sizes, np.arange(0, sizes[-1] if len(sizes) else 0, AT_ONCE)), len(sizes)))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                own = batch.column("text").slice(a, b - a).to_pylist()
                 columns = list(zip(*map(measures, own)))
                 p = model.p_bad(own) if model else np.zeros(b - a)
-                arrays = [ids.slice(a, b - a), *(pa.array(c, pa.int64()) for c in columns), pa.array(p, pa.float64())]
+                arrays = [batch.column("doc_id").slice(a, b - a), *(pa.array(c, pa.int64()) for c in columns), pa.array(p, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return released(run)
