@@ -1,5 +1,6 @@
 """Helpers that the corpus operators share."""
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,12 +35,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function of mapInArrow that gives Arrow's unused memory back at the end of a task; Python workers live on between stages."""
+    """A function of mapInArrow that gives unused memory back at the end of a task; Python workers live on between stages."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # what numpy has freed; glibc has it, other libraries may not
+                trim(0)
 
     return wrapped

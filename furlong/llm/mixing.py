@@ -52,42 +52,48 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray) -> np.ndarray:
-    """Multipliers w such that rates max(0, 1 - p.w) meet the targets' expected tokens.
+    """Multipliers w such that rates max(least, 1 - p.w) meet the targets' expected tokens; `least` is a column, 0 or more.
 
     It minimises the squared distance of domain totals to their targets, over nonnegative
-    rates, with a small ridge on 1 - rate, by projected gradient steps from rates of 1. The
+    rates (and rates of `least` or more), with a small ridge on 1 - rate, by projected gradient steps from rates of 1. The
     gradient of a document's rate is p.gap, the same D numbers for all, so the unprojected
     rates after any steps are 1 - p.w for the sum w of the steps, and their projection on
     rates of 0 or more is what meets the targets next; w are the multipliers of the dual. A
     step is scaled by the Gram matrix of the documents whose rate isn't at its bound, and
-    halves where the distance would grow. One aggregation of D + D*D numbers over all
-    documents makes a step, and nothing per document leaves the executors.
+    halves until the dual's value falls enough, so the steps also end where bounds keep the
+    targets out of reach. One aggregation of 1 + D + D*D numbers over all documents makes a
+    step, and nothing per document leaves the executors.
     """
     d = len(targets)
     total = max(float(members.agg(F.sum("n_tokens")).first()[0] or 0), 1.0)
+    goal = targets / total
 
     def at(w):
+        """The dual's value, its gradient and the Gram matrix."""
         raw = sum((F.col("p")[i] * float(w[i]) for i in range(d)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), 1.0 - raw)
-        live = F.when(raw < 1.0, F.col("n_tokens")).otherwise(0)
-        row = members.agg(*(F.sum(rate * F.col("n_tokens") * F.col("p")[i]) for i in range(d)), *(F.sum(live * F.col("p")[i] * F.col("p")[j]) for i in range(d) for j in range(i, d))).first()
-        got = np.array([x or 0.0 for x in row])
+        live = 1.0 - raw > F.col("least")
+        rate = F.greatest(F.col("least"), 1.0 - raw)
+        loss = F.when(live, raw * raw / 2 - raw).otherwise(-F.col("least") * raw - (1 - F.col("least")) ** 2 / 2)
+        weight = F.when(live, F.col("n_tokens")).otherwise(0)
+        sums = [F.sum(loss * F.col("n_tokens")), *(F.sum(rate * F.col("n_tokens") * F.col("p")[i]) for i in range(d))]
+        sums += [F.sum(weight * F.col("p")[i] * F.col("p")[j]) for i in range(d) for j in range(i, d)]
+        got = np.array([x or 0.0 for x in members.agg(*sums).first()]) / total
         gram = np.zeros((d, d))
-        gram[np.triu_indices(d)] = got[d:]
+        gram[np.triu_indices(d)] = got[1 + d :]
         gram = gram + gram.T - np.diag(np.diag(gram))
-        return (got[:d] - targets) / total - RIDGE * w, gram / total
+        return got[0] + goal @ w + RIDGE / 2 * w @ w, goal - got[1 : 1 + d] + RIDGE * w, gram
 
     w, size = np.zeros(d), 1.0
-    gap, gram = at(w)
+    value, slope, gram = at(w)
     for _ in range(STEPS):
-        if np.abs(gap).max() < TOLERANCE or size < 1e-3:
+        if np.abs(slope).max() < TOLERANCE or size < 1e-9:
             break
-        new = w + size * np.linalg.solve(gram + RIDGE * np.eye(d), gap)
-        new_gap, new_gram = at(new)
-        if np.linalg.norm(new_gap) < np.linalg.norm(gap):
-            w, gap, gram, size = new, new_gap, new_gram, min(1.0, size * 2)
+        step = -np.linalg.solve(gram + RIDGE * np.eye(d), slope)
+        new = at(w + size * step)
+        if new[0] <= value + 1e-4 * size * (slope @ step):
+            w, (value, slope, gram), size = w + size * step, new, min(1.0, size * 4)
         else:
-            size /= 2
+            size /= 4
     return w
 
 
@@ -100,14 +106,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
     Without `keep` the totals are weights times all tokens. With it, that domain's total is
     what it has now, and another domain's its weight in proportion, or what it has if that is
-    less: nothing is repeated to fill a domain.
+    less: nothing is repeated to fill a domain. A document that is more likely of `keep` than of all other domains
+    then has a rate of 1 at least, a bound that the fit knows.
 
     Defined cases: null or empty texts have no tokens and weigh nothing in the totals; labels
     that are null, outside 0 and 1, or without a document are not used, and of repeated ones
     the smallest is, beside the smallest text of that id; repeated rows are separate documents; an empty table gives an empty result.
     Other columns are ignored. No row is shuffled by domain or source, so none can be hot.
     """
-    members = written(posteriors(docs, labels, id_col, text_col), "members")
+    least = F.when(F.col("p")[DOMAINS.index(keep)] > 0.5, 1.0).otherwise(0.0) if keep else F.lit(0.0)
+    members = written(posteriors(docs, labels, id_col, text_col).withColumn("least", least), "members")
     have = members.agg(*(F.sum(F.col("n_tokens") * F.col("p")[i]) for i in range(len(DOMAINS)))).first()
     have = np.array([x or 0.0 for x in have])
     weights = np.array([targets[k] for k in DOMAINS]) / sum(targets.values())
@@ -117,7 +125,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     else:
         goal = weights * have.sum()
     w = fit_rates(members, goal)
-    rate = F.greatest(F.lit(0.0), 1.0 - sum((F.col("p")[i] * float(w[i]) for i in range(len(DOMAINS))), F.lit(0.0)))
+    rate = F.greatest(F.col("least"), 1.0 - sum((F.col("p")[i] * float(w[i]) for i in range(len(DOMAINS))), F.lit(0.0)))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("rate") + chance).cast("int")
-    return members.withColumn("rate", rate).withColumn("copies", copies)
+    return members.withColumn("rate", rate).withColumn("copies", copies).drop("least")

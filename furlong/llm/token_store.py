@@ -23,7 +23,7 @@ BLOCK = 1024
 #: A row of the file closes with the document that takes it past so many ids.
 ROW_IDS = 1 << 17
 #: Words whose ids a Python worker remembers at most.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 FILE_SCHEMA = "part int, seq int, first long, n_ids long, block_words binary, words binary, exceptions binary, doc_ids array<long>, doc_lens array<long>"
 

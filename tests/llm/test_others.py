@@ -294,6 +294,36 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix(docs.limit(5), labels.where("false")).where("rate is null").count() == 0
 
 
+@pytest.mark.parametrize("floor", [0.0, 1.0])
+def test_rates_are_those_of_plain_projected_gradient(spark, floor):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.3, 0.2, 1.0, 0.3], 300)
+    n = rng.integers(1, 400, 300).astype(float)
+    least = np.where(p[:, 2] > 0.5, floor, 0.0)
+    targets = n.sum() * np.array([0.02, 0.01, 0.94, 0.03]) if not floor else np.minimum(n @ p, (n @ p)[2] * np.array([0.02, 0.01, 0.94, 0.03]) / 0.94)
+    rows = [(float(a), [float(x) for x in b], float(c)) for a, b, c in zip(n, p, least)]
+    members = spark.createDataFrame(rows, "n_tokens double, p array<double>, least double")
+    w = mixing.fit_rates(members, targets)
+    got = np.maximum(least, 1 - p @ w)
+    a, ridge = (p * n[:, None]).T / n.sum(), mixing.RIDGE
+    cost = lambda r: 0.5 * ((a @ r - targets / n.sum()) ** 2).sum() + 0.5 * ridge * (n / n.sum() * (r - 1) ** 2).sum()
+    r, scale = np.maximum(np.ones(300), least), n / n.sum()
+    for _ in range(20_000):  # a step for each rate, divided by its document's tokens
+        r = np.maximum(least, r - 0.8 * ((a.T @ (a @ r - targets / n.sum())) / scale + ridge * (r - 1)))
+    assert cost(got) <= cost(r) + 1e-7 and np.abs(a @ got - a @ r).max() < 2e-3
+    assert (got >= least - 1e-12).all()
+
+
+def test_copies_realise_the_rates_and_kept_documents_stay(spark):
+    docs, labels, _ = labelled(spark)
+    m = mixing.mix(docs, labels, keep=mixing.KEEP).collect()
+    k = mixing.DOMAINS.index(mixing.KEEP)
+    assert all(r["copies"] >= 1 for r in m if r["p"][k] > 0.5) and any(r["p"][k] > 0.5 for r in m)
+    assert all(abs(r["copies"] - r["rate"]) < 1 for r in m)
+    by_copies, by_rate = (sum(r["n_tokens"] * r[c] for r in m) for c in ("copies", "rate"))
+    assert abs(by_copies - by_rate) < 0.03 * by_rate
+
+
 def test_words_are_learnt_from_all_unlabelled_documents(spark):
     rng = random.Random(3)
     docs, labels = [], []
