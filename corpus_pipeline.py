@@ -38,11 +38,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents as often as mixing (op 10) says: none, once or more.
 
     The domain KEEP stays whole: its total is its target, and a document that is more likely
-    of that domain than of all others stays once at least. A null id stays once.
+    of that domain than of all others has a rate of 1 at least, which the fit takes into account. A null id stays once.
     """
-    kept = F.col("p")[mixing.DOMAINS.index(mixing.KEEP)] > 0.5
     mixed = mixing.mix(docs, read(spark, sf_dir, "labels"), keep=mixing.KEEP)
-    mixed = mixed.withColumn("copies", F.when(kept, F.greatest("copies", F.lit(1))).otherwise(F.col("copies")))
     copies = written(mixed.where("copies != 1").groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
     times = F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))
     return docs.join(copies, "doc_id", "left").where("coalesce(copies, 1) > 0").withColumn("time", F.explode(times)).select(docs.columns)
