@@ -102,3 +102,15 @@ def test_tracks(spark):
     assert got[1] == got[2] == ("np", "Long") and got[4][1] is None and got[3][1] is None
     rows = spark.createDataFrame([(199, 150), (200, 275), (275, 276), (None, 1)], "a int, b int").select(tracks.comparable(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in rows] == [True, True, False, False]
+
+
+def test_distance_gap_over_a_career_of_many_blocks(spark):
+    rng, day = random.Random(8), dt.date(2020, 1, 1)
+    rows = [(s, day + dt.timedelta(rng.randrange(900)), rid, rid, rng.choice([None, 1000, 1200, 1600, 2400]), rng.randrange(0, 9), 50.0) for rid, s in enumerate([1] * 170 + [2] * 33 + [3] * 5 + [4])]
+    df = spark.createDataFrame(rows, "subject long, race_date date, race_id long, result_id long, distance long, finish int, weight double")
+    got = {r["result_id"]: r["distance_difference"] for r in observations.with_distance_gap(df).collect()}
+    assert len(got) == len(rows)
+    for s, at, _, rid, d, _, _ in rows:
+        before = [r[4] for r in rows if r[0] == s and (r[1], r[2]) < (at, rid) and r[4] is not None]
+        want = sum(abs(v - d) for v in before) / len(before) if before and d is not None else None
+        assert (got[rid] is None) == (want is None) and (want is None or abs(got[rid] - want) < 1e-9)
