@@ -8,10 +8,11 @@ from .common import id_and_text, let
 #: The Spark setting that holds the key where none is given.
 KEY_SETTING = "spark.furlong.pii.key"
 ROUNDS = 8
-#: What may be personal, most specific first; each is validated by its kind below.
+#: What may be personal, most specific first; each is validated by its kind below. Groups repeat
+#: a bounded number of times (a domain has 127 labels at most), since the matcher recurses for each.
 _EDGE, _END = r"(?<![0-9A-Za-z_.@+-])", r"(?![0-9A-Za-z_@])"
 PATTERNS = {
-    "email": r"(?<![0-9A-Za-z_.@+%-])[0-9A-Za-z][0-9A-Za-z_.+%-]*@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*\.[A-Za-z]{2,}(?![0-9A-Za-z_@])",
+    "email": r"(?<![0-9A-Za-z_.@+%-])[0-9A-Za-z][0-9A-Za-z_.+%-]*@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+){0,126}\.[A-Za-z]{2,}(?![0-9A-Za-z_@])",
     "secret": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])",
     "access": r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "date": _EDGE + r"(?:1[89]|2[01])[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])" + _END,
@@ -37,20 +38,22 @@ def feistel(values: Column, radixes: Column, key: str, kind: str) -> Column:
 
     def shifted(half, radix, other, r):
         h = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ",")), 512)
-        return let(h, lambda h: F.transform(half, lambda x, j: ((x + F.conv(F.substring(h, (j % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")) % F.element_at(radix, j + 1)).cast("int")))
+        each = F.zip_with(half, radix, lambda x, m: F.struct(x.alias("x"), m.alias("m")))  # so the radixes are made once
+        part = lambda h, j: F.conv(F.substring(h, (j % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        return let(h, lambda h: F.transform(each, lambda e, j: ((e["x"] + part(h, j)) % e["m"]).cast("int")))
 
     step = lambda acc, r: F.struct(F.when(r % 2 == 0, shifted(acc["l"], left_radix, acc["r"], r)).otherwise(acc["l"]).alias("l"), F.when(r % 2 == 1, shifted(acc["r"], right_radix, acc["l"], r)).otherwise(acc["r"]).alias("r"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(left.alias("l"), right.alias("r")), step, lambda acc: F.concat(acc["l"], acc["r"]))
 
 
 def _chars(s: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))
+    return F.filter(F.split(s, ""), lambda c: c != "")
 
 
 def _refill(s: Column, chars: str, new: Column) -> Column:
     """s with its characters of the class `chars` replaced, in order, by the strings in new."""
-    at = lambda i: F.length(F.regexp_replace(F.substring(s, F.lit(1), i + 1), f"[^{chars}]", ""))
-    return let(new, lambda n: F.array_join(F.transform(_chars(s), lambda c, i: F.when(c.rlike(f"^[{chars}]$"), F.element_at(n, at(i))).otherwise(c)), ""))
+    between = F.split(s, f"[{chars}]", -1)
+    return F.array_join(F.zip_with(between, new, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
 
 
 def _digits(s: Column) -> Column:
