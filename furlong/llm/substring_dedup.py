@@ -229,7 +229,9 @@ def _whole(batches):
     """Documents as they are: number of words and digest of the words joined by single spaces."""
     for batch in batches:
         words = [t.encode().translate(SAME).split() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])], names=["doc_id", "n_words", "sha"])
+        shas = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+        columns = [batch.column(0), batch.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array(shas, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_words", "sha"])
 
 
 def _zip(batches):
@@ -266,8 +268,8 @@ def _removed(window: int):
 def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words covered by a window that also starts earlier, and what is left without them.
 
-    Returns a row for each document that loses words: doc_id, n_removed, kept_text, spans
-    (first and last word of each removed run). Earlier is a smaller doc_id, or the same
+    Returns a row for each document that loses words: doc_id, text_hash, n_removed, kept_text,
+    spans (first and last word of each removed run). Earlier is a smaller doc_id, or the same
     document and an earlier start; windows are judged on the input.
 
     1. Documents are cut into runs of windows that share a minimizer; equal windows always
@@ -281,12 +283,25 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
     A minimizer with more than HOT runs has its windows dealt out one by one, by their own
     hash, so no shard grows with a common passage; equal windows collapse as runs do.
 
-    Defined cases: null or short texts lose nothing; null ids take no part; rows that repeat
-    a doc_id count as one document, and windows at the same place of it as one. An empty table
-    gives an empty result. Other columns are ignored.
+    Defined cases: null or short texts lose nothing; null ids take no part; different texts of
+    one doc_id are documents of their own, in order of their hash, and rows that repeat both
+    id and text are one document. window is 2 to 64. An empty table gives an empty result.
+    Other columns are ignored.
     """
+    if not 2 <= window <= 64:
+        raise ValueError("a window has 2 to 64 words")
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    ids = hashed.select("doc_id", "text_hash").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("text_hash").alias("text_hash"))
+    ids = written(ids, "ids")
+    if ids.where("rows > 1").isEmpty():
+        numbers = ids.select("doc_id", "text_hash", F.col("doc_id").alias("number"))
+    else:  # numbers in order of id and hash stand for the rows
+        ranged = hashed.select("doc_id", "text_hash").distinct().repartitionByRange(partitions(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
+        numbers = written(ranged.withColumn("number", F.monotonically_increasing_id()), "numbers")
+        texts = hashed.join(numbers, ["doc_id", "text_hash"]).dropDuplicates(["number"]).select(F.col("number").alias("doc_id"), "text")
+        texts = written(texts, "numbered")
     runs = texts.mapInArrow(_minimizers(window), "minimizer long, doc_id long, at long")
     often = runs.groupBy("minimizer").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("minimizer", (F.col("c") > HOT).alias("hot"))
     of_doc = runs.join(often, "minimizer").groupBy("doc_id").agg(F.collect_list(F.struct("minimizer", "at", "hot")).alias("segs"))
@@ -299,21 +314,24 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
     own = (F.col("doc_id") == F.col("from_doc")) & (F.col("start") == F.col("from_start"))
     flagged = found.join(shards, "key").select("doc_id", "start", F.when(own, F.col("mask")).otherwise(every).alias("mask")).where("mask != 0")
     by_doc = flagged.groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("flags"))
-    return held.select("doc_id", "z").join(by_doc, "doc_id").select("doc_id", "z", "flags").mapInArrow(_removed(window), "doc_id long, n_removed long, kept_text string, spans array<struct<first:int,last:int>>")
+    lost = held.select("doc_id", "z").join(by_doc, "doc_id").select("doc_id", "z", "flags")
+    lost = lost.mapInArrow(_removed(window), "doc_id long, n_removed long, kept_text string, spans array<struct<first:int,last:int>>")
+    return numbers.join(lost.withColumnRenamed("doc_id", "number"), "number").drop("number")
 
 
 def digest(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """The contract's columns for all documents."""
-    whole = id_and_text(docs).mapInArrow(_whole, "doc_id long, n_words long, sha string")
-    changed = passages.select("doc_id", "n_removed", F.sha2("kept_text", 256).alias("new"))
-    return whole.join(changed, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("new", "sha").alias("kept_sha256"))
+    hashed = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    whole = hashed.mapInArrow(_whole, "doc_id long, text_hash long, n_words long, sha string")
+    changed = passages.select("doc_id", "text_hash", "n_removed", F.sha2("kept_text", 256).alias("new"))
+    return whole.join(changed, ["doc_id", "text_hash"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("new", "sha").alias("kept_sha256"))
 
 
 def brute(rows: list[tuple], window: int = WINDOW) -> dict:
-    """doc_id -> (n_words, n_removed, kept_sha256) by a dictionary of windows, for tests."""
+    """doc_id -> (n_words, n_removed, kept_sha256) by a dictionary of windows, for tests; rows in their order."""
     seen: set = set()
     out = {}
-    for doc_id, text in sorted(rows):
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
         w = (text or "").encode().translate(SAME).split()
         gone = set()
         for i in range(len(w) - window + 1):

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from furlong.llm import substring_dedup as sd
 
@@ -53,3 +54,23 @@ def test_empty_and_extra_columns(spark):
     text = " ".join(f"w{i}" for i in range(25))
     df = spark.createDataFrame([(1, text, 1, b"x"), (2, text, 2, b"y"), (None, text, 3, b"z")], "doc_id long, text string, start long, words binary")
     assert sorted((r[0] or 0, r[2]) for r in sd.digest(df, sd.repeated_passages(df)).collect()) == [(0, 0), (1, 0), (2, 25)]
+
+
+def test_repeated_ids_keep_their_rows_and_texts(spark):
+    words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    shared, own = words("s", 300), words("u", 300)
+    rows = [(1, shared), (2, shared), (2, shared), (2, "short text of the same id"), (3, own), (3, own + " " + shared), (4, None), (4, ""), (None, shared)]
+    rows += [(5, words("v", 40) + " " + words("w", 20_000)), (5, words("w", 20_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted({(i, t) for i, t in rows if i is not None}, key=lambda r: (r[0], hashes[r[1]]))
+    want = sd.brute([((i, hashes[t]), t) for i, t in order])
+    want = sorted(str((i, *want[i, hashes[t]])) if i is not None else str((None, 300, 0)) for i, t in rows)
+    got = sd.digest(df, sd.repeated_passages(df)).collect()
+    assert sorted(str((None, *r[1:3])) if r[0] is None else str(tuple(r)) for r in got) == want
+
+
+@pytest.mark.parametrize("window", [1, 65])
+def test_windows_beyond_the_masks_are_refused(spark, window):
+    with pytest.raises(ValueError):
+        sd.repeated_passages(spark.createDataFrame([(1, "a")], SCHEMA), window)
