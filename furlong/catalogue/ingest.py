@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as x
 from ..operators import identity as ids
+from ..operators import permanent as pm
 from ..operators import ingest as i
 from ..operators import quality as q
 from ..operators import summaries as u
@@ -323,6 +324,12 @@ def names(spark, d):
 NAMES = "nm as (select horse_id id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) k, name, sex, year(birthdate) y from horses)"
 
 
+SIMILARITY = """
+case when {a} = {b} then 0.99 when replace({a}, ' ', '') = replace({b}, ' ', '') then 0.99
+     when contains(replace({a}, ' ', ''), replace({b}, ' ', '')) or contains(replace({b}, ' ', ''), replace({a}, ' ', ''))
+     then greatest(0.9, 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))) else 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) end"""
+
+
 @c.query("with " + NAMES + ", f as (select k, min(id) a from nm group by 1) select a, id as b from nm join f using (k) where id <> a")
 def i01_exact_pairs(spark, d):
     return ids.exact_pairs(names(spark, d))
@@ -354,6 +361,64 @@ def i04_i14_match_clusters(spark, d):
     return out.select("id", "canonical_id", "members", "confidence", F.coalesce("review", F.lit(0)).alias("review"))
 
 
+#: Matches by Levenshtein's ratio, which SQL has too: names of one block from .92 on unite, from .85 on they wait for review.
+_PAIRS = """, n1 as (select k, min(id) id, k[1:2] blk from nm where k <> '' group by k),
+sm as (select least(p.id, q.id) a, greatest(p.id, q.id) b, """ + SIMILARITY.format(a="p.k", b="q.k") + """ score from n1 p join n1 q on p.blk = q.blk and p.k < q.k),
+mt as (select a, b, score from sm where score >= 0.85 union all select f.id, nm.id, 1.0 from nm join n1 f using (k) where nm.id <> f.id),
+am as (select a, b from mt where score >= 0.92 and a % 3 <> 0 and b % 3 <> 0)"""
+_CLOSED = """, {e}2 as (select a, b from {e} union select b, a from {e}),
+{r} as (select id v, id m from nm where {rows} union select {e}2.b, {r}.m from {r} join {e}2 on {r}.v = {e}2.a where {r}.m < {e}2.b),
+{c} as (select v id, min(m) c from {r} group by 1)"""
+IDENTITY = "with " + NAMES + _PAIRS + _CLOSED.format(e="am", r="r1", c="c1", rows="id % 3 <> 0") + """, al as (select a, b from mt where score >= 0.92)""" + _CLOSED.format(e="al", r="r2", c="c2", rows="true") + """,
+lk as (select c2.id, coalesce(min(c1.c) over (partition by c2.c), min(c2.id) over (partition by c2.c)) horse_id from c2 left join c1 on c1.id = c2.id),
+st as (select nm.*, coalesce(starts, 0) starts from nm left join (select horse_id id, count(*) starts from results group by 1) using (id)),
+rk as (select st.*, lk.horse_id, row_number() over (partition by lk.horse_id order by starts desc, length(trim(name)) desc, id) rn, count(*) over (partition by lk.horse_id) members from st join lk using (id))"""
+
+
+def identity(spark, d):
+    """Two batches: first the horses whose id 3 does not divide, then the others with all matches. Also profiles and matches."""
+    n = names(spark, d)
+    m = ids.match_candidates(n.where("key != ''"), 0.85, F.substring("key", 1, 2), ids.levenshtein_ratio).select("a", "b", "score")
+    m = keep(m)
+    auto = m.where("score >= 0.92")
+    first = pm.extend(None, n.where("id % 3 != 0"), auto.where("a % 3 != 0 and b % 3 != 0"))
+    starts = t.results(spark, d).groupBy(F.col("horse_id").alias("id")).agg(F.count("*").alias("starts"))
+    profiles = n.join(starts, "id", "left").withColumn("starts", F.coalesce("starts", F.lit(0)))
+    return first, pm.extend(first, n, auto), profiles, m
+
+
+@c.query(IDENTITY + " select id, horse_id, cast(case when rn = 1 then 1.0 else 0.95 end as double) confidence, case when members > 1 then 'auto_merge' else 'singleton' end method from rk")
+def i10_identity(spark, d):
+    """Permanent ids after a second batch: those of the first survive."""
+    _, now, profiles, _ = identity(spark, d)
+    return pm.links(now, pm.horses(now, profiles))
+
+
+@c.query(IDENTITY + " select horse_id, id primary_id, trim(name) as name, k as key, sex, y as year, members, members > 1 auto_merged from rk where rn = 1")
+def i10_permanent_horses(spark, d):
+    _, now, profiles, _ = identity(spark, d)
+    return pm.horses(now, profiles)
+
+
+@c.query(IDENTITY + " select horse_id, k as key, arg_min(trim(name), rn) alias from rk where k <> '' group by 1, 2")
+def i10_aliases(spark, d):
+    _, now, profiles, _ = identity(spark, d)
+    return pm.aliases(now, profiles)
+
+
+@c.query(IDENTITY + """, oc as (select least(x.horse_id, z.horse_id) left_id, greatest(x.horse_id, z.horse_id) right_id, a, b, score from mt join lk x on x.id = a join lk z on z.id = b where score < 0.92 and x.horse_id <> z.horse_id)
+select left_id, right_id, arg_min(a, (-score, a, b)) a, arg_min(b, (-score, a, b)) b, round(max(score), 6) score from oc group by 1, 2""")
+def i10_open_candidates(spark, d):
+    _, now, _, m = identity(spark, d)
+    return pm.open_candidates(now, m.where("score < 0.92")).withColumn("score", F.round("score", 6))
+
+
+@c.query(IDENTITY + " select distinct c1.c as old, lk.horse_id merged_into from c1 join lk using (id) where c1.c <> lk.horse_id")
+def i10_merges(spark, d):
+    """Ids of the first batch that the second one united with an older id."""
+    return identity(spark, d)[1].merges
+
+
 @c.query("""
 with o as (select horse_id, owner_id, count(*) n from starts group by 1, 2), r as (select *, row_number() over (partition by horse_id order by n desc, owner_id) rn from o)
 select s.horse_id, count(*) starts, min(race_date) first_day, max(race_date) last_day, any_value(w.ow) owners from starts s join (select horse_id, string_agg(cast(owner_id as varchar), ',' order by owner_id) ow from r where rn <= 5 group by 1) w using (horse_id) group by 1
@@ -385,10 +450,6 @@ def i11_apply_corrections(spark, d):
     return out.select(F.col("id").cast("long").alias("id"), "year", F.col("old_year"))
 
 
-SIMILARITY = """
-case when {a} = {b} then 0.99 when replace({a}, ' ', '') = replace({b}, ' ', '') then 0.99
-     when contains(replace({a}, ' ', ''), replace({b}, ' ', '')) or contains(replace({b}, ' ', ''), replace({a}, ' ', ''))
-     then greatest(0.9, 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))) else 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) end"""
 ASKED = ", asked as (select id query_id, replace(k, 'a', '') q from nm where id % 20 = 0)"
 
 
