@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import forget, shared_folder, written
 
-__all__ = ["SPACE", "forget", "id_and_text", "let", "partitions", "read", "released", "shared_folder", "written"]
+__all__ = ["SPACE", "forget", "id_and_text", "let", "partitions", "read", "released", "shared_folder", "sliced", "written"]
 
 #: ASCII white space as the contracts define it: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -46,3 +46,11 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
                 trim(0)
 
     return wrapped
+
+
+def sliced(batches: Iterator, size: int = 2_000_000) -> Iterator:
+    """The same rows in batches of about so many bytes, which bounds what Python makes of them at once."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(batch.nbytes, size))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

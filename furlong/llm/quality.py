@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import released, sliced, written
 from .decontamination import _FOLD
 from .shingles import Words, chunks
 
@@ -192,7 +192,7 @@ def _columns(batch):
 
 def _extract(batches):
     """Features of texts and metadata; the columns doc_id, quality and toxic, if there, stay beside them."""
-    for batch in batches:
+    for batch in sliced(batches):
         texts, metas = _columns(batch)
         shapes, words = text_features(texts)
         kept = [c for c in ("doc_id", "quality", "toxic") if c in batch.schema.names]
@@ -202,7 +202,7 @@ def _extract(batches):
 def _score(shared):
     def run(batches):
         heads = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             part = Part.of_texts(*_columns(batch))
             p = [h.probability(part) for h in heads]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p[0]), pa.array(p[1])], names=["doc_id", "p_bad", "p_toxic"])
@@ -215,7 +215,7 @@ def _count(shared):
 
     def run(batches):
         heads, counts, n = shared.value, np.zeros((len(HEADS), 2, WORDS), np.int64), np.zeros((len(HEADS), 2, len(VIEWS)), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             part = Part.of(batch)
             for k, h in enumerate(heads):
                 if h.ready:
@@ -240,7 +240,7 @@ def _pick(shared):
 
     def run(batches):
         old, new = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             part, arrays, names, some = Part.of(batch), [], [], np.zeros(batch.num_rows, bool)
             for k, (h, to) in enumerate(zip(old, new)):
                 taught = h.taught(part) if h.ready else {v: np.full(part.n, -1) for v in VIEWS}
