@@ -78,10 +78,11 @@ def l13_list_races(spark, d):
     return p.list_races(t.starts(spark, d), 50, 100)
 
 
-@c.query("select meeting_id, count(*) legs, min(ts) first_start from (select user_id % 400 meeting_id, ts from events where ts > timestamp '2024-01-05' and user_id % 3 = 0) group by 1 having count(*) = 5", base=False)
+@c.query("select meeting_id, count(*) legs, min(ts) first_start from (select user_id * 100 + day(ts) meeting_id, ts from events where ts > timestamp '2024-01-05') group by 1 having count(*) = 5", base=False)
 def c05_future_five(spark, d):
-    """Meetings with exactly five future legs, by their first start."""
-    program = t.read(spark, d, "events").where("user_id % 3 = 0").select((F.col("user_id") % 400).alias("meeting_id"), F.col("ts").alias("starts_at"))
+    """Meetings (a user's events of a day) with exactly five future legs, by their first start."""
+    meeting = (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("meeting_id")
+    program = t.read(spark, d, "events").select(meeting, F.col("ts").alias("starts_at"))
     return mk.future_five(program, F.lit("2024-01-05").cast("timestamp")).select("meeting_id", "legs", "first_start")
 
 
