@@ -41,14 +41,24 @@ def q02_warehouse_checks(spark, d):
     return k.warehouse_checks(*spoilt(spark, d))
 
 
-@c.query("with " + FIELD + """, m0 as (select * from metrics where breed = '*'), cap as (select avg(earnings) + 4 * stddev_pop(earnings) cap, count(*) n from m0 where earnings > 0)
+@c.query("with " + FIELD + """, m0 as (select * replace (case when horse_id % 11 = 0 then 1 when horse_id % 29 = 0 then 2 else starts end as starts,
+  case when horse_id % 22 = 0 then 1 when horse_id % 13 = 0 then starts + 1 else wins end as wins, case when horse_id % 17 = 0 then 0.5 else avg_finish end as avg_finish,
+  case when horse_id % 19 = 0 then null else form_5 end as form_5, case when horse_id % 29 = 0 then 10000 * earnings else earnings end as earnings) from metrics where breed = '*'), cap as (select avg(earnings) + 4 * stddev_pop(earnings) cap, count(*) n from m0 where earnings > 0)
 select 'single_start' "check", horse_id as id from m0 where starts = 1 union all select 'perfect_single_start', horse_id from m0 where starts = 1 and wins = 1 union all select 'earnings_single_start', horse_id from m0 where starts = 1 and earnings > 0
 union all select 'abnormal_earnings', horse_id from m0, cap where n >= 5 and earnings > cap and starts <= 2 union all select 'missing_data', horse_id from m0 where starts >= 5 and (rating is null or form_5 is null or consistency is null)
+union all select 'impossible_wins', horse_id from m0 where wins > starts union all select 'impossible_win_rate', horse_id from m0 where wins > starts or wins < 0
+union all select 'impossible_avg_finish', horse_id from m0 where avg_finish < 1
 union all select 'underqualified_on_board', horse_id from (select horse_id, starts, row_number() over (order by wins desc, starts desc, horse_id) k from m0) where k <= 10 and starts < 5
 """)
 def q07_validate_metrics(spark, d):
-    """All nine rules, the last against a board."""
+    """All nine rules, the last against a board, over metrics with planted faults."""
+    of = lambda n: F.col("horse_id") % n == 0
     m = metrics(spark, d).where("breed = '*'")
+    m = m.withColumns({
+        "starts": F.when(of(11), 1).when(of(29), 2).otherwise(F.col("starts")), "wins": F.when(of(22), 1).when(of(13), F.col("starts") + 1).otherwise(F.col("wins")),
+        "avg_finish": F.when(of(17), 0.5).otherwise(F.col("avg_finish")), "form_5": F.when(~of(19), F.col("form_5")),
+        "earnings": F.when(of(29), 10000 * F.col("earnings")).otherwise(F.col("earnings")),
+    })
     top = b.board(m, ["breed"], 1, b.orders(["-wins", "-starts", "horse_id"]), 10, "most_successful")
     return k.validate_metrics(m, top).select("check", "id")
 
