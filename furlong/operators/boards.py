@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
+from ..sources import store
 
 
 def board(metrics: DataFrame, keys: list[str], least_starts: int, order: list[Column], n: int, name: str) -> DataFrame:
@@ -23,10 +24,12 @@ def ranked(rows: DataFrame, keys: list[str], first: Column, order: list[Column],
 
     The cuts are approximate quantiles of each scope, a fixed number of them; equal values share
     a range, so each range holds all rows between its neighbours. The rows before a range come
-    from counts of (scope, range), which are few.
+    from counts of (scope, range), which are few. Quantiles depend on the order in which partial
+    ones are merged, and sums on that of rows, so rows and cuts are written once: counts and
+    ranks are of the same ranges.
     """
-    rows = rows.withColumn("_first", F.coalesce(first, F.lit(float("inf"))))
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_first", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    rows = store.written(rows.withColumn("_first", F.coalesce(first, F.lit(float("inf")))), "ranked")
+    cuts = store.written(rows.groupBy(*keys).agg(F.percentile_approx("_first", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts")), "cuts")
     r = rows.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda v: v < F.col("_first")))).drop("_cuts")
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = r.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

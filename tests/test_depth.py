@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from furlong.operators import boards, identity, markets, observations, prerace, quality, tracks
+from furlong.operators import boards, identity, markets, metrics, observations, prerace, quality, tracks
 
 DAY = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
 
@@ -114,3 +114,11 @@ def test_distance_gap_over_a_career_of_many_blocks(spark):
         before = [r[4] for r in rows if r[0] == s and (r[1], r[2]) < (at, rid) and r[4] is not None]
         want = sum(abs(v - d) for v in before) / len(before) if before and d is not None else None
         assert (got[rid] is None) == (want is None) and (want is None or abs(got[rid] - want) < 1e-9)
+
+
+def test_ranges_are_cut_once(spark):
+    rows = spark.range(3000).select(F.lit("s").alias("k"), (F.col("id") % 700).cast("double").alias("v"), "id")
+    out = boards.ranked(rows, ["k"], F.col("v"), [F.asc("v"), F.asc("id")], "position", buckets=8)
+    assert "percentile" not in out._jdf.queryExecution().executedPlan().toString().lower()  # counts and ranks read the same cuts
+    got = [r["id"] for r in out.orderBy("position").collect()]
+    assert got == sorted(range(3000), key=lambda i: (i % 700, i))
