@@ -122,3 +122,38 @@ def test_ranges_are_cut_once(spark):
     assert "percentile" not in out._jdf.queryExecution().executedPlan().toString().lower()  # counts and ranks read the same cuts
     got = [r["id"] for r in out.orderBy("position").collect()]
     assert got == sorted(range(3000), key=lambda i: (i % 700, i))
+
+
+def test_equal_means_are_equal_in_any_order(spark):
+    rows = spark.createDataFrame([(1, v) for v in (0.1, 0.2, 0.3)] + [(2, v) for v in (0.3, 0.2, 0.1)], "h long, v double").coalesce(1)
+    means = {r["m"] for r in rows.groupBy("h").agg(metrics.thousandths(F.col("v")).alias("m")).collect()}
+    assert means == {0.2}
+
+
+def test_packed_meetings_are_the_joined_ones(spark):
+    rng = random.Random(5)
+    rows = [(r, DAY(r // 2), 1000 + 100 * (r % 4), "tu"[r % 2], h, f) for r in range(40) for f, h in enumerate(rng.choices(range(6), k=4), 1)]
+    starts = spark.createDataFrame(rows, "race_id long, race_date date, distance int, course string, horse_id long, finish int")
+    field = starts.dropDuplicates(["race_id", "horse_id"]).withColumn("win_strength", F.col("horse_id") * 3.0)
+    pairs = markets.field_pairs(field)
+    want = markets.pairwise(pairs, markets.meetings(pairs, starts))
+    means = {(r["race_id"], r["horse_id"]): r["ahead"] for r in prerace.h2h_means(want).collect()}
+    out = markets.ahead(field, markets.met_before(starts))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["race_id"], r["horse_id"]): r["ahead"] for r in out.collect()}
+    assert got.keys() >= means.keys() and all((v is None) == (k not in means) and (v is None or abs(v - means[k]) < 1e-9) for k, v in got.items())
+    assert plan.count("Join") == 1  # races with their packed meetings; pairs meet in one shuffle
+
+
+def test_careers_beside_starts(spark):
+    rng = random.Random(7)
+    rows = [(r * 10 + k, r, rng.randrange(5), "x", DAY(r), 1200, 14.0 + rng.random(), rng.choice([None, 40.0, 70.0]), k, 1.0) for r in range(30) for k in range(1, 5)]
+    s = metrics.with_field(spark.createDataFrame(rows, "result_id long, race_id long, horse_id long, breed string, race_date date, distance int, speed double, rating double, finish int, earnings double").withColumn("time_s", F.col("distance") / F.col("speed")))
+    names = ["starts", "wins", "form_5", "slope", "speed_index", "difficulty", "consistency", "fatigue", "rating"]
+    want = {r["horse_id"]: r for r in metrics.horse_metrics(s.withColumn("breed", F.lit("*")), both=False).collect()}
+    got = metrics.with_career(s).collect()
+    assert len(got) == len(rows) and all(abs((r[k] or 0) - (want[r["horse_id"]][k] or 0)) < 1e-9 for r in got for k in names)
+    least = {}
+    for r in got:
+        least[r["race_id"], r["horse_id"]] = min(least.get((r["race_id"], r["horse_id"]), r["result_id"]), r["result_id"])
+    assert {r["result_id"] for r in got if r["first"]} == set(least.values())
