@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from furlong.operators import boards, identity, markets, metrics, observations, prerace, quality, tracks
+from furlong.operators import boards, identity, markets, metrics, observations, prerace, priors, quality, tracks
 
 DAY = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
 
@@ -157,3 +157,23 @@ def test_careers_beside_starts(spark):
     for r in got:
         least[r["race_id"], r["horse_id"]] = min(least.get((r["race_id"], r["horse_id"]), r["result_id"]), r["result_id"])
     assert {r["result_id"] for r in got if r["first"]} == set(least.values())
+
+
+def test_people_priors_beside_starts(spark):
+    rng = random.Random(9)
+    rows = [(r, DAY(r // 3), rng.randrange(3), k) for r in range(40) for k in range(1, 5)]
+    s = spark.createDataFrame(rows, "race_id long, race_date date, trainer_id long, finish int")
+    want = {(r["trainer_id"], r["race_id"]): (r["trainer_starts"], r["trainer_win_rate"]) for r in priors.people_priors(s, "trainer_id").collect()}
+    out = priors.with_people_priors(s, "trainer_id")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    got = out.collect()
+    assert len(got) == len(rows) and all((r["trainer_starts"], r["trainer_win_rate"]) == want[r["trainer_id"], r["race_id"]] for r in got)
+
+
+def test_models_share_a_shuffle(spark):
+    s = spark.createDataFrame([(1, h, h, h, DAY(0), 1.0 * h, None if h == 2 else -1.0 * h) for h in range(1, 5)], "race_id long, horse_id long, result_id long, finish int, race_date date, A double, D double")
+    ranks = priors.rank_races(s, ["A", "D"])
+    e = priors.evaluate(ranks)
+    assert e._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert {(r["model"], r["horse_id"], r["rank"]) for r in ranks.collect()} == {("A", 4, 1), ("A", 3, 2), ("A", 2, 3), ("A", 1, 4), ("D", 1, 1), ("D", 3, 2), ("D", 4, 3), ("D", 2, None)}
+    assert {(r["model"], r["winner_rank"], r["field"]) for r in e.collect()} == {("A", 4, 4), ("D", 1, 3)}
