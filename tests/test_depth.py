@@ -1,5 +1,6 @@
 import datetime as dt
 import difflib
+import math
 import random
 
 from pyspark.sql import Window
@@ -177,3 +178,11 @@ def test_models_share_a_shuffle(spark):
     assert e._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
     assert {(r["model"], r["horse_id"], r["rank"]) for r in ranks.collect()} == {("A", 4, 1), ("A", 3, 2), ("A", 2, 3), ("A", 1, 4), ("D", 1, 1), ("D", 3, 2), ("D", 4, 3), ("D", 2, None)}
     assert {(r["model"], r["winner_rank"], r["field"]) for r in e.collect()} == {("A", 4, 4), ("D", 1, 3)}
+
+
+def test_a_perception_of_55_is_no_less_in_any_order(spark):
+    below = math.nextafter(55, 0)  # 100 * a / (a + b + c) * 3 in one order of the sum
+    f = spark.createDataFrame([(1, 7, 60.0, below, 2.0), (1, 8, 50.0, 40.0, None), (1, 9, 30.0, 90.0, None)], "race_id long, horse_id long, win_strength double, perception double, slope double")
+    assert prerace.surprises(f).first()["hidden"] == 7  # second by gap
+    g = spark.createDataFrame([(1, 7, 60.0, below, None), (1, 8, 59.0, 30.0, None), (1, 9, 90.0, below, 2.0)], f.schema)
+    assert prerace.surprises(g).first()["hidden"] == 8  # not 9, which improves but is fancied
