@@ -186,3 +186,11 @@ def test_a_perception_of_55_is_no_less_in_any_order(spark):
     assert prerace.surprises(f).first()["hidden"] == 7  # second by gap
     g = spark.createDataFrame([(1, 7, 60.0, below, None), (1, 8, 59.0, 30.0, None), (1, 9, 90.0, below, 2.0)], f.schema)
     assert prerace.surprises(g).first()["hidden"] == 8  # not 9, which improves but is fancied
+
+
+def test_a_mean_form_of_65_is_hot_in_any_order(spark):
+    rows = [(1, 50.0, 9, 99.0, math.nextafter(65, 0), 60.0, 0.2, 1200, 0.5, 0.0, 0.0)] * 2
+    f = spark.createDataFrame(rows, "race_id long, strength double, starts long, speed_index double, form_5 double, pr double, win_rate double, distance long, track_pref_score double, rain double, wind double").withColumn("visibility", F.lit(None).cast("double"))
+    assert prerace.race_context(f).first()["pace"] == "fast_early"
+    slow = f.withColumns({"speed_index": F.lit(math.nextafter(97, 100)), "form_5": F.lit(math.nextafter(40, 50))})
+    assert prerace.race_context(slow).first()["pace"] == "moderate_slow"
