@@ -222,3 +222,20 @@ def test_streams_end_as_a_table_on_disk(spark, tmp_path):
     out = streaming.stream_table(source().groupBy("k").agg(F.max("v").alias("v")), str(tmp_path / "out"))
     assert sorted(map(tuple, out.collect())) == [(1, 2), (2, 5)]
     assert all(str(tmp_path / "out") in f for f in out.inputFiles()) and out.inputFiles()
+
+
+def test_pairs_meet_with_their_sides_as_often_as_candidates(spark):
+    rows = [(i, ("red rod", "red rods", "blue gear", "")[i % 4], ("male", "female")[i % 3 == 0], "s", str(i % 9) if i % 5 else "") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, key string, sex string, source string, source_id string")
+    got, want = identity.paired(df, large=8), identity.candidate_pairs(df, large=8)
+    assert sorted(map(tuple, got.select("a", "b").collect())) == sorted(map(tuple, want.collect()))
+    side = lambda k: df.select(F.col("id").alias(k), F.col("key").alias(f"key_{k}"))
+    scores = identity.name_scores(want.join(side("a"), "a").join(side("b"), "b")).select("a", "b", "name_score")
+    assert sorted(map(tuple, got.select("a", "b", "name_score").collect())) == sorted(map(tuple, scores.collect()))
+
+
+def test_days_apart_is_the_least_of_all_pairs(spark):
+    rng, day = random.Random(3), lambda: dt.date(2020, 1, 1) + dt.timedelta(rng.randrange(400))
+    rows = [([day() for _ in range(rng.randrange(6))], [day() for _ in range(rng.randrange(6))]) for _ in range(80)]
+    got = spark.createDataFrame(rows, "a array<date>, b array<date>").select("a", "b", identity.days_apart(F.col("a"), F.col("b")).alias("gap")).collect()
+    assert all(r["gap"] == min((abs((p - q).days) for p in r["a"] for q in r["b"]), default=None) for r in got)
