@@ -42,3 +42,12 @@ def test_a_source_id_comes_first(spark):
 def test_no_names(spark):
     none, one = spark.createDataFrame([], "key string"), spark.createDataFrame([("a",), (None,), ("",)], "key string")
     assert similarity.similar(none, one, 0.7).count() == similarity.similar(one, none, 0.7).count() == similarity.similar(one, one, 0.7).count() == 0
+
+
+def test_ratios_from_a_threshold_are_difflib_s_where_they_reach_it(spark):
+    rng = random.Random(4)
+    w = words(rng, "abcdef", 40, 8)
+    df = spark.createDataFrame([(p, q) for p in w for q in w], "a string, b string")
+    for r in df.select("a", "b", similarity.matching_ratio_from(0.7)("a", "b").alias("s")).collect():
+        want = difflib.SequenceMatcher(None, r["a"], r["b"]).ratio()
+        assert r["s"] == want or want <= r["s"] < 0.7
