@@ -7,6 +7,7 @@ from ..operators import boards as b
 from ..operators import metrics as m
 from ..operators import summaries as u
 from ..sources import tables as t
+from ..sources.store import written
 from .common import Catalogue
 
 c = Catalogue()
@@ -341,9 +342,9 @@ ca as (select horse_id, unnest(['rating', 'form_5']) metric, unnest([rating, for
 select horse_id, breed, metric, round(value, 4) as value, round(avg(value) over (partition by metric, season), 4) season_avg, round(avg(value) over (partition by metric, breed), 4) breed_avg, round(avg(value) over (partition by metric, track), 4) track_avg, round(career, 4) career, round(value - avg(value) over (partition by metric, season), 4) delta from l join ca using (horse_id, metric)""")
 def e19_benchmarks(spark, d):
     """Against season (of the last start), breed, preferred track and the own career."""
-    mm = metrics(spark, d)
+    mm = written(metrics(spark, d).select("horse_id", "breed", "last_date", "rating", "form_5"), "metrics")  # values and careers read it
     track = m.best_bucket(t.starts(spark, d), "horse_id", "course").select("horse_id", F.col("best").alias("track"))
-    own = mm.where("breed != '*'").withColumn("season", F.year("last_date")).join(track, "horse_id")
+    own = written(mm.where("breed != '*'").withColumn("season", F.year("last_date")).join(track, "horse_id"), "benchmarked")
     out = m.benchmarks(own, ["season", "breed", "track"], ["rating", "form_5"], mm.where("breed = '*'").select("horse_id", "rating", "form_5"))
     return out.select("horse_id", "breed", "metric", *r4("value", "season_avg", "breed_avg", "track_avg", "career", "delta"))
 
