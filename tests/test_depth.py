@@ -6,7 +6,9 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from furlong.catalogue import starts
 from furlong.operators import boards, identity, markets, metrics, observations, prerace, priors, quality, tracks
+from furlong.sources import tables
 
 DAY = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
 
@@ -194,3 +196,22 @@ def test_a_mean_form_of_65_is_hot_in_any_order(spark):
     assert prerace.race_context(f).first()["pace"] == "fast_early"
     slow = f.withColumns({"speed_index": F.lit(math.nextafter(97, 100)), "form_5": F.lit(math.nextafter(40, 50))})
     assert prerace.race_context(slow).first()["pace"] == "moderate_slow"
+
+
+def test_each_window_of_the_history_is_computed_once(spark):
+    kind = "result_id long, race_id long, race_date date, subject long, finish int, weight double, distance long, course string, class_code string, breed string"
+    base = spark.createDataFrame([(i, i, DAY(i), i % 3, i % 5 + 1, 50.0, 1000, "a", "b", "c") for i in range(30)], kind)
+    plan = observations.prior_features(base, F.lit(0.25), F.lit(0.6))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("windowspecdefinition(") < 60  # 45 in the plan's text; 89 when rates and medians named them again
+
+
+def test_benchmarks_read_metrics_that_are_written(spark):
+    assert "l_orderkey" not in starts.e19_benchmarks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_some_races_are_read_whole(spark):
+    d = "/root/testdata/sf0.001"
+    some = tables.results(spark, d).where("horse_id = 7").select("race_id").distinct()
+    got = tables.results(spark, d, some)
+    want = tables.results(spark, d).join(some, "race_id", "left_semi").select(got.columns).collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and want
