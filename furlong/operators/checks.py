@@ -1,9 +1,10 @@
 """Quality suites: what is checked of the warehouse, and of computed metrics and boards."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
+from ..sources.store import written
 from .quality import row_checks
 
 c = F.col
@@ -22,11 +23,19 @@ def warehouse_checks(races: DataFrame, results: DataFrame, horses: DataFrame, pe
     a finish, winners of a race without a prize, clocks outside 0 to `slowest` seconds; places
     below 1, shared by three or more, or beyond the field by more than two; blank names, and
     names with stray blanks, of horses and people (name -> rows of id, name).
+
+    Results are read once, by race; what could be amiss, a result or its race, is written, and
+    only that is grouped by horse and place.
     """
     issue = lambda df, check, severity, entity, key, details: df.select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.lit(entity).alias("entity"), c(key).cast("long").alias("id"), details.cast("long").alias("details"))
     one = F.lit(1)
+    race, placed = Window.partitionBy("race_id"), F.when(c("finish") > 0, c("finish"))
+    again = lambda v: F.count(v).over(race) - F.size(F.collect_set(v).over(race))
+    results = results.withColumns({"_n": F.count("finish").over(race), "_most": F.max("finish").over(race), "_least": F.min("finish").over(race), "_horses": again(c("horse_id")), "_places": again(placed)})
+    results = results.where(f"finish is null or time_s <= 0 or time_s > {slowest} or _horses > 0 or _places > 1 or _least < 1 or _most > _n + 2")
+    results = written(results.select("result_id", "race_id", "horse_id", "finish", "time_s", c("_n").alias("n"), c("_most").alias("most"), c("_least").alias("least")), "odd-results")
     same_place = results.where("finish > 0").groupBy("race_id", "finish").agg(F.count("*").alias("n")).where("n >= 3")
-    field = results.groupBy("race_id").agg(F.count("finish").alias("n"), F.max("finish").alias("most"), F.min("finish").alias("least"))
+    field = results.where("least < 1 or most > n + 2").select("race_id", "n", "most", "least").distinct()
     prizeless = races.where("prize is null or prize <= 0")
     parts = [
         _groups(races, ["course", "race_date", "number", x.normalize_name(c("name")).alias("_n")], "race_id", "duplicate_races", "warning", "race"),

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 
 def trailing_weather(races: DataFrame, weather: DataFrame) -> DataFrame:
     """Rain over the 3 and 7 days before each race, absent days dry, and mean temperature of 3 days.
@@ -63,6 +65,24 @@ def overlap(groups: DataFrame, n: Column) -> DataFrame:
     return groups.groupBy("group_id", "horse_id").agg(F.countDistinct("race_id").alias("races"), F.max("group_size").alias("group_size")).where(F.col("races") == n)
 
 
+def in_every_race(starts: DataFrame, group: list[str]) -> DataFrame:
+    """`overlap` of groups of two races or more: group_id (a struct of the group's columns), horse_id, races, group_size.
+
+    A horse that is in every race is in the first and the last one by id. Horses of these two
+    are looked at for all groups; races are only counted for those that are in both, and in
+    their groups. Reads `starts` several times.
+    """
+    ends = starts.groupBy(*group).agg(F.min("race_id").alias("_first"), F.max("race_id").alias("_last")).where("_first < _last")
+    at_ends = starts.join(ends, group).where("race_id = _first or race_id = _last").groupBy(*group, "horse_id")
+    both = written(at_ends.agg(F.min("race_id").alias("_a"), F.max("race_id").alias("_b")).where("_a < _b").select(*group, "horse_id"), "both-ends")
+    size = starts.join(both.select(*group).distinct(), group, "left_semi").groupBy(*group).agg(F.countDistinct("race_id").alias("group_size"))
+    same = F.col("horse_id").eqNullSafe(F.col("_horse_id"))
+    for k in group:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    rows = starts.join(both.withColumnsRenamed({k: f"_{k}" for k in both.columns}), same, "left_semi").join(size, group)
+    return overlap(rows.select(F.struct(*group).alias("group_id"), "race_id", "horse_id", "group_size"), F.col("group_size"))
+
+
 def row_checks(df: DataFrame, entity: str, id_col: str, rules: dict[str, tuple[str, Column]]) -> DataFrame:
     """Issues in long form: check, severity, entity, id. One pass, whatever the number of rules."""
     issues = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"))) for name, (severity, bad) in rules.items())))
