@@ -10,6 +10,7 @@ from ..operators import metrics as m
 from ..operators import priors as p
 from ..plans import registry
 from ..sources import tables as t
+from ..sources.store import partitions, written
 from ..streaming import ingest as st
 from .common import Catalogue
 from .starts import FIELD, TOTALS
@@ -191,13 +192,16 @@ _ROLES = ["horse_id", "trainer_id", "jockey_id", "owner_id", "sire_id"]
 _SCORES = ["popularity", "trust", "overrated", "underrated", "unpredictability", "surprise_frequency", "favourite_failure", "upset_wins", "avg_crowd_rank", "avg_finish", "gap"]
 
 
-def crowd_races(spark, d):
+def crowd_races(spark, d, rows=None):
+    """`rows` is a crowd that is written; its rows are shuffled by race before they are grouped."""
     prizes = t.races(spark, d).select("race_id", "prize", (F.col("prize") * 0.6).alias("winners_share"))
-    return mk.crowd_race_metrics(crowd(spark, d), prizes)
+    rows = crowd(spark, d) if rows is None else rows.select("race_id", "share", "crowd_rank", "finish").repartition(partitions(spark), "race_id")
+    return mk.crowd_race_metrics(rows, prizes)
 
 
-def crowd_entities(spark, d):
-    return mk.crowd_entity_metrics(crowd(spark, d).join(t.horses(spark, d).select("horse_id", "sire_id"), "horse_id"), _ROLES)
+def crowd_entities(spark, d, rows=None):
+    rows = (crowd(spark, d) if rows is None else rows).join(t.horses(spark, d).select("horse_id", "sire_id"), "horse_id").select(*_ROLES, "share", "crowd_rank", "finish")
+    return mk.crowd_entity_metrics(written(rows, "crowd"), _ROLES, many=("horse_id", "owner_id"))
 
 
 @c.query("with " + CROWD_RACES + "select race_id, n, round(entropy, 5) entropy, round(spread, 6) spread, round(bias, 6) bias, round(accuracy, 4) accuracy, round(upset, 4) upset, round(favourite_failure, 4) favourite_failure, round(surprise, 4) surprise, round(confidence, 6) confidence, shock, round(prize, 2) prize_total, round(prize * 0.6, 2) winners_share from cr2 join races using (race_id)")
@@ -221,7 +225,8 @@ def _questions() -> str:
 @c.query("with " + CROWD_RACES + CROWD_ENTITIES[len(CROWD) :] + " select * from (" + _questions() + ")")
 def g08_market_question(spark, d):
     """All questions at once, each with its first ten answers."""
-    return mk.market_questions(crowd_entities(spark, d), crowd_races(spark, d))
+    rows = written(crowd(spark, d).select("race_id", *(k for k in _ROLES if k != "sire_id"), "share", "crowd_rank", "finish"), "crowd")
+    return mk.market_questions(crowd_entities(spark, d, rows), crowd_races(spark, d, rows))
 
 
 @c.query("select user_id % 20 meeting_id, min(ts) first_start, count(*) events from events where ts > timestamp '2024-01-05' and ts <= timestamp '2024-01-12' group by 1", base=False)
