@@ -7,7 +7,7 @@ from ..operators import boards as b
 from ..operators import metrics as m
 from ..operators import summaries as u
 from ..sources import tables as t
-from ..sources.store import written
+from ..sources.store import partitions, written
 from .common import Catalogue
 
 c = Catalogue()
@@ -385,7 +385,10 @@ select segment, value, horse_id, cast(row_number() over (partition by segment, v
 def g06_segment_boards(spark, d):
     """Seven segments; metrics are computed within each, from exploded labels and not in a loop."""
     sky = t.weather_daily(spark, d).select("course", F.col("day").alias("race_date"), "precip")
-    s = m.with_field(t.starts(spark, d)).join(t.horses(spark, d).select("horse_id", "birthdate"), "horse_id").join(sky, ["course", "race_date"], "left")
+    # a row for each course and day: the calendar bounds it
+    s = m.with_field(t.starts(spark, d)).join(F.broadcast(sky), ["course", "race_date"], "left")
+    s = s.select("horse_id", "race_id", "result_id", "race_date", "finish", "earnings", "time_s", "distance", "mean_speed", "mean_rating", "field_size", "breed", "name", "precip").repartition(partitions(spark), "horse_id")
+    s = s.join(t.horses(spark, d).select("horse_id", "birthdate"), "horse_id")
     age, rain = x.age_years(F.col("birthdate"), F.col("race_date")), F.col("precip")
     labels = {
         "breed": F.col("breed"), "age": F.when(age.isNotNull(), x.age_band(age)), "class": F.substring("name", 1, 1), "distance": x.distance_bucket(F.col("distance")), "track": F.when(rain > 3, "wet").when(rain.isNotNull(), "dry"),

@@ -90,13 +90,17 @@ def sex_boards(adjusted: DataFrame, n: int = 10, least: int = 5) -> DataFrame:
 
 
 def segment_boards(starts: DataFrame, labels: dict[str, Column], least: int = 3, n: int = 10) -> DataFrame:
-    """Best horses of each segment value, by a rating computed within it; labels are exploded into one pass of metrics."""
-    from .metrics import horse_metrics
+    """Best horses of each segment value, by a rating computed within it; labels are exploded into one pass of metrics.
 
-    each = F.explode(F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(k).alias("segment"), v.cast("string").alias("value"))) for k, v in labels.items()))))
-    long = starts.withColumn("_s", each).withColumns({"segment": F.col("_s.segment"), "value": F.col("_s.value"), "breed": F.lit("*")}).drop("_s")
-    m = horse_metrics(long, ["segment", "value"], both=False).withColumn("rating", F.round("rating", 6))
-    return board(m, ["segment", "value"], least, orders(["-rating", "-wins", "-starts", "horse_id"]), n, "segment")
+    Starts that are partitioned by horse are exploded and ranked there, without a shuffle of all labels.
+    """
+    from .metrics import career_metrics, indexed
+
+    each = F.explode(F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), v.cast("string").alias("value"))) for i, v in enumerate(labels.values())))))
+    s = indexed(starts).select("horse_id", "race_id", "result_id", "race_date", "finish", "speed_index", "difficulty", "earnings", each.alias("_s"))
+    m = career_metrics(s.withColumns({"_i": F.col("_s.i"), "value": F.col("_s.value")}).drop("_s"), ["_i", "value", "horse_id"]).withColumn("rating", F.round("rating", 6))
+    best = board(m, ["_i", "value"], least, orders(["-rating", "-wins", "-starts", "horse_id"]), n, "segment")
+    return best.withColumn("segment", F.element_at(F.array(*map(F.lit, labels)), F.col("_i") + 1)).drop("_i")
 
 
 def breeding_boards(values: DataFrame, n: int = 10) -> DataFrame:
