@@ -3,15 +3,14 @@ import pyarrow as pa
 import corpus_pipeline
 
 
-def sizes(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["bytes"])
-
-
 def test_stages_run_python_on_small_batches(spark, monkeypatch):
     """A split of texts in one batch, in the JVM and in each worker, took an executor beyond its memory."""
     seen = []
 
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["bytes"])
+
     def components(docs):
         seen.extend(r[0] for r in docs.select("text").mapInArrow(sizes, "bytes long").collect())
         return docs.select("doc_id", docs["doc_id"].alias("component_id"))
