@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import forget, shared_folder, written
 
-__all__ = ["SPACE", "forget", "id_and_text", "let", "partitions", "read", "released", "shared_folder", "sliced", "written"]
+__all__ = ["SPACE", "forget", "id_and_text", "let", "partitions", "read", "released", "shared_folder", "sliced", "trim", "written"]
 
 #: ASCII white space as the contracts define it: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,6 +34,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def trim() -> None:
+    """Give memory that Arrow and numpy have freed back to the system; else the process keeps it for good."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it, other libraries may not
+        give(0)
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function of mapInArrow that gives unused memory back at the end of a task; Python workers live on between stages."""
 
@@ -41,9 +48,7 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # what numpy has freed; glibc has it, other libraries may not
-                trim(0)
+            trim()
 
     return wrapped
 

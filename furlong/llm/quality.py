@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, sliced, written
+from .common import released, sliced, trim, written
 from .decontamination import _FOLD
 from .shingles import Words, chunks
 
@@ -312,7 +312,14 @@ def _fit_models(heads: list[Head], part: Part, ys: list[np.ndarray], held: np.nd
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Head]:
-    """Co-train both heads on a bounded sample of labelled rows and on all unlabelled documents."""
+    """Co-train both heads on a bounded sample of labelled rows and on all unlabelled documents; the driver keeps nothing of the sample."""
+    try:
+        return _fit(docs, labels, fit_rows)
+    finally:
+        trim()
+
+
+def _fit(docs: DataFrame, labels: DataFrame, fit_rows: int) -> list[Head]:
     spark, texts = docs.sparkSession, _input(docs)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("quality", "toxic").alias("label")).where("doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label")).select("doc_id", "label.*")
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int"))
@@ -325,6 +332,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[He
     if not batches:
         return [Head(Part.of_texts([], []), np.zeros(0, int), held)] * len(HEADS)
     part, ys = Part.of(batches[0]), [np.where(quality < 0, -1, 1 - quality), toxic]
+    del got, batches
+    trim()
     heads = [Head(part, y, held) for y in ys]
     ready = [k for k, h in enumerate(heads) if h.ready]
     if not ready:
@@ -359,6 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[He
         _fit_models(heads, part, ys, held, picked, share)
         for k in ready:
             heads[k].calibrate(part, ys[k], held)
+        trim()
     return heads
 
 
