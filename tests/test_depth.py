@@ -215,3 +215,16 @@ def test_some_races_are_read_whole(spark):
     got = tables.results(spark, d, some)
     want = tables.results(spark, d).join(some, "race_id", "left_semi").select(got.columns).collect()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and want
+
+
+def test_edges_of_a_race_are_those_of_its_sorted_pairs(spark):
+    rng = random.Random(9)
+    rows = [(r, DAY(r // 2), 1000 + 100 * (r % 4), "tu"[r % 2], h, f) for r in range(60) for f, h in enumerate(rng.sample(range(9), k=1 + r % 6), 1)]
+    starts = spark.createDataFrame(rows, "race_id long, race_date date, distance int, course string, horse_id long, finish int")
+    field = starts.withColumn("win_strength", (F.col("horse_id") % 4) * 3.0)
+    pairs = markets.field_pairs(field)
+    columns = ["race_id", "a", "b", "rank", "a_prob"]
+    want = markets.h2h_market(markets.pairwise(pairs, markets.meetings(pairs, starts))).select(columns)
+    out = markets.h2h_of_races(field, markets.met_before(starts)).select(columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and want.count() > 150
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()  # a sort of all pairs spilled
